@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import keyed, work_dir
+from frameloom.llm.common import keyed, slices, work_dir
 from frameloom.llm.repeats import Spec, covered, marks, with_marks
 
 WINDOW, GRAM = 35, 9
@@ -39,7 +39,7 @@ def parsed(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int
     marked = with_marks(own, marks(spark, own, spec, work_dir(spark, "substring")))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, spans = [], []
             for text, runs in zip(batch["text"], batch["runs"].to_pylist(), strict=True):
                 n = len(text.as_buffer().to_pybytes().split()) if text.is_valid else 0
@@ -52,7 +52,7 @@ def parsed(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         removed, texts = [], []
         for text, spans in zip(batch["text"], batch["spans"].to_pylist(), strict=True):
             words = text.as_buffer().to_pybytes().split() if text.is_valid else []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import keyed, release, remove, staged, work_dir
+from frameloom.llm.common import keyed, release, remove, slices, staged, work_dir
 from frameloom.llm.repeats import Spec, covered, entries, marks, with_marks
 
 WINDOW, GRAM, BATCHES = 200, 50, 4
@@ -73,7 +73,7 @@ def spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int
     marked = with_marks(own, marks(spark, own, spec, work, staged(family.repeated(), f"{work}/anchors")))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows):
             out = []
             for text, runs in zip(batch["text"], batch["runs"].to_pylist(), strict=True):
                 hit = covered(text.as_buffer().size if text.is_valid else 0, runs, spec) if runs else np.zeros(0, bool)
@@ -86,7 +86,7 @@ def spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         size, kept = [], []
         for text, found in zip(batch["text"], batch["spans"].to_pylist(), strict=True):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import parallel, release, staged
+from frameloom.llm.common import parallel, release, slices, staged
 
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 ENTRY = "doc_id long, th long, pack long, ah long, ph long"
@@ -81,12 +81,18 @@ def symbols(text: str | bytes | None, kind: str) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
-@lru_cache(4)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
-        up[1:], down[1:] = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    """The first n powers, or more, of an odd base and of its inverse; the longest arrays so far are kept."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        _POWERS.pop(base, None)
+        with np.errstate(over="ignore"):
+            up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            _POWERS[base] = np.cumprod(up, out=up), np.cumprod(down, out=down)
+    return _POWERS[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,8 +104,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _prefix(s: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(BLOCK * 2, 1 << int(len(s) + 1).bit_length())
-    up, down = _powers(base, size)
+    up, down = _powers(base, max(BLOCK * 2, len(s) + 1))
     q = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(s * up[: len(s)], out=q[1:])
     return q, down
@@ -196,7 +201,7 @@ def repeated_anchors(found: DataFrame, spec: Spec) -> DataFrame:
 
 def _passages_of(spec: Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The symbols of the wanted passages of each document."""
-    for batch in batches:
+    for batch in slices(batches):
         rows: dict[str, list] = {k: [] for k in ("ah", "ph", "n", "lo", "hi", "nph", "wins", "off", "sym")}
         for text, wanted in zip(batch["text"], batch["want"].to_pylist(), strict=True):
             data = text.as_buffer().to_pybytes() if text.is_valid else None
@@ -248,8 +253,8 @@ def _settled(rows: dict[str, np.ndarray], syms: list[bytes], spec: Spec) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(rows["ah"][some]), pa.array(rows["ph"][some]), pa.array(_masks(flags[some]), pa.binary())], ["ah", "ph", "mask"])
 
 
-def _settle(spec: Spec, batches: Iterator[pa.RecordBatch], at_once: int = 12_000) -> Iterator[pa.RecordBatch]:
-    """Groups arrive sorted by anchor; whole groups are settled together, some thousands of passages at a time."""
+def _settle(spec: Spec, batches: Iterator[pa.RecordBatch], at_once: int = 1500) -> Iterator[pa.RecordBatch]:
+    """Groups arrive sorted by anchor; whole groups are settled together, some passages at a time."""
     held: list[pa.RecordBatch] = []
     names = ("ah", "ph", "n", "lo", "hi", "wins", "off")
 
@@ -281,7 +286,7 @@ def _spread_rows(spec: Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 
 def _to_masks(spec: Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         flags = np.zeros((batch.num_rows, spec.span), bool)
         for i, numbers in enumerate(batch["numbers"].to_pylist()):
             flags[i, numbers] = True
