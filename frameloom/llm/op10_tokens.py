@@ -9,10 +9,9 @@ document is read with one read of the index and one of its frame.
 Files are numbered by ranges of doc_id. Document starts within a file come from its index; the sums over files before it
 come from one running sum over the list of files. Files are written under a name of their attempt and renamed when whole.
 
-Tokenizing: the pre-tokenizer never joins a visible character to white space after it, so a text whose white space is
-single spaces between visible characters is the concatenation of its space-led pieces; the library's result for each piece is
-kept by the task (at most ``CACHE`` pieces). Other texts are split at line feeds that stand between visible characters too;
-what remains goes to the library whole.
+Tokenizing: the pre-tokenizer never joins a visible character to white space after it, so a text is the concatenation of
+its pieces, each led by the white space before it. The library encodes each piece; a worker keeps the results of short pieces
+after a single space or line feed (at most ``CACHE``), as words repeat. Texts with other white space go to the library whole.
 
 Defined results: null counts as empty, whose only id is the end id. Ties of doc_id stand by a hash of the text. Extra columns
 are ignored; an empty table writes no file.
@@ -24,8 +23,10 @@ import hashlib
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.common import parallel, release, slices, staged, work_dir
 
-END_ID, SAMPLE_DOCS, DICT_BYTES, CACHE, LEVEL = 0, 1000, 1 << 16, 200_000, 3
+END_ID, SAMPLE_DOCS, DICT_BYTES, CACHE, LEVEL = 0, 1000, 1 << 16, 600_000, 3
 MAGIC = b"FLTOK001"
 
 
@@ -54,54 +55,78 @@ def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    if resize := getattr(tokenizer.model, "_resize_cache", None):
+        resize(0)  # pieces are kept here already
+    return tokenizer
 
 
-# white space other than a single one between two visible characters
-_ODD = re.compile(r"(?:^|(?<=[\s\x1c-\x1f]))[ \n]|[ \n](?:$|(?=[\s\x1c-\x1f]))|[^\S \n]|[\x1c-\x1f]")
-_PIECE = re.compile(r"[ \n]?[^ \n]+")
+_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]")  # white space other than spaces and line feeds
+_RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
-class Encoder:
+class _Pieces(dict):
+    """Serialized ids of pieces that follow a single space, or a line feed that they hold; short ones are kept."""
+
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.kept = _tokenizer(path), {}
-
-    def encode(self, text: str) -> list[int]:
-        if _ODD.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        kept = self.kept
-        for piece in _PIECE.findall(text):
-            ids = kept.get(piece)
-            if ids is None:
-                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-                if len(kept) < CACHE and len(piece) < 64:
-                    kept[piece] = ids
-            out += ids
+        super().__init__()
+        self.tokenizer, self.kind = _tokenizer(path), "HI"[_code(path) == "<u4"]
+
+    def whole(self, text: str) -> bytes:
+        out = array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if not piece or piece == "\n" or _ODD.search(piece):
+            raise ValueError("a run of white space")
+        out = self.whole(piece if piece[0] == "\n" else " " + piece)
+        if len(self) < CACHE and len(piece) < 64:
+            self[piece] = out
         return out
 
 
+@lru_cache(2)
+def _pieces(path: str) -> _Pieces:
+    return _Pieces(path)
+
+
+def serialized(text: str, path: str) -> bytes:
+    """The serialized ids of a text, as the library encodes it, without special tokens."""
+    pieces = _pieces(path)
+    first, *rest = text.replace("\n", " \n").split(" ")
+    try:
+        if first and first[-1] not in "\n" and not _ODD.search(first):
+            return pieces.whole(first) + b"".join(map(pieces.__getitem__, rest))
+    except ValueError:
+        pass
+    if _ODD.search(text):
+        return pieces.whole(text)
+    return b"".join(map(pieces.whole, _RUNS.findall(text)))
+
+
 def _code(path: str) -> str:
     return "<u2" if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
 def _encode(path: str, dictionary: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder, code = Encoder(path), _code(path)
+    code = _code(path)
+    end, width = np.array([END_ID], code).tobytes(), np.dtype(code).itemsize
     shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_dict_id=False)
     for batch in slices(batches):
         counts, frames = [], []
         for text in batch["text"].to_pylist():
-            ids = [*encoder.encode(text or ""), END_ID]
-            counts.append(len(ids))
-            frames.append(packer.compress(np.array(ids, code).tobytes()))
+            data = serialized(text or "", path) + end
+            counts.append(len(data) // width)
+            frames.append(packer.compress(data))
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "th", "n_tokens", "frame"])
 
 
 def _serialized(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder, code = Encoder(path), _code(path)
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([np.array([*encoder.encode(t or ""), END_ID], code).tobytes()[: 1 << 16] for t in batch["text"].to_pylist()], pa.binary())], ["ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([serialized(t or "", path)[: 1 << 16] for t in batch["text"].to_pylist()], pa.binary())], ["ids"])
 
 
 def trained_dictionary(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, size: int = DICT_BYTES) -> bytes:

@@ -21,7 +21,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import release, slices, staged, work_dir
@@ -125,6 +125,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of docs for each component, that of the smallest doc_id; columns as in docs. Repeated rows of that doc_id
+    leave the one with the least hash of its text."""
+    found = near_duplicates(spark, docs, shingle, radius)
+    firsts = staged(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__first")).distinct(), work_dir(spark, "firsts"))
+    kept = docs.join(firsts.hint("merge"), docs["doc_id"].eqNullSafe(firsts["__id"]))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
