@@ -22,12 +22,13 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
 import struct
 import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.common import parallel, release, slices, staged, work_dir
 
-END_ID, SAMPLE_DOCS, DICT_BYTES, CACHE, LEVEL = 0, 1000, 1 << 16, 600_000, 3
+END_ID, SAMPLE_DOCS, DICT_BYTES, CACHE, LEVEL = 0, 1000, 1 << 16, 900_000, 3
 MAGIC = b"FLTOK001"
 
 
@@ -65,15 +66,27 @@ _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]")  # white space other than spaces and
 _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
+# how byte-level models write bytes: visible Latin-1 characters stand for themselves, the others for letters from 256 on
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+
+
 class _Pieces(dict):
     """Serialized ids of pieces that follow a single space, or a line feed that they hold; short ones are kept."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.tails: dict[str, bytes] = {}
         self.tokenizer, self.kind = _tokenizer(path), "HI"[_code(path) == "<u4"]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a byte-level model alone: words of letters go straight to it, one pre-token each
+        self.direct = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not any(t.isalpha() for t in added)
 
     def whole(self, text: str) -> bytes:
-        out = array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def packed(self, ids: Iterable[int]) -> bytes:
+        out = array(self.kind, ids)
         if sys.byteorder != "little":
             out.byteswap()
         return out.tobytes()
@@ -81,7 +94,16 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece == "\n" or _ODD.search(piece):
             raise ValueError("a run of white space")
-        out = self.whole(piece if piece[0] == "\n" else " " + piece)
+        letters = piece.rstrip(string.punctuation)
+        if letters != piece and letters.isalpha():  # letters and marks after them are never joined
+            tail = piece[len(letters) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.whole(tail)
+            out = self[letters] + self.tails[tail]
+        elif self.direct and letters.isalpha():
+            out = self.packed(t.id for t in self.tokenizer.model.tokenize((" " + piece).encode().decode("latin-1").translate(_BYTE_LETTERS)))
+        else:
+            out = self.whole(piece if piece[0] == "\n" else " " + piece)
         if len(self) < CACHE and len(piece) < 64:
             self[piece] = out
         return out
