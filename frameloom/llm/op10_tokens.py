@@ -28,7 +28,7 @@ import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -69,6 +69,7 @@ _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 # how byte-level models write bytes: visible Latin-1 characters stand for themselves, the others for letters from 256 on
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 _BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+_SPACE = _BYTE_LETTERS[32]
 
 
 class _Pieces(dict):
@@ -79,13 +80,14 @@ class _Pieces(dict):
         self.tails: dict[str, bytes] = {}
         self.tokenizer, self.kind = _tokenizer(path), "HI"[_code(path) == "<u4"]
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
         # a byte-level model alone: words of letters go straight to it, one pre-token each
         self.direct = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not any(t.isalpha() for t in added)
 
     def whole(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def packed(self, ids: Iterable[int]) -> bytes:
+    def packed(self, ids: list[int]) -> bytes:
         out = array(self.kind, ids)
         if sys.byteorder != "little":
             out.byteswap()
@@ -101,7 +103,8 @@ class _Pieces(dict):
                 self.tails[tail] = self.whole(tail)
             out = self[letters] + self.tails[tail]
         elif self.direct and letters.isalpha():
-            out = self.packed(t.id for t in self.tokenizer.model.tokenize((" " + piece).encode().decode("latin-1").translate(_BYTE_LETTERS)))
+            letters = _SPACE + piece if piece.isascii() else (" " + piece).encode().decode("latin-1").translate(_BYTE_LETTERS)
+            out = self.packed([t.id for t in self.model.tokenize(letters)])
         else:
             out = self.whole(piece if piece[0] == "\n" else " " + piece)
         if len(self) < CACHE and len(piece) < 64:
