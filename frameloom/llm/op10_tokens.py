@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.common import parallel, release, slices, staged, work_dir
 
-END_ID, SAMPLE_DOCS, DICT_BYTES, CACHE, LEVEL = 0, 1000, 1 << 16, 900_000, 3
+END_ID, SAMPLE_DOCS, DICT_BYTES, CACHE, LEVEL = 0, 1000, 1 << 16, 500_000, 3
 MAGIC = b"FLTOK001"
 
 
