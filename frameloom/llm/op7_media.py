@@ -1,9 +1,10 @@
 """Media columns: content-addressed payloads in tar shards.
 
-A text's UTF-8 bytes, zero padded to a positive multiple of 64, are stored as an 8-bit grey PNG of width 64. Payloads are
-addressed by their SHA-256: a task stores a payload that it has seen only once, payloads are then dealt by digest and each is
-written once, into one tar shard a task. Rows carry digest, shard, offset and length. Metadata (width, height, depth) comes
-from range reads of the first 33 bytes; whole payloads are read back by range as well.
+A text's UTF-8 bytes, zero padded to a positive multiple of 64, are stored as the 8-bit samples of a grey PNG. Payloads are
+addressed by their SHA-256. Each task writes one tar shard of the payloads that it reads, each of them once; rows carry
+digest, shard, offset and length. Where several tasks met one payload, all rows point to the copy of the first shard by name,
+so that equal payloads share one place; payloads are never shuffled, which costs at most one unused copy a task. Metadata
+(width, height, depth) comes from range reads of the first 33 bytes; whole payloads are read back by range as well.
 
 Shards lie in the shared folder and are written and read through pyarrow's file systems, so any store it knows serves. A
 shard is written under a name of its own attempt and renamed when whole; the index row names the shard that its own attempt
@@ -30,15 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import parallel, release, slices, staged, work_dir
+from frameloom.llm.common import slices, staged, work_dir
 
-WIDTH, LEVEL, HEADER = 64, 6, 33
+UNIT, MAX_WIDTH, LEVEL, HEADER = 64, 1 << 20, 6, 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
 def payload_of(text: bytes | None) -> bytes:
     data = text or b""
-    return data + bytes(-len(data) % WIDTH if data else WIDTH)
+    return data + bytes(-len(data) % UNIT if data else UNIT)
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -46,10 +47,13 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def to_png(payload: bytes) -> bytes:
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    lines = np.zeros((len(rows), WIDTH + 1), np.uint8)  # filter 0, then the samples
-    lines[:, 1:] = rows
-    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
+    """Rows as long as the size allows up to MAX_WIDTH, as each starts with a filter byte, which is 0."""
+    units, height = len(payload) // UNIT, 1
+    while units % height or len(payload) // height > MAX_WIDTH and height < units:
+        height += 1
+    lines = np.zeros((height, len(payload) // height + 1), np.uint8)
+    lines[:, 1:] = np.frombuffer(payload, np.uint8).reshape(height, -1)
+    head = struct.pack(">IIBBBBB", len(payload) // height, height, 8, 0, 0, 0, 0)
     return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines, LEVEL)) + _chunk(b"IEND", b"")
 
 
@@ -75,63 +79,43 @@ def from_png(data: bytes) -> bytes:
     return lines[:, 1:].tobytes()
 
 
-def _data(batch: pa.RecordBatch) -> Iterator[bytes | None]:
-    return (t.as_buffer().to_pybytes() if t.is_valid else None for t in batch["text"])
-
-
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """digest and media of the payloads that this task has not yet seen."""
-    seen: set[bytes] = set()
-    for batch in slices(batches):
-        digests, media = [], []
-        for text in _data(batch):
-            payload = payload_of(text)
-            digest = hashlib.sha256(payload).digest()
-            if digest not in seen:
-                seen.add(digest)
-                digests.append(digest)
-                media.append(to_png(payload))
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(media, pa.binary())], ["digest", "media"])
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        sizes, digests = [], []
-        for text in _data(batch):
-            sizes.append(len(text or b""))
-            digests.append(hashlib.sha256(payload_of(text)).digest())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n_bytes", "digest"])
+ROWS = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
 
 
 def _pack(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Write one tar shard of the task's payloads, which arrive sorted by digest; yields their places."""
-    last, out, files, at = None, None, None, 0
+    """Write one tar shard of the task's payloads; yields a row a document."""
     shard = f"{folder}/shard-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.tar"
-    rows: list[tuple[bytes, int, int]] = []
+    files = path = out = None
+    seen: dict[bytes, tuple[int, int]] = {}
+    at, rows = 0, []
     for batch in slices(batches):
-        for digest, media in zip(batch["digest"].to_pylist(), batch["media"].to_pylist(), strict=True):
-            if digest == last:
-                continue
-            last = digest
-            if out is None:
-                files, path = pafs.FileSystem.from_uri(shard)
-                files.create_dir(path.rpartition("/")[0], recursive=True)
-                out = files.open_output_stream(path + ".part")
-            info = tarfile.TarInfo(f"{digest.hex()}.png")
-            info.size = len(media)
-            head = info.tobuf(tarfile.USTAR_FORMAT)
-            out.write(head)
-            out.write(media)
-            out.write(bytes(-len(media) % 512))
-            rows.append((digest, at + len(head), len(media)))
-            at += len(head) + len(media) + -len(media) % 512
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            data = text.as_buffer().to_pybytes() if text.is_valid else b""
+            payload = payload_of(data)
+            digest = hashlib.sha256(payload).digest()
+            if digest not in seen:
+                if out is None:
+                    files, path = pafs.FileSystem.from_uri(shard)
+                    files.create_dir(path.rpartition("/")[0], recursive=True)
+                    out = files.open_output_stream(path + ".part")
+                media = to_png(payload)
+                info = tarfile.TarInfo(f"{digest.hex()}.png")
+                info.size = len(media)
+                head = info.tobuf(tarfile.USTAR_FORMAT)
+                seen[digest] = at + len(head), len(media)
+                out.write(head + media + bytes(-len(media) % 512))
+                at += len(head) + len(media) + -len(media) % 512
+            rows.append((doc, len(data), digest))
     if out is not None:
         out.write(bytes(1024))
         out.close()
         files.move(path + ".part", path)
-        for i in range(0, len(rows), 4096):
-            part = rows[i : i + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.binary()), pa.array([shard] * len(part)), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64())], ["digest", "shard", "offset", "length"])
+    for i in range(0, len(rows), 4096):  # only once the shard is whole
+        part = rows[i : i + 4096]
+        places = [seen[r[2]] for r in part]
+        columns = [[r[0] for r in part], [r[1] for r in part], [r[2] for r in part], [shard] * len(part), [p[0] for p in places], [p[1] for p in places]]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
 
 
 class Ranges:
@@ -167,7 +151,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["tail_crc32"].append(zlib.crc32(payload[-64:]))
             out["media_bytes"].append(len(media))
             out["media_sha256"].append(hashlib.sha256(media).hexdigest())
-            out["feature"].append(f"{len(x) // WIDTH}x{WIDTH} min={x.min()} max={x.max()} sum={x.sum(dtype=np.int64)}")
+            out["feature"].append(f"{len(x)} samples min={x.min()} max={x.max()} sum={x.sum(dtype=np.int64)}")
         kinds = [pa.string() if isinstance(k, str) and ("sha" in k or k == "feature") else pa.int64() for k in out]
         yield pa.RecordBatch.from_arrays([batch["digest"], *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], ["digest", *out])
 
@@ -175,18 +159,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 INDEX = "digest binary, shard string, offset long, length long"
 
 
-def stored(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Write the distinct payloads of docs to tar shards under folder; their places and header metadata."""
-    media = docs.select("text").mapInArrow(_encode, "digest binary, media binary")
-    dealt = media.repartition(parallel(docs), "digest").sortWithinPartitions("digest")
-    index = staged(dealt.mapInArrow(partial(_pack, f"{folder}/shards"), INDEX), f"{folder}/index")
-    release(spark)
-    return staged(index.mapInArrow(_headers, INDEX + ", width int, height int, depth int"), f"{folder}/media")
+def stored(spark: SparkSession, docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Write the payloads of docs to tar shards under folder. Returns doc_id, n_bytes, digest, one row a row of docs, and the
+    media table: digest, shard, offset, length and header metadata, one row a distinct payload."""
+    rows = staged(docs.select("doc_id", "text").mapInArrow(partial(_pack, f"{folder}/shards"), ROWS), f"{folder}/rows")
+    place = F.min(F.struct("shard", "offset", "length")).alias("x")
+    index = rows.groupBy("digest").agg(place).select("digest", "x.shard", "x.offset", "x.length").sort("shard", "offset")
+    media = staged(index.mapInArrow(_headers, INDEX + ", width int, height int, depth int"), f"{folder}/media")
+    return rows.select("doc_id", "n_bytes", "digest"), media
 
 
-def media_column(docs: DataFrame, media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, digest, shard, offset, length, width, height, depth, one row a row of docs."""
-    rows = docs.select("doc_id", "text").mapInArrow(_digests, "doc_id long, n_bytes long, digest binary")
+def media_column(rows: DataFrame, media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, digest, shard, offset, length, width, height, depth, one row a document."""
     return rows.join(media.hint("merge"), "digest")
 
 
@@ -196,9 +180,8 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), work_dir(spark, "media")
-    media = stored(spark, docs, folder)
+    folder = work_dir(spark, "media")
+    rows, media = stored(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
     read = staged(features(media.select("digest", "shard", "offset", "length")), f"{folder}/features")
-    places = staged(media_column(docs, media), f"{folder}/rows")
-    found = places.select("doc_id", "n_bytes", "digest").join(read.hint("merge"), "digest")
+    found = rows.join(read.hint("merge"), "digest")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
