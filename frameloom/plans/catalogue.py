@@ -1,4 +1,330 @@
-"""Registered queries by name, with DuckDB counterparts."""
+"""Registered queries by name, with DuckDB counterparts.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Profiles are the labels of ``embeddings``; their anchors are the 12 smallest vec_id of a label, the other vectors are probes.
+Sessions are the users of ``events`` in order of (ts, event_id); a row is a 32 ms frame with score least(value / 100, 1), and
+errors carry a rival's score of 0.4.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from frameloom.functions import signal, vectors
+from frameloom.operators import gate, matching, profiles, runs
+from frameloom.plans import relational
+
+ANCHORS = 12
+GATE = gate.GateConfig(theta=0.45, hangover_ms=100.0, margin=0.08, floor_frac=0.6)
+ORDER = ["ts", "event_id"]
+
+
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """anchors (grp, idx, vec) and probes (vec_id, grp, embedding)."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", F.col("label").cast("long").alias("grp"))
+    firsts = rows.select("grp", "vec_id").withColumn("idx", F.row_number().over(Window.partitionBy("grp").orderBy("vec_id"))).where(F.col("idx") <= ANCHORS)
+    anchors = rows.join(firsts, ["grp", "vec_id"]).select("grp", "idx", F.col("embedding").alias("vec"), "vec_id")
+    return anchors, rows.join(firsts.select("vec_id"), "vec_id", "left_anti")
+
+
+def _frames(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    other = F.when(F.col("event_type") == "error", 0.4).otherwise(0.0)
+    return e.select("user_id", "ts", "event_id", "event_type", "value", F.least(F.col("value") / 100, F.lit(1.0)).alias("score"), other.alias("other"))
+
+
+def _six(name: str):
+    return F.round(F.col(name), 6).alias(name)
+
+
+def cosine_pairs(spark, sf):
+    anchors, _ = _vectors(spark, sf)
+    a, b = anchors.alias("a"), anchors.alias("b")
+    pairs = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.idx") < F.col("b.idx")))
+    return pairs.select("a.grp", F.col("a.vec_id").alias("left_id"), F.col("b.vec_id").alias("right_id"), F.round(vectors.cosine(F.col("a.vec"), F.col("b.vec")), 6).alias("cos"))
+
+
+def pool_match_score(spark, sf):
+    anchors, probes = _vectors(spark, sf)
+    found = matching.best_by_group(probes, anchors)
+    return found.select(F.col("key").alias("vec_id"), "grp", F.round(F.greatest("cos", F.lit(0.0)), 6).alias("score"))
+
+
+def best_profile_match(spark, sf):
+    anchors, probes = _vectors(spark, sf)
+    found = matching.best_profile(matching.best_by_group(probes, anchors))
+    return found.select(F.col("key").alias("vec_id"), "grp", _six("score"))
+
+
+def anchor_distance_guard(spark, sf):
+    anchors, probes = _vectors(spark, sf)
+    found = profiles.within_guard(matching.best_by_group(probes, anchors), 0.75)
+    return found.select(F.col("key").alias("vec_id"), "grp", _six("distance"), (F.round("distance", 6) <= 0.75).alias("admitted"))
+
+
+def as_norm_top20(spark, sf):
+    """The probe's largest cosine with its own profile, against the anchors of the others."""
+    anchors, probes = _vectors(spark, sf)
+    own = matching.best_by_group(probes, anchors)
+    raw = probes.join(own, (F.col("vec_id") == F.col("key")) & (probes["grp"] == own["grp"])).select("vec_id", "embedding", probes["grp"], F.greatest("cos", F.lit(0.0)).alias("raw"))
+    return matching.as_norm(raw, anchors).select(F.col("key").alias("vec_id"), _six("raw"), _six("score"))
+
+
+def profile_centroids(spark, sf):
+    anchors, _ = _vectors(spark, sf)
+    return profiles.centroids(anchors).select("grp", F.posexplode("centroid").alias("pos", "x")).select("grp", F.col("pos").cast("long").alias("pos"), _six("x"))
+
+
+def adapted_blend(spark, sf):
+    """Evidence is each profile's first probe."""
+    anchors, probes = _vectors(spark, sf)
+    first = probes.groupBy("grp").agg(F.min_by("embedding", "vec_id").alias("evidence"))
+    out = profiles.adapted(profiles.centroids(anchors).join(first, "grp"))
+    return out.select("grp", F.posexplode("adapted").alias("pos", "x")).select("grp", F.col("pos").cast("long").alias("pos"), _six("x"))
+
+
+def enrollment_consistency(spark, sf):
+    anchors, _ = _vectors(spark, sf)
+    found = profiles.consistency(anchors, floor=0.0)
+    return found.select("grp", "n", _six("median_cos"), (F.col("accepted")).alias("accepted"))
+
+
+def condition_groups(spark, sf):
+    anchors, _ = _vectors(spark, sf)
+    return profiles.condition_groups(anchors).select("grp", "condition", F.posexplode("centroid").alias("pos", "x")).select("grp", "condition", "pos", _six("x"))
+
+
+def pooled_f0_merge(spark, sf):
+    """Clicks and views of a user as two enrolments, pooled."""
+    e = spark.read.parquet(f"{sf}/events.parquet").where("event_type in ('click', 'view')")
+    click = F.col("event_type") == "click"
+    stats = [F.count_if(c).alias(f"n{i}") for i, c in ((1, click), (2, ~click))]
+    stats += [f(F.when(c, F.col("value"))).alias(f"{n}{i}") for i, c in ((1, click), (2, ~click)) for n, f in (("m", F.avg), ("v", F.var_pop))]
+    by = e.groupBy("user_id").agg(*stats).where("n1 > 0 and n2 > 0")
+    mean, var = profiles.pooled(*(F.col(c) for c in ("n1", "m1", "v1", "n2", "m2", "v2")))
+    return by.select("user_id", F.round(mean, 6).alias("mean"), F.round(var, 4).alias("variance"))
+
+
+def gate_hangover(spark, sf):
+    found = gate.hangover_gate(_frames(spark, sf).withColumn("other", F.lit(0.0)), "user_id", ORDER, gate.GateConfig(theta=0.45, hangover_ms=100.0))
+    return found.select("user_id", "event_id", "is_on")
+
+
+def _gated(spark, sf):
+    return gate.hangover_gate(_frames(spark, sf), "user_id", ORDER, GATE)
+
+
+def gate_margin_floor(spark, sf):
+    return _gated(spark, sf).select("user_id", "event_id", "is_on")
+
+
+def gate_runs(spark, sf):
+    found = runs.runs(_gated(spark, sf), "user_id", ORDER)
+    return found.select("user_id", F.col("start").alias("run_start"), F.col("end").alias("run_end"), "is_on")
+
+
+def gate_duty_cycle(spark, sf):
+    on = F.count_if("is_on")
+    return _gated(spark, sf).groupBy("user_id").agg(F.expr("count_if(is_on) * 100 div greatest(count(*), 1)").alias("percent"), on.alias("frames_on"))
+
+
+def consecutive_runs(spark, sf):
+    found = gate.islands(_frames(spark, sf), "user_id", ORDER, F.col("score") > 0.3)
+    return found.select("user_id", "event_id", F.round("speech_ms", 3).alias("speech_ms"), F.round("silence_ms", 3).alias("silence_ms"))
+
+
+def silence_force_off(spark, sf):
+    found = gate.islands(_gated(spark, sf), "user_id", ORDER, F.col("score") > 0.3)
+    off = F.coalesce(F.col("silence_ms") >= 64, F.lit(False))
+    no = F.lit(False)
+    is_on = gate.final_gate(no, False, F.col("score") > 0.3, F.col("silence_ms"), 100.0, F.col("is_on"), off, no, no)
+    return found.select("user_id", "event_id", is_on.alias("is_on"))
+
+
+def preroll_lookback(spark, sf):
+    found = runs.preroll(runs.runs(_gated(spark, sf), "user_id", ORDER), "user_id", 3)
+    return found.select("user_id", F.col("start").alias("run_start"), "is_on")
+
+
+def rate_scale(spark, sf):
+    found = runs.rescaled(runs.runs(_gated(spark, sf), "user_id", ORDER).withColumn("start", F.col("start") * 512), "user_id", 44_100, 16_000)
+    return found.select("user_id", F.col("start").alias("sample"), "is_on")
+
+
+def score_asof_forward_fill(spark, sf):
+    """Purchases are refreshes; every later frame carries the last one's score."""
+    frames = _frames(spark, sf).withColumn("refreshed", F.when(F.col("event_type") == "purchase", F.col("score")))
+    return gate.carried(frames, "user_id", ORDER, "refreshed", "carried").select("user_id", "event_id", _six("carried"))
+
+
+def auto_learn_admission(spark, sf):
+    found = gate.islands(_frames(spark, sf), "user_id", ORDER, F.col("score") > 0.1)
+    match = gate.pitch_match(F.col("value"), F.lit(90.0), F.lit(40.0))
+    return found.select("user_id", "event_id", F.round(match, 6).alias("f0_match"), gate.admitted(F.col("score"), match, F.col("speech_ms"), theta=0.5, least_s=0.064).alias("admitted"))
+
+
+def soft_limit(spark, sf):
+    x = F.col("value") / 50 - 1
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.round(signal.soft_limit(x), 6).alias("limited"))
+
+
+def db_gain(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.round(signal.db_to_linear(F.col("value") / 10 - 6), 6).alias("gain"))
+
+
+def envelope_range_join(spark, sf):
+    """Every frame with the run that covers it: a range join on sample numbers, within the session."""
+    w = Window.partitionBy("user_id").orderBy(*ORDER)
+    frames = _gated(spark, sf).select("user_id", "event_id", (F.row_number().over(w) - 1).alias("i"))
+    found = runs.runs(_gated(spark, sf), "user_id", ORDER).alias("r")
+    joined = frames.alias("f").join(found, (F.col("f.user_id") == F.col("r.user_id")) & (F.col("f.i") >= F.col("r.start")) & (F.col("f.i") < F.col("r.end")))
+    c = runs.coefficient(100.0, 16_000)
+    level = F.when(F.col("r.is_on"), 1.0).otherwise(F.pow(F.lit(1 - c), (F.col("f.i") - F.col("r.start") + 1) * 512.0))
+    return joined.select("f.user_id", "f.event_id", F.col("r.start").alias("run_start"), F.round(level, 6).alias("level"))
+
+
+def score_ema(spark, sf):
+    def start():
+        g = gate.Gate(gate.GateConfig(alpha=0.4))
+        return lambda score: (g.step(score)[2],)
+
+    found = gate.sequential(_frames(spark, sf), "user_id", ORDER, ["score"], "smoothed double", start)
+    return found.select("user_id", "event_id", _six("smoothed"))
+
+
+def adaptive_theta_gate(spark, sf):
+    def start():
+        g = gate.Gate(gate.GateConfig(theta=0.30, adaptive=True))
+        return lambda score: g.step(score)[:2]
+
+    found = gate.sequential(_frames(spark, sf), "user_id", ORDER, ["score"], "is_on boolean, theta double", start)
+    return found.select("user_id", "event_id", "is_on", _six("theta"))
+
+
+def overlap_hysteresis(spark, sf):
+    def start():
+        h = gate.Hysteresis(threshold=0.35)
+        return lambda score: (h.step(score),)
+
+    found = gate.sequential(_frames(spark, sf), "user_id", ORDER, ["score"], "overlap boolean", start)
+    return found.select("user_id", "event_id", "overlap")
+
+
+def turn_detector(spark, sf):
+    def start():
+        t = gate.TurnDetector(stable_frames=3)
+
+        def step(score, is_on):
+            entered = t.step(score if score > 0.1 else None, is_on)
+            t.refresh_done()
+            return t.state, entered
+
+        return step
+
+    found = gate.sequential(_gated(spark, sf), "user_id", ORDER, ["score", "is_on"], "state string, entered boolean", start)
+    return found.select("user_id", "event_id", "state", "entered")
+
+
+def other_speaker_fold(spark, sf):
+    """Probes of a label as one session in order of vec_id, against the label's own centroid."""
+    import numpy as np
+
+    anchors, probes = _vectors(spark, sf)
+    rows = probes.join(profiles.centroids(anchors), "grp")
+
+    def start():
+        others = gate.OtherSpeakers(agree=0.1, merge=0.3, guard=1.5)
+
+        def step(vec, centroid):
+            vec, centroid = np.array(vec, float), np.array(centroid, float)
+
+            def own(v):
+                size = float(np.linalg.norm(v) * np.linalg.norm(centroid))
+                return float(v @ centroid) / size if size else 0.0
+
+            score = own(vec)
+            rival = others.score(vec, score, 0.25, 0.08)
+            others.learn(vec, score, 0.25, own)
+            return rival, len(others.centres)
+
+        return step
+
+    found = gate.sequential(rows, "grp", ["vec_id"], ["embedding", "centroid"], "rival double, clusters int", start)
+    return found.select("grp", "vec_id", _six("rival"), "clusters")
+
+
+def _named(*functions) -> dict:
+    return {f.__name__: f for f in functions}
+
+
+QUERIES: dict = _named(
+    cosine_pairs, pool_match_score, best_profile_match, anchor_distance_guard, as_norm_top20, profile_centroids, adapted_blend, enrollment_consistency, condition_groups, pooled_f0_merge,
+    gate_hangover, gate_margin_floor, gate_runs, gate_duty_cycle, consecutive_runs, silence_force_off, preroll_lookback, rate_scale, score_asof_forward_fill, auto_learn_admission,
+    soft_limit, db_gain, envelope_range_join, score_ema, adaptive_theta_gate, overlap_hysteresis, turn_detector, other_speaker_fold,
+) | relational.QUERIES
+
+_V = """WITH r AS (SELECT vec_id, CAST(label AS BIGINT) AS grp, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS idx FROM embeddings),
+a AS (SELECT * FROM r WHERE idx <= 12), p AS (SELECT * FROM r WHERE idx > 12)"""
+_SCORES = _V + ", s AS (SELECT p.vec_id, p.grp AS own, a.grp, max(list_cosine_similarity(p.v, a.v)) AS cos FROM p CROSS JOIN a GROUP BY 1, 2, 3)"
+_E = "SELECT *, least(value / 100, 1e0) AS score, CASE WHEN event_type = 'error' THEN 4e-1 ELSE 0e0 END AS other, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+def _gate_sql(theta: str, margin: str, floor: str, hangover: str, other: str = "other") -> str:
+    return f"""e AS ({_E}),
+k AS (SELECT *, score >= {theta} AND score - {other} >= {margin} AS ok, score - {other} >= {margin} AS wins FROM e),
+l AS (SELECT *, max(CASE WHEN ok THEN rn END) OVER u AS lp, max(CASE WHEN NOT ok AND (score < {theta} * {floor} OR NOT wins) THEN rn END) OVER u AS lk
+  FROM k WINDOW u AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, lp IS NOT NULL AND (lk IS NULL OR lp > lk) AND (rn - lp) * 32e0 < {hangover} AS is_on FROM l)"""
+
+
+_GATED = "WITH " + _gate_sql("45e-2", "8e-2", "6e-1", "100")
+_RUNS = _GATED + """, b AS (SELECT *, lag(is_on) OVER (PARTITION BY user_id ORDER BY rn) AS before, count(*) OVER (PARTITION BY user_id) AS n FROM g),
+h AS (SELECT user_id, rn - 1 AS run_start, is_on, n FROM b WHERE before IS NULL OR before <> is_on),
+runs AS (SELECT user_id, run_start, coalesce(lead(run_start) OVER (PARTITION BY user_id ORDER BY run_start), n) AS run_end, is_on FROM h)"""
+_ISLANDS = """i AS (SELECT *, rn - coalesce(max(CASE WHEN NOT speech THEN rn END) OVER u, 0) AS sp, rn - max(CASE WHEN speech THEN rn END) OVER u AS si
+  FROM (SELECT *, score > {0} AS speech FROM {1}) WINDOW u AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING))"""
+
+ORACLES: dict = {
+    "cosine_pairs": _V + " SELECT x.grp, x.vec_id AS left_id, y.vec_id AS right_id, round(list_cosine_similarity(x.v, y.v), 6) AS cos FROM a x JOIN a y ON x.grp = y.grp AND x.idx < y.idx",
+    "pool_match_score": _SCORES + " SELECT vec_id, grp, round(greatest(cos, 0e0), 6) AS score FROM s",
+    "best_profile_match": _SCORES + " SELECT vec_id, arg_max(grp, cos) AS grp, round(greatest(max(cos), 0e0), 6) AS score FROM s GROUP BY 1",
+    "anchor_distance_guard": _SCORES + " SELECT vec_id, grp, round(1 - cos, 6) AS distance, round(1 - cos, 6) <= 75e-2 AS admitted FROM s",
+    "as_norm_top20": _SCORES + """, o AS (SELECT vec_id, greatest(cos, 0e0) AS raw FROM s WHERE own = grp),
+d AS (SELECT p.vec_id, list_dot_product(p.v, a.v) / sqrt(list_dot_product(p.v, p.v)) AS d FROM p CROSS JOIN a WHERE p.grp <> a.grp),
+t AS (SELECT vec_id, avg(d) AS m, stddev_pop(d) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d DESC) AS rk FROM d) WHERE rk <= 20 GROUP BY 1)
+SELECT o.vec_id, round(raw, 6) AS raw, round((raw - m) / sd, 6) AS score FROM o JOIN t USING (vec_id)""",
+    "profile_centroids": _V + " SELECT grp, CAST(pos - 1 AS BIGINT) AS pos, round(avg(x), 6) AS x FROM (SELECT grp, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a) GROUP BY grp, pos",
+    "adapted_blend": _V + """, c AS (SELECT grp, pos, avg(x) AS x FROM (SELECT grp, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a) GROUP BY 1, 2),
+f AS (SELECT grp, unnest(v) AS y, generate_subscripts(v, 1) AS pos FROM (SELECT grp, arg_min(v, vec_id) AS v FROM p GROUP BY 1))
+SELECT grp, CAST(pos - 1 AS BIGINT) AS pos, round(1e-1 * x + 9e-1 * y, 6) AS x FROM c JOIN f USING (grp, pos)""",
+    "enrollment_consistency": _V + """, q AS (SELECT x.grp, list_sort(list(list_cosine_similarity(x.v, y.v))) AS l FROM a x JOIN a y ON x.grp = y.grp AND x.idx < y.idx GROUP BY 1)
+SELECT grp, n, round(coalesce(l[len(l) // 2 + 1], 0), 6) AS median_cos, n >= 6 AND coalesce(l[len(l) // 2 + 1], 0) >= 0 AS accepted FROM (SELECT grp, count(*) AS n FROM a GROUP BY 1) LEFT JOIN q USING (grp)""",
+    "pooled_f0_merge": """SELECT user_id, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events WHERE event_type IN ('click', 'view')
+GROUP BY 1 HAVING count(DISTINCT event_type) = 2""",
+    "gate_hangover": "WITH " + _gate_sql("45e-2", "0", "0", "100", "0") + " SELECT user_id, event_id, is_on FROM g",
+    "gate_margin_floor": _GATED + " SELECT user_id, event_id, is_on FROM g",
+    "gate_runs": _RUNS + " SELECT user_id, run_start, run_end, is_on FROM runs",
+    "gate_duty_cycle": _GATED + " SELECT user_id, count(*) FILTER (WHERE is_on) * 100 // greatest(count(*), 1) AS percent, count(*) FILTER (WHERE is_on) AS frames_on FROM g GROUP BY 1",
+    "consecutive_runs": f"WITH e AS ({_E}), " + _ISLANDS.format("3e-1", "e") + " SELECT user_id, event_id, sp * 32e0 AS speech_ms, si * 32e0 AS silence_ms FROM i",
+    "silence_force_off": _GATED + ", " + _ISLANDS.format("3e-1", "g") + " SELECT user_id, event_id, is_on AND NOT coalesce(si * 32e0 >= 64, false) AS is_on FROM i",
+    "preroll_lookback": _RUNS + """, m AS (SELECT *, CASE WHEN is_on AND lag(run_start) OVER w IS NOT NULL THEN greatest(run_start - 3, lag(run_start) OVER w) ELSE run_start END AS moved FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY run_start))
+SELECT user_id, moved AS run_start, is_on FROM (SELECT *, lead(moved) OVER (PARTITION BY user_id ORDER BY run_start) AS nxt FROM m) WHERE nxt IS NULL OR nxt <> moved""",
+    "rate_scale": _RUNS + " SELECT user_id, (run_start * 512 * 44100 + 8000) // 16000 AS sample, is_on FROM runs",
+    "score_asof_forward_fill": f"WITH e AS ({_E}) SELECT user_id, event_id, round(last_value(CASE WHEN event_type = 'purchase' THEN score END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING), 6) AS carried FROM e",
+    "auto_learn_admission": f"WITH e AS ({_E}), " + _ISLANDS.format("1e-1", "e") + """ SELECT user_id, event_id, round(m, 6) AS f0_match, score >= 5e-1 AND m >= 7e-1 AND sp * 32e0 >= 64 AS admitted
+FROM (SELECT *, exp(-5e-1 * ((value - 90) / 40) * ((value - 90) / 40)) AS m FROM i)""",
+    "soft_limit": "SELECT event_id, round(CASE WHEN abs(x) <= 95e-2 THEN x ELSE sign(x) * (95e-2 + 5e-2 * tanh((abs(x) - 95e-2) / 5e-2)) END, 6) AS limited FROM (SELECT event_id, value / 50 - 1 AS x FROM events)",
+    "db_gain": "SELECT event_id, round(pow(10e0, (value / 10 - 6) / 20), 6) AS gain FROM events",
+    "envelope_range_join": _RUNS + """ SELECT g.user_id, g.event_id, run_start, round(CASE WHEN r.is_on THEN 1e0 ELSE pow(exp(-1000e0 / (100e0 * 16000)), (g.rn - 1 - run_start + 1) * 512e0) END, 6) AS level
+FROM g JOIN runs r ON g.user_id = r.user_id AND g.rn - 1 >= run_start AND g.rn - 1 < run_end""",
+    "score_ema": f"""WITH RECURSIVE e AS ({_E}), x AS (
+SELECT user_id, event_id, rn, score AS smoothed FROM e WHERE rn = 1
+UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN x.smoothed = 0 THEN e.score ELSE 4e-1 * e.score + 6e-1 * x.smoothed END FROM x JOIN e ON e.user_id = x.user_id AND e.rn = x.rn + 1)
+SELECT user_id, event_id, round(smoothed, 6) AS smoothed FROM x""",
+    "overlap_hysteresis": f"""WITH RECURSIVE e AS ({_E}), x AS (
+SELECT user_id, event_id, rn, false AS o, CASE WHEN score >= 35e-2 THEN 1 ELSE 0 END AS a, CASE WHEN score >= 35e-2 THEN 0 ELSE 1 END AS b FROM e WHERE rn = 1
+UNION ALL SELECT user_id, event_id, rn, o <> flip, CASE WHEN flip THEN 0 ELSE a END, CASE WHEN flip THEN 0 ELSE b END FROM (
+  SELECT *, (NOT o AND a >= 2) OR (o AND b >= 2) AS flip FROM (
+    SELECT e.user_id, e.event_id, e.rn, x.o, CASE WHEN e.score >= 35e-2 THEN x.a + 1 ELSE 0 END AS a, CASE WHEN e.score >= 35e-2 THEN 0 ELSE x.b + 1 END AS b FROM x JOIN e ON e.user_id = x.user_id AND e.rn = x.rn + 1)))
+SELECT user_id, event_id, o AS overlap FROM x""",
+} | relational.ORACLES
