@@ -48,6 +48,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_KEPT: dict = {}
+
+
+def kept_by_worker(key, make):
+    """What a Python worker keeps between tasks, such as results for words already met: for one use at a time, so that the
+    stages of a pipeline do not add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in short pieces, so that Python objects of only a few rows live at once."""
     for batch in batches:
@@ -61,4 +73,4 @@ def parallel(df: DataFrame) -> int:
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, th and text, where (doc_id, th) names a row up to exact repeats of that row."""
-    return docs.select("doc_id", F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import parallel, release, slices, staged, work_dir
+from frameloom.llm.common import kept_by_worker, parallel, release, slices, staged, work_dir
 
 END_ID, SAMPLE_DOCS, DICT_BYTES, CACHE, LEVEL = 0, 1000, 1 << 16, 500_000, 3
 MAGIC = b"FLTOK001"
@@ -112,14 +112,9 @@ class _Pieces(dict):
         return out
 
 
-@lru_cache(2)
-def _pieces(path: str) -> _Pieces:
-    return _Pieces(path)
-
-
 def serialized(text: str, path: str) -> bytes:
     """The serialized ids of a text, as the library encodes it, without special tokens."""
-    pieces = _pieces(path)
+    pieces = kept_by_worker(("pieces", path), lambda: _Pieces(path))
     first, *rest = text.replace("\n", " \n").split(" ")
     try:
         if first and first[-1] not in "\n" and not _ODD.search(first):
@@ -245,7 +240,7 @@ def written(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str |
     path = vocabulary or default_vocabulary()
     dictionary = trained_dictionary(docs, path, sample_docs)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
-    own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     frames = staged(own.mapInArrow(partial(_encode, path, dictionary), "doc_id long, th long, n_tokens long, frame binary"), f"{folder}/frames")
     order = [F.col("doc_id").asc_nulls_first(), F.col("th")]
     dealt = frames.repartitionByRange(parallel(docs), *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "frame")

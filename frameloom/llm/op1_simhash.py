@@ -57,7 +57,7 @@ def _fingerprints(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (signed long)."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_fingerprints, shingle), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_fingerprints, shingle), "doc_id long, fp long")
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import slices
+from frameloom.llm.common import kept_by_worker, slices
 
 SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS, CACHE, LONGEST, UNKNOWN, BACK, LEAST = 400, 4000, 3, 300_000, 48, 1e-7, 50.0, 0.5
 MARK, FOLDS, HELD = "▁", 4, 2
@@ -215,27 +215,17 @@ def _judge(kept: _Kept, texts: list[str | None]) -> tuple[list[str], list[float]
     return names, scores
 
 
-_KEPT: dict[str, _Kept] = {}
-
-
-def _kept(sent, key: str) -> _Kept:
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = _Kept(sent.value)
-    return _KEPT[key]
-
-
 def predicted(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, th, lang_pred, score, one row a row of docs."""
     sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _kept(sent, key)
+        kept = kept_by_worker(key, lambda: _Kept(sent.value))
         for batch in slices(batches):
             names, scores = _judge(kept, batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "th", "lang_pred", "score"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(predict, "doc_id long, th long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(predict, "doc_id long, th long, lang_pred string, score double")
 
 
 def accepted(spark: SparkSession, docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
@@ -243,7 +233,7 @@ def accepted(spark: SparkSession, docs: DataFrame, model: Model, least: float =
     sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _kept(sent, key)
+        kept = kept_by_worker(key, lambda: _Kept(sent.value))
         for batch in slices(batches):
             names, scores = _judge(kept, batch["text"].to_pylist())
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))

@@ -59,7 +59,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 def copies(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """doc_id, th, source, size, source_size, target, copies, one row a row of docs."""
     work = work_dir(spark, "mixing")
-    own = docs.select("doc_id", F.xxhash64("text").alias("th"), "source", size_of(F.col("text")).alias("size"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "source", size_of(F.col("text")).alias("size"))
     order = [F.col("source").asc_nulls_last(), "size", "doc_id", "th"]
     rows = own.repartitionByRange(parallel(own), *order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id())
     rows = staged(rows, f"{work}/rows").withColumn("task", F.shiftright("n", 33))

@@ -171,7 +171,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, th, n_words, spans of hit words (start, length), items, one row a row of docs."""
-    own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     found = []
     for block in _blocks(benchmark, block_words):
         sent = spark.sparkContext.broadcast(Automaton(block, window))

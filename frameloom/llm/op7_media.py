@@ -162,7 +162,7 @@ INDEX = "digest binary, shard string, offset long, length long"
 def stored(spark: SparkSession, docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """Write the payloads of docs to tar shards under folder. Returns doc_id, n_bytes, digest, one row a row of docs, and the
     media table: digest, shard, offset, length and header metadata, one row a distinct payload."""
-    rows = staged(docs.select("doc_id", "text").mapInArrow(partial(_pack, f"{folder}/shards"), ROWS), f"{folder}/rows")
+    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_pack, f"{folder}/shards"), ROWS), f"{folder}/rows")
     place = F.min(F.struct("shard", "offset", "length")).alias("x")
     index = rows.groupBy("digest").agg(place).select("digest", "x.shard", "x.offset", "x.length").sort("shard", "offset")
     media = staged(index.mapInArrow(_headers, INDEX + ", width int, height int, depth int"), f"{folder}/media")

@@ -190,7 +190,7 @@ OUT = "page_id long, url string, text string"
 def main_text(spark: SparkSession, pages: DataFrame, window: int = WINDOW, gram: int = GRAM, share: float = COVERED, group_limit: int = 4096) -> DataFrame:
     """page_id, url, text, one row a row of pages (page_id, url, html)."""
     spec, work = Spec(window, gram, "ids", distinct=True, group_limit=group_limit), work_dir(spark, "hosts")
-    own = pages.select(F.col("page_id").alias("doc_id"), F.xxhash64("url", "html").alias("th"), "url", "html")
+    own = pages.select(F.col("page_id").cast("long").alias("doc_id"), F.xxhash64("url", "html").alias("th"), "url", "html")
     known = own.mapInArrow(_known, OUT)
     rest = staged(own.mapInArrow(_unknown, "doc_id long, th long, url string, html string"), f"{work}/rest")
     streams = staged(own.mapInArrow(_streams, "doc_id long, th long, text binary"), f"{work}/streams")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import parallel, release, slices, staged
+from frameloom.llm.common import kept_by_worker, parallel, release, slices, staged
 
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 ENTRY = "doc_id long, th long, pack long, ah long, ph long"
@@ -61,9 +61,6 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
 @lru_cache(1)
 def _byte_codes() -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(bytes([i]), 7) for i in range(256)], np.uint64)
@@ -78,7 +75,7 @@ def symbols(text: str | bytes | None, kind: str) -> np.ndarray:
     if kind == "bytes":
         return _byte_codes()[np.frombuffer(data, np.uint8)]
     words = data.split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(kept_by_worker("words", _Words).__getitem__, words), np.uint64, len(words))
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
