@@ -190,9 +190,14 @@ def entries(docs: DataFrame, spec: Spec) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(partial(_entries, spec), ENTRY)
 
 
+def _doc():
+    """doc_id, where null stands for one document more."""
+    return F.coalesce("doc_id", F.lit(-(1 << 62)))
+
+
 def repeated_anchors(found: DataFrame, spec: Spec) -> DataFrame:
     if spec.distinct:
-        return found.groupBy("ah").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("ah")
+        return found.groupBy("ah").agg(F.min(_doc()).alias("lo"), F.max(_doc()).alias("hi")).where("lo < hi").select("ah")
     return found.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah")
 
 
@@ -303,7 +308,7 @@ def marks(spark: SparkSession, docs: DataFrame, spec: Spec, work: str, repeated:
     cand = staged(found.join(repeated.hint("merge"), "ah"), f"{work}/candidates")
     release(spark)
     passages = staged(
-        cand.groupBy("ah", "ph").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "th", "pack")).alias("rep")),
+        cand.groupBy("ah", "ph").agg(F.count("*").alias("n"), F.min(_doc()).alias("lo"), F.max(_doc()).alias("hi"), F.min(F.struct("doc_id", "th", "pack")).alias("rep")),
         f"{work}/passages",
     )
     contested = staged(passages.groupBy("ah").agg(F.count("*").alias("nph")).where("nph > 1"), f"{work}/contested")
