@@ -1,11 +1,15 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The reference is every passage of the corpus that shares an anchor with another one (``repeats``), kept once, in blocks by
-anchor hash; each block is indexed by anchor and by the hashes of its windows. Each document is factored against every
-block that can hold a match, which its anchors name; blocks without one of its anchors share no window with it. The parse
-is greedy: from the first word not yet parsed, a factor runs as long as the words go on matching a reference occurrence
-other than themselves. A factor is long enough at ``window`` words. Words where one factor ends and the next starts are
-checked too: every window across a factor boundary is looked up in the index, so a boundary hides no repeat.
+Documents are cut at anchors into passages (``repeats``), such that every window of ``window`` words lies in one passage
+and equal windows lie under equal anchors. The reference is every distinct passage whose anchor occurs twice, in blocks: a
+block is the passages under one anchor, indexed by a suffix array (``suffixes``). Each passage is factored greedily
+against its block, the only one that can share a window with it: a factor is the longest match with another passage, or
+all the rest of a passage that stands elsewhere as it is, or one word. Factors of ``window`` words or more are duplicate
+spans. At factor boundaries every window that crosses from one factor into the next is looked up in the index, so a
+boundary hides no repeat. A document's spans are the union over its passages.
+
+Two shortcuts change no result: an anchor with one distinct passage needs no parse, as copies of it are one factor each;
+and blocks of over ``group_limit`` passages are not parsed but have their windows counted, spread over tasks.
 
 Defined results: null and empty texts have no words. Repeated rows are documents of their own, so their texts repeat.
 Texts under ``window`` words are never touched. Extra columns of the input are ignored.
@@ -26,15 +30,15 @@ from frameloom.llm.repeats import Spec, covered, marks, with_marks
 WINDOW, GRAM = 35, 9
 
 
-def factors(repeats: np.ndarray) -> list[tuple[int, int]]:
-    """The greedy parse, given which words lie in a repeated window: (first word, length) of every long factor."""
+def joined(repeats: np.ndarray) -> list[tuple[int, int]]:
+    """(first word, length) of every run of words in duplicate spans."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], repeats.astype(np.int8), [0]))))
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
 
 
 def parsed(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_limit: int = 4096) -> DataFrame:
     """Every row of docs (doc_id, text) as doc_id, text, n_words, spans (array of start, length in words)."""
-    spec = Spec(window, gram, "words", group_limit=group_limit)
+    spec = Spec(window, gram, "words", group_limit=group_limit, parse=True)
     own = keyed(docs)
     marked = with_marks(own, marks(spark, own, spec, work_dir(spark, "substring")))
 
@@ -44,7 +48,7 @@ def parsed(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int
             for text, runs in zip(batch["text"], batch["runs"].to_pylist(), strict=True):
                 n = len(text.as_buffer().to_pybytes().split()) if text.is_valid else 0
                 counts.append(n)
-                spans.append([{"start": a, "length": b} for a, b in factors(covered(n, runs, spec))] if runs else [])
+                spans.append([{"start": a, "length": b} for a, b in joined(covered(n, runs, spec))] if runs else [])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"].cast(pa.string()), pa.array(counts, pa.int64()), pa.array(spans, kind)], ["doc_id", "text", "n_words", "spans"])
 

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -24,6 +25,7 @@ from frameloom.llm import op8_suffix_index as op8
 from frameloom.llm import op9_html as op9
 from frameloom.llm import op10_tokens as op10
 from frameloom.llm import registry
+from frameloom.llm.suffixes import Suffixes, factored
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, fp string, size string, copies string, target string, n string"
@@ -97,6 +99,37 @@ def test_substring_dedup(spark, docs, window, gram, limit):
     assert sorted(str(tuple(r)) for r in op2.substring_dedup(spark, docs, window, gram, limit).collect()) == want
 
 
+def longest(u: list, v: list) -> list[int]:
+    """For every place of u, its longest match anywhere in v."""
+    out = []
+    for a in range(len(u)):
+        sizes = [0]
+        for b in range(len(v)):
+            n = 0
+            while a + n < len(u) and b + n < len(v) and u[a + n] == v[b + n]:
+                n += 1
+            sizes.append(n)
+        out.append(max(sizes))
+    return out
+
+
+def test_parse_against_blocks():
+    for seed in range(300):
+        r = random.Random(seed)
+        window = r.randint(1, 6)
+        parts = [[r.randint(0, r.choice((1, 2, 4))) for _ in range(r.randint(window, 14))] for _ in range(r.randint(1, 7))]
+        block, twice = [r.randint(0, 1) for _ in parts], [r.random() < 0.2 for _ in parts]
+        index = Suffixes(np.array(sum(parts, []), np.uint64), np.array([len(p) for p in parts]), np.array(block))
+        size, hit = [], []
+        for i, p in enumerate(parts):
+            others = [longest(p, q) for j, q in enumerate(parts) if j != i and block[j] == block[i]]
+            best = [max(x) for x in zip([0] * len(p), *others)]
+            size += best
+            hit += [k + window <= len(p) and (twice[i] or n >= window) for k, n in enumerate(best)]
+        assert index.longest_elsewhere().tolist() == size
+        assert factored(index, np.array(twice), window).tolist() == hit
+
+
 @pytest.mark.parametrize(("window", "gram", "limit", "batches"), [(200, 50, 4096, 4), (40, 10, 1, 3), (20, 20, 2, 1)])
 def test_suffix_dedup(spark, docs, window, gram, limit, batches):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
