@@ -57,11 +57,12 @@ def downmix(interleaved: Column, channels: int, channel: int | None = None) -> C
 
 
 def edge_faded(samples: Column, n: int = 240) -> Column:
-    """Linear fades over n samples at both ends, then clamped to [-1, 1]."""
-    size = F.size(samples)
+    """Linear fades from and to 0 over n samples (half of them, if fewer) at both ends, then clamped to [-1, 1]."""
+    last = F.size(samples) - 1
+    fade = F.least(F.lit(n), F.floor(F.size(samples) / 2)).cast("double")
 
     def at(x: Column, i: Column) -> Column:
-        gain = F.least(F.lit(1.0), (i + 1) / F.lit(float(n)), (size - i) / F.lit(float(n)))
+        gain = F.when(i < fade, i / fade).when(i > last - fade, (last - i) / fade).otherwise(1.0)
         return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * gain))
 
     return F.transform(samples, at)

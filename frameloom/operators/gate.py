@@ -50,12 +50,12 @@ def hangover_gate(frames: DataFrame, key: str, order: list[str], config: GateCon
 
 
 def islands(frames: DataFrame, key: str, order: list[str], speech: Column, dt_ms: float = FRAME_MS) -> DataFrame:
-    """Adds speech_ms (length of the current speech run) and silence_ms (time since speech; null before any)."""
+    """Adds speech_ms (length of the current speech run) and silence_ms (time since speech, or since the session began)."""
     w = Window.partitionBy(key).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     out = frames.withColumn("__rn", F.row_number().over(w)).withColumn("__speech", speech)
     last_off = F.coalesce(F.max(F.when(~F.col("__speech"), F.col("__rn"))).over(upto), F.lit(0))
-    last_on = F.max(F.when(F.col("__speech"), F.col("__rn"))).over(upto)
+    last_on = F.coalesce(F.max(F.when(F.col("__speech"), F.col("__rn"))).over(upto), F.lit(0))
     out = out.withColumn("speech_ms", (F.col("__rn") - last_off) * dt_ms).withColumn("silence_ms", (F.col("__rn") - last_on) * dt_ms)
     return out.drop("__rn", "__speech")
 

@@ -20,8 +20,9 @@ def centroids(rows: DataFrame) -> DataFrame:
 
 
 def adapted(profiles: DataFrame, share: float = BLEND) -> DataFrame:
-    """Adds adapted = share * centroid + (1 - share) * evidence; the centroid where there is no evidence."""
-    return profiles.withColumn("adapted", F.when(F.col("evidence").isNull(), F.col("centroid").cast("array<double>")).otherwise(blend(F.col("centroid"), F.col("evidence"), share)))
+    """Adds adapted = share * centroid + (1 - share) * evidence; the evidence where there is no centroid, null without evidence."""
+    both = blend(F.col("centroid"), F.col("evidence"), share)
+    return profiles.withColumn("adapted", F.when(F.col("evidence").isNotNull(), F.when(F.col("centroid").isNull(), F.col("evidence").cast("array<double>")).otherwise(both)))
 
 
 def evidence_step(evidence: np.ndarray | None, vec: np.ndarray, rate: float = EVIDENCE_RATE) -> np.ndarray:

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import signal, vectors
-from frameloom.operators import gate, matching, profiles, runs
+from frameloom.operators import capture, framing, gate, matching, profiles, runs, separation, session
 from frameloom.plans import relational
+from frameloom.sources import diagnostics
 
 ANCHORS = 12
 GATE = gate.GateConfig(theta=0.45, hangover_ms=100.0, margin=0.08, floor_frac=0.6)
@@ -135,7 +136,7 @@ def consecutive_runs(spark, sf):
 
 def silence_force_off(spark, sf):
     found = gate.islands(_gated(spark, sf), "user_id", ORDER, F.col("score") > 0.3)
-    off = F.coalesce(F.col("silence_ms") >= 64, F.lit(False))
+    off = F.col("silence_ms") >= 64
     no = F.lit(False)
     is_on = gate.final_gate(no, False, F.col("score") > 0.3, F.col("silence_ms"), 100.0, F.col("is_on"), off, no, no)
     return found.select("user_id", "event_id", is_on.alias("is_on"))
@@ -253,6 +254,110 @@ def other_speaker_fold(spark, sf):
     return found.select("grp", "vec_id", _six("rival"), "clusters")
 
 
+def capture_quality(spark, sf):
+    """A user's scores less 0.2 as samples, 4 of which are a 20 ms frame."""
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER)) - 1
+    samples = _frames(spark, sf).select("user_id", i.alias("i"), (F.col("score") - 0.2).alias("x"))
+    found = capture.quality(samples, "user_id", frame=4)
+    return found.select("user_id", "n", _six("rms_dbfs"), _six("peak"), _six("dc"), _six("clipped_ratio"), _six("active_ratio"), "verdict")
+
+
+def overlap_summary(spark, sf):
+    """The first 7 places of a vector, times 8, as a frame's class logits; labels are windows."""
+    frames = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("label").cast("long").alias("grp"), F.transform(F.slice("embedding", 1, 7), lambda x: x.cast("double") * 8).alias("logits"))
+    found = capture.overlap_summary(frames, "grp")
+    return found.select("grp", _six("mean_prob"), _six("max_prob"), "overlap_frames", "total_frames", _six("fraction"))
+
+
+def separator_pick(spark, sf):
+    """Even and odd vec_id of a pair are two streams, matched with the raw anchors of profile 0."""
+    anchors, probes = _vectors(spark, sf)
+    found = matching.best_by_group(probes, anchors.where("grp = 0"))
+    scores = found.select(F.expr("key div 2").alias("block"), F.expr("key % 2").alias("stream"), F.col("cos").alias("score"))
+    return separation.picked(scores, "block", 0.2).select("block", F.col("stream").cast("long").alias("stream"), _six("score"), "accepted")
+
+
+def block_levels(spark, sf):
+    """Blocks of 10 scores, the last filled up with zeros, and their levels."""
+    found = framing.framed(_frames(spark, sf), "user_id", ORDER, "score", 10)
+    return found.select("user_id", "block", "n", F.round(vectors.rms(F.col("samples")), 6).alias("rms"))
+
+
+def enrolment_windows(spark, sf):
+    """Starts of windows of 30 frames, 15 apart, in every user's events."""
+    counts = spark.read.parquet(f"{sf}/events.parquet").where("event_type <> 'view'").groupBy("user_id").agg(F.count("*").alias("n"))
+    return counts.select("user_id", F.explode(framing.window_starts(F.col("n"), 30, 15, 10)).alias("window_start"))
+
+
+def evenly_spaced_blocks(spark, sf):
+    found = framing.evenly_spaced(_frames(spark, sf).select("user_id", *ORDER), "user_id", ORDER)
+    return found.select("user_id", "event_id", F.col("place").cast("long").alias("place"))
+
+
+def lookahead_pairs(spark, sf):
+    """A frame's score with that of two frames later, 0 past the end."""
+    return framing.ahead(_frames(spark, sf), "user_id", ORDER, "score", "later").select("user_id", "event_id", _six("score"), _six("later"))
+
+
+def onset_lookback(spark, sf):
+    """The three scores before each onset of speech."""
+    w = Window.partitionBy("user_id").orderBy(*ORDER)
+    speech = F.col("score") > 0.3
+    found = framing.behind(_frames(spark, sf), "user_id", ORDER, "score", "before").withColumn("onset", speech & ~F.coalesce(F.lag(speech).over(w), F.lit(False)))
+    return found.where("onset").select("user_id", "event_id", F.size("before").cast("long").alias("n_before"), F.round(F.aggregate("before", F.lit(0.0), lambda s, x: s + x), 6).alias("sum_before"))
+
+
+def identity_windows(spark, sf):
+    """Mean score of the last 5 speech frames."""
+    found = framing.speech_window(_frames(spark, sf), "user_id", ORDER, F.col("score") > 0.3, "score", 5)
+    return found.select("user_id", "event_id", _six("window_mean"), "window_n")
+
+
+def counter_deltas(spark, sf):
+    """Running totals a user and day, and their growth."""
+    by_day = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"))
+    w = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    totals = by_day.select("user_id", "day", F.sum("n").over(w).alias("frames"), F.sum("bad").over(w).alias("errors"))
+    found = framing.counter_deltas(totals, "user_id", "day", ["frames", "errors"])
+    return found.select("user_id", F.col("day").cast("string").alias("day"), "frames", "errors", "d_frames", "d_errors")
+
+
+def survival_ratio(spark, sf):
+    """What the gate leaves of the level of each event type."""
+    found = _gated(spark, sf).withColumn("after", F.when(F.col("is_on"), F.col("score")).otherwise(0.0))
+    return separation.survival(found, "event_type", "score", "after").select("event_type", _six("rms_in"), _six("rms_out"), _six("ratio"))
+
+
+def _sessions(spark, sf):
+    """Probes of a label as one session in order of vec_id: speech but for every seventh frame, against the label's own profile."""
+    anchors, probes = _vectors(spark, sf)
+    own = anchors.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "vec"))), lambda s: s["vec"]).alias("anchors"))
+    frames = probes.join(own, "grp").withColumn("speech", F.when(F.col("vec_id") % 7 == 0, 0.1).otherwise(0.9))
+    config = session.SessionConfig(gate=gate.GateConfig(theta=0.15, hangover_ms=100.0, margin=0.02, alpha=0.8), window=2, update=1, reopen=1, after_silence=1, latency=1, silence_off_ms=64.0, turn_silence_ms=32.0, theta_learn=0.3, least_s=0.064)
+
+    def start():
+        now = None
+
+        def step(speech, vec, pool):
+            nonlocal now
+            now = now or session.Session(config, session.Pool(pool))
+            return now.step(speech, vec)
+
+        return step
+
+    return gate.sequential(frames, "grp", ["vec_id"], ["speech", "embedding", "anchors"], "is_on boolean, score double, cos double, f0_match double, event string", start)
+
+
+def session_fold(spark, sf):
+    return _sessions(spark, sf).select("grp", "vec_id", "is_on", _six("score"), _six("cos"), "event")
+
+
+def session_diagnostics(spark, sf):
+    """The sessions of ``session_fold`` as JSON documents."""
+    frames = _sessions(spark, sf).withColumn("frame_idx", F.row_number().over(Window.partitionBy("grp").orderBy("vec_id")) - 1)
+    return diagnostics.rendered(frames, runs.runs(frames, "grp", ["vec_id"]), "grp")
+
+
 def _named(*functions) -> dict:
     return {f.__name__: f for f in functions}
 
@@ -261,6 +366,8 @@ QUERIES: dict = _named(
     cosine_pairs, pool_match_score, best_profile_match, anchor_distance_guard, as_norm_top20, profile_centroids, adapted_blend, enrollment_consistency, condition_groups, pooled_f0_merge,
     gate_hangover, gate_margin_floor, gate_runs, gate_duty_cycle, consecutive_runs, silence_force_off, preroll_lookback, rate_scale, score_asof_forward_fill, auto_learn_admission,
     soft_limit, db_gain, envelope_range_join, score_ema, adaptive_theta_gate, overlap_hysteresis, turn_detector, other_speaker_fold,
+    capture_quality, overlap_summary, separator_pick, block_levels, enrolment_windows, evenly_spaced_blocks, lookahead_pairs, onset_lookback, identity_windows, counter_deltas, survival_ratio,
+    session_fold, session_diagnostics,
 ) | relational.QUERIES
 
 _V = """WITH r AS (SELECT vec_id, CAST(label AS BIGINT) AS grp, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS idx FROM embeddings),
@@ -281,7 +388,7 @@ _GATED = "WITH " + _gate_sql("45e-2", "8e-2", "6e-1", "100")
 _RUNS = _GATED + """, b AS (SELECT *, lag(is_on) OVER (PARTITION BY user_id ORDER BY rn) AS before, count(*) OVER (PARTITION BY user_id) AS n FROM g),
 h AS (SELECT user_id, rn - 1 AS run_start, is_on, n FROM b WHERE before IS NULL OR before <> is_on),
 runs AS (SELECT user_id, run_start, coalesce(lead(run_start) OVER (PARTITION BY user_id ORDER BY run_start), n) AS run_end, is_on FROM h)"""
-_ISLANDS = """i AS (SELECT *, rn - coalesce(max(CASE WHEN NOT speech THEN rn END) OVER u, 0) AS sp, rn - max(CASE WHEN speech THEN rn END) OVER u AS si
+_ISLANDS = """i AS (SELECT *, rn - coalesce(max(CASE WHEN NOT speech THEN rn END) OVER u, 0) AS sp, rn - coalesce(max(CASE WHEN speech THEN rn END) OVER u, 0) AS si
   FROM (SELECT *, score > {0} AS speech FROM {1}) WINDOW u AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING))"""
 
 ORACLES: dict = {
@@ -306,7 +413,7 @@ GROUP BY 1 HAVING count(DISTINCT event_type) = 2""",
     "gate_runs": _RUNS + " SELECT user_id, run_start, run_end, is_on FROM runs",
     "gate_duty_cycle": _GATED + " SELECT user_id, count(*) FILTER (WHERE is_on) * 100 // greatest(count(*), 1) AS percent, count(*) FILTER (WHERE is_on) AS frames_on FROM g GROUP BY 1",
     "consecutive_runs": f"WITH e AS ({_E}), " + _ISLANDS.format("3e-1", "e") + " SELECT user_id, event_id, sp * 32e0 AS speech_ms, si * 32e0 AS silence_ms FROM i",
-    "silence_force_off": _GATED + ", " + _ISLANDS.format("3e-1", "g") + " SELECT user_id, event_id, is_on AND NOT coalesce(si * 32e0 >= 64, false) AS is_on FROM i",
+    "silence_force_off": _GATED + ", " + _ISLANDS.format("3e-1", "g") + " SELECT user_id, event_id, is_on AND NOT si * 32e0 >= 64 AS is_on FROM i",
     "preroll_lookback": _RUNS + """, m AS (SELECT *, CASE WHEN is_on AND lag(run_start) OVER w IS NOT NULL THEN greatest(run_start - 3, lag(run_start) OVER w) ELSE run_start END AS moved FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY run_start))
 SELECT user_id, moved AS run_start, is_on FROM (SELECT *, lead(moved) OVER (PARTITION BY user_id ORDER BY run_start) AS nxt FROM m) WHERE nxt IS NULL OR nxt <> moved""",
     "rate_scale": _RUNS + " SELECT user_id, (run_start * 512 * 44100 + 8000) // 16000 AS sample, is_on FROM runs",
@@ -317,6 +424,30 @@ FROM (SELECT *, exp(-5e-1 * ((value - 90) / 40) * ((value - 90) / 40)) AS m FROM
     "db_gain": "SELECT event_id, round(pow(10e0, (value / 10 - 6) / 20), 6) AS gain FROM events",
     "envelope_range_join": _RUNS + """ SELECT g.user_id, g.event_id, run_start, round(CASE WHEN r.is_on THEN 1e0 ELSE pow(exp(-1000e0 / (100e0 * 16000)), (g.rn - 1 - run_start + 1) * 512e0) END, 6) AS level
 FROM g JOIN runs r ON g.user_id = r.user_id AND g.rn - 1 >= run_start AND g.rn - 1 < run_end""",
+    "capture_quality": f"""WITH e AS ({_E}), f AS (SELECT user_id, (rn - 1) // 4 AS f, count(*) AS n, sum(score - 2e-1) AS s, sum((score - 2e-1) * (score - 2e-1)) AS q, max(abs(score - 2e-1)) AS p, count(*) FILTER (WHERE abs(score - 2e-1) >= 995e-3) AS c FROM e GROUP BY 1, 2),
+t AS (SELECT user_id, sum(n) AS n, sum(s) AS s, sum(q) AS q, max(p) AS peak, sum(c) AS c, count(*) FILTER (WHERE n >= 2) AS frames, count(*) FILTER (WHERE n >= 2 AND sqrt(q / n) >= 6e-3) AS active FROM f GROUP BY 1),
+r AS (SELECT user_id, CAST(n AS BIGINT) AS n, 20 * log10(greatest(sqrt(q / n), 1e-9)) AS db, peak, abs(s / n) AS dc, c / n AS cr, active / greatest(frames, 1) AS ar FROM t)
+SELECT user_id, n, round(db, 6) AS rms_dbfs, round(peak, 6) AS peak, round(dc, 6) AS dc, round(cr, 6) AS clipped_ratio, round(ar, 6) AS active_ratio,
+  CASE WHEN db < -42 OR peak < 25e-3 THEN 'quiet' WHEN cr > 3e-3 THEN 'clipped' WHEN dc > 5e-2 THEN 'offset' WHEN ar < 45e-2 THEN 'inactive' ELSE 'ok' END AS verdict FROM r""",
+    "overlap_summary": """WITH f AS (SELECT CAST(label AS BIGINT) AS grp, list_transform(embedding[1:7]::DOUBLE[], lambda x: x * 8) AS l FROM embeddings),
+p AS (SELECT grp, 1 / (1 + exp(-l[5])) + 1 / (1 + exp(-l[6])) + 1 / (1 + exp(-l[7])) AS p, list_position(l, list_max(l)) >= 5 AS o FROM f)
+SELECT grp, round(avg(p), 6) AS mean_prob, round(max(p), 6) AS max_prob, count(*) FILTER (WHERE o) AS overlap_frames, count(*) AS total_frames, round(count(*) FILTER (WHERE o) / count(*), 6) AS fraction FROM p GROUP BY 1""",
+    "separator_pick": _SCORES + """, b AS (SELECT vec_id // 2 AS block, coalesce(max(greatest(cos, 0e0)) FILTER (WHERE vec_id % 2 = 0), 0) AS s0, coalesce(max(greatest(cos, 0e0)) FILTER (WHERE vec_id % 2 = 1), 0) AS s1 FROM s WHERE grp = 0 GROUP BY 1)
+SELECT block, CAST(s1 > s0 AS BIGINT) AS stream, round(greatest(s0, s1), 6) AS score, greatest(s0, s1) >= 2e-1 AS accepted FROM b""",
+    "block_levels": f"WITH e AS ({_E}) SELECT user_id, (rn - 1) // 10 AS block, count(*) AS n, round(sqrt(sum(score * score) / 10), 6) AS rms FROM e GROUP BY 1, 2",
+    "enrolment_windows": """WITH c AS (SELECT user_id, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1)
+SELECT user_id, unnest(CASE WHEN n >= 30 THEN range(0, n - 29, 15) WHEN n >= 10 THEN [CAST(0 AS BIGINT)] END) AS window_start FROM c""",
+    "evenly_spaced_blocks": f"""WITH e AS ({_E}), c AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1), w AS (SELECT user_id, n, unnest(range(least(8, n))) AS i FROM c)
+SELECT e.user_id, event_id, rn - 1 AS place FROM e JOIN w ON e.user_id = w.user_id AND rn - 1 = i * n // least(8, n)""",
+    "lookahead_pairs": f"WITH e AS ({_E}) SELECT user_id, event_id, round(score, 6) AS score, round(lead(score, 2, 0e0) OVER (PARTITION BY user_id ORDER BY rn), 6) AS later FROM e",
+    "onset_lookback": f"""WITH e AS ({_E}), b AS (SELECT *, lag(score) OVER w AS prev, count(*) OVER l AS n_before, coalesce(sum(score) OVER l, 0) AS s FROM e
+  WINDOW w AS (PARTITION BY user_id ORDER BY rn), l AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
+SELECT user_id, event_id, n_before, round(s, 6) AS sum_before FROM b WHERE score > 3e-1 AND NOT coalesce(prev > 3e-1, false)""",
+    "identity_windows": f"WITH e AS ({_E}) SELECT user_id, event_id, round(avg(score) OVER w, 6) AS window_mean, count(*) OVER w AS window_n FROM e WHERE score > 3e-1 WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS 4 PRECEDING)",
+    "counter_deltas": """WITH d AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS d_frames, count(*) FILTER (WHERE event_type = 'error') AS d_errors FROM events GROUP BY 1, 2)
+SELECT user_id, day, CAST(sum(d_frames) OVER w AS BIGINT) AS frames, CAST(sum(d_errors) OVER w AS BIGINT) AS errors, d_frames, d_errors FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day)""",
+    "survival_ratio": _GATED + """, r AS (SELECT event_type, sqrt(avg(score * score)) AS i, sqrt(avg(CASE WHEN is_on THEN score * score ELSE 0 END)) AS o FROM g GROUP BY 1)
+SELECT event_type, round(i, 6) AS rms_in, round(o, 6) AS rms_out, round(o / i, 6) AS ratio FROM r""",
     "score_ema": f"""WITH RECURSIVE e AS ({_E}), x AS (
 SELECT user_id, event_id, rn, score AS smoothed FROM e WHERE rn = 1
 UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN x.smoothed = 0 THEN e.score ELSE 4e-1 * e.score + 6e-1 * x.smoothed END FROM x JOIN e ON e.user_id = x.user_id AND e.rn = x.rn + 1)

@@ -1,5 +1,6 @@
 """Literal cases of the operators: boundaries, ties and degenerate inputs."""
 
+import json
 import math
 
 import numpy as np
@@ -7,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.functions import dsp, signal, vectors
-from frameloom.operators import capture, gate, matching, profiles, runs
-from frameloom.sources import audio, settings
+from frameloom.operators import capture, framing, gate, matching, profiles, runs, separation, session
+from frameloom.sources import audio, diagnostics, settings
 from frameloom.sources import profiles as documents
 
 
@@ -263,3 +264,118 @@ def test_stream_equals_batch(spark, tmp_path):
         for r in sorted(r for r in rows if r[0] == s):
             want[s, r[1]] = g.step(r[2], r[3], r[4])[0]
     assert got == want
+
+
+def test_edges_fade_to_zero(spark):
+    got = spark.createDataFrame([([1.0] * 10,), ([2.0] * 3,), ([1.0],)], "x array<double>").select(signal.edge_faded(F.col("x"), 4)).collect()
+    assert got[0][0] == [0.0, 0.25, 0.5, 0.75, 1.0, 1.0, 0.75, 0.5, 0.25, 0.0]
+    assert got[1][0] == [0.0, 1.0, 0.0] and got[2][0] == [1.0]
+
+
+def test_adapted_needs_evidence(spark):
+    rows = spark.createDataFrame([([1.0, 1.0], None), (None, [3.0]), ([1.0], [2.0]), (None, None)], "centroid array<double>, evidence array<double>")
+    got = [r.adapted for r in profiles.adapted(rows).collect()]
+    assert got[0] is None and got[1] == [3.0] and got[2] == pytest.approx([1.9]) and got[3] is None
+
+
+def test_blocks_and_places(spark):
+    rows = spark.createDataFrame([(k, i, float(i)) for k, n in ((1, 7), (2, 3), (3, 40)) for i in range(n)], "k long, i long, x double")
+    got = {(r.k, r.block): (r.n, r.samples) for r in framing.framed(rows, "k", ["i"], "x", 3).collect()}
+    assert got[1, 2] == (1, [6.0, 0.0, 0.0]) and got[2, 0] == (3, [0.0, 1.0, 2.0])
+    assert framing.framed(rows, "k", ["i"], "x", 3, pad=False).count() == 2 + 1 + 13
+    for most in (1, 3, 8, 100):
+        places = sorted((r.k, r.place) for r in framing.evenly_spaced(rows, "k", ["i"], most).collect())
+        assert places == sorted((k, i * n // min(n, most)) for k, n in ((1, 7), (2, 3), (3, 40)) for i in range(min(n, most)))
+    starts = spark.createDataFrame([(n,) for n in (0, 9, 10, 29, 30, 60, 61)], "n long").select(framing.window_starts(F.col("n"), 30, 15, 10)).collect()
+    assert [r[0] for r in starts] == [None, None, [0], [0], [0], [0, 15, 30], [0, 15, 30]]
+
+
+def test_streams_are_picked(spark):
+    rows = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.5), (2, 0, 0.1), (2, 1, 0.3), (3, 1, None), (4, 1, 0.9)], "b long, stream int, score double")
+    got = {r.b: (r.stream, r.score, r.accepted) for r in separation.picked(rows, "b", 0.4).collect()}
+    assert got == {1: (0, 0.5, True), 2: (1, 0.3, False), 3: (0, 0.0, False), 4: (1, 0.9, True)}
+    rows = spark.createDataFrame([([0.3, -0.3], [0.0, 0.0], [-0.6, 0.6]), ([0.0, 0.0], [0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>, m array<double>")
+    got = [tuple(r) for r in rows.select(separation.stream_gain(F.col("a"), F.col("b"), F.col("m")), separation.audible(F.col("a")), vectors.rms(separation.normalised(F.col("a")))).collect()]
+    assert got[0] == (pytest.approx(-2.0), True, pytest.approx(0.08)) and got[1] == (100.0, False, 0.0)
+
+
+OWN, OTHER = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+QUICK = dict(window=2, update=1, reopen=1, after_silence=1, pre_roll=0)
+
+
+def _play(config, frames, pool=None):
+    s = session.Session(config, pool or session.Pool([OWN]))
+    return s, [s.step(*f) for f in frames]
+
+
+def test_session_waits_for_a_full_window():
+    config = session.SessionConfig(gate=gate.GateConfig(theta=0.45, hangover_ms=64), **(QUICK | dict(window=3)))
+    _, got = _play(config, [(0.9, OWN)] * 4 + [(0.1, OTHER)] * 2)
+    assert [g[0] for g in got] == [False, False, True, True, True, True]  # a pause keeps the last score
+    assert [g[1] for g in got][:3] == [0.0, 0.0, 1.0]
+
+
+def test_session_silence_and_latency():
+    config = session.SessionConfig(gate=gate.GateConfig(theta=0.45), latency=2, silence_off_ms=64, **QUICK)
+    _, got = _play(config, [(0.9, OWN)] * 6 + [(0.1, OTHER)] * 3 + [(0.9, OWN)])
+    assert [g[0] for g in got] == [False, False, False, True, True, True, True, False, False, True]
+
+
+def test_session_learns_and_seeds():
+    config = session.SessionConfig(gate=gate.GateConfig(theta=0.45), least_s=0.064, bootstrap=True, latency=1, **QUICK)
+    s, got = _play(config, [(0.9, OWN, 120.0)] * 8, session.Pool())
+    events = [g[4] for g in got if g[4]]
+    assert events[0] == "BootstrapSeed" and set(events[1:]) == {"Admit"} and s.pool.f0_mean == 120 and s.pool.f0_sigma == 40
+    s, got = _play(session.SessionConfig(gate=gate.GateConfig(theta=0.45), least_s=0.064, bootstrap=True, **QUICK), [(0.9, OWN, 120.0)] * 8, session.Pool())
+    assert not s.pool.anchors  # only late results seed
+    s.pool.add([OWN])
+    s.reset()
+    assert s.pool.anchors and s.frame == 0 and s.last == 0.0
+
+
+def test_session_turn_boundary_shuts_the_gate():
+    config = session.SessionConfig(gate=gate.GateConfig(theta=0.45, margin=0.08, hangover_ms=2000), latency=1, turn_silence_ms=64, learn=False, **QUICK)
+    frames = [(0.9, OTHER)] * 8 + [(0.9, OWN)] * 6 + [(0.1, OWN)] * 3 + [(0.9, OTHER)] * 3
+    s, got = _play(config, frames)
+    on = [g[0] for g in got]
+    assert s.others.centres and on[13] and on[14] and not any(on[15:])
+    late = session.Session(config, session.Pool([OWN]))
+    late.awaiting, late.flying, late.frame = 5, (6, np.array(OWN), 0.0, 4), 6
+    late.step(0.1, OWN)
+    assert late.applied == 4 and late.awaiting == 5  # a result from before the change does not release it
+
+
+def test_session_stream_equals_batch(spark, tmp_path):
+    from frameloom.streaming.session_stream import sessions
+
+    rng = np.random.default_rng(2)
+    rows = [(k, i, float(rng.random() > 0.2), rng.normal(size=3).tolist(), float(rng.integers(90, 150)) if rng.random() > 0.3 else None, i == 25) for i in range(40) for k in range(3)]
+    schema = "session long, seq long, speech double, vec array<double>, f0 double, reset boolean"
+    for n in range(4):
+        spark.createDataFrame([r for r in rows if r[1] // 10 == n], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}"))
+    config = session.SessionConfig(gate=gate.GateConfig(theta=0.3, margin=0.05, alpha=0.8), latency=1, least_s=0.032, theta_learn=0.3, **QUICK)
+
+    def start():
+        return session.Session(config, session.Pool([OWN, OTHER], f0_mean=120, f0_sigma=20))
+
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = sessions(source, start).writeStream.format("memory").queryName("played").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.session, r.seq): (r.is_on, r.score, r.cos, r.f0_match, r.event) for r in spark.table("played").collect()}
+    want = {}
+    for k in range(3):
+        s = start()
+        for r in (r for r in rows if r[0] == k):
+            if r[5]:
+                s.reset()
+            want[k, r[1]] = s.step(r[2], r[3], r[4])
+    assert got == want and len({w[0] for w in want.values()}) == 2
+
+
+def test_diagnostics(spark):
+    frames = spark.createDataFrame([(1, 0, False, 0.25, 0.25, 1.0, None), (1, 1, True, 0.5, 0.5, 1.0, "Admit")], "k long, frame_idx long, is_on boolean, score double, cos double, f0_match double, event string")
+    turned = spark.createDataFrame([(1, 0, False), (1, 512, True)], "k long, start long, is_on boolean")
+    got = json.loads(diagnostics.rendered(frames, turned, "k").first().value)
+    assert got["version"] == 1 and got["gate_per_frame"] == [False, True] and got["gate_decisions"] == [[0, False], [512, True]]
+    assert got["score_per_frame"] == [0.25, 0.5] and got["auto_learn_events"] == [{"frame_idx": 1, "kind": "Admit", "score": 0.5, "f0_match": 1.0}]
