@@ -4,9 +4,10 @@ A page is cut into blocks. Blocks inside boilerplate elements (navigation, heade
 and elements whose role, class or id says menu, advert, notice, comment and the like) are *known* boilerplate; blocks inside an
 article or main element are *known* text; the others are *open*. A page with known text consists of it.
 
-For the other pages the token streams of all blocks that are not known text are concatenated by host, and the sparse suffix
-arrays of ``repeats`` find every run of ``window`` tokens that stands on two distinct pages of one host (a token's symbol
-carries its host, so hosts never match each other, and a hot host is spread over tasks by its anchors). Open blocks of which
+For the other pages the token streams of all blocks that are not known text are concatenated by host, and ``repeats`` finds
+every run of ``window`` tokens that stands on two distinct pages of one host. A token's symbol carries its host, so hosts never
+match each other. A host is not one array in one task: its streams are cut at anchors, and the passages under one anchor
+have a suffix array of their own (``suffixes``), so that a hot host is spread over tasks. Open blocks of which
 at least half the tokens are covered are removed as boilerplate, the unique ones are kept. Known text is never put into
 the arrays: an article that a host shows twice is still the article.
 
@@ -189,7 +190,7 @@ OUT = "page_id long, url string, text string"
 
 def main_text(spark: SparkSession, pages: DataFrame, window: int = WINDOW, gram: int = GRAM, share: float = COVERED, group_limit: int = 4096) -> DataFrame:
     """page_id, url, text, one row a row of pages (page_id, url, html)."""
-    spec, work = Spec(window, gram, "ids", distinct=True, group_limit=group_limit), work_dir(spark, "hosts")
+    spec, work = Spec(window, gram, "ids", distinct=True, group_limit=group_limit, parse=True), work_dir(spark, "hosts")
     own = pages.select(F.col("page_id").cast("long").alias("doc_id"), F.xxhash64("url", "html").alias("th"), "url", "html")
     known = own.mapInArrow(_known, OUT)
     rest = staged(own.mapInArrow(_unknown, "doc_id long, th long, url string, html string"), f"{work}/rest")

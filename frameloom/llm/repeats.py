@@ -9,9 +9,9 @@ with one anchor form an *entry*; its passage is all the symbols those windows sp
 1. ``entries``         one row an entry: anchor hash, passage hash, place.
 2. repeated anchors    counted with partial aggregation; a hot anchor is one row a task.
 3. ``passages``        distinct passages under repeated anchors. An anchor with one distinct passage is settled by its count.
-4. contested anchors   several passages share the anchor: their windows are compared by hash, or the passages are parsed
-                       against each other (``Spec.parse``), for groups up to ``group_limit`` passages; larger groups
-                       take a distributed count of window hashes. No pairs are made.
+4. contested anchors   several passages share the anchor: their windows are compared by hash, or in a suffix array of
+                       the passages (``Spec.parse``), for groups up to ``group_limit`` passages; larger groups take a
+                       distributed count of window hashes. No pairs are made.
 5. ``marks``           per document, the entries with a bit mask of the windows that occur elsewhere.
 
 Hashes decide equality: passages by two independent 64-bit hashes, windows of contested passages by 64 bits within
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import kept_by_worker, parallel, release, slices, staged
-from frameloom.llm.suffixes import Suffixes, factored
+from frameloom.llm.suffixes import Suffixes, across, factored
 
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 ENTRY = "doc_id long, th long, pack long, ah long, ph long"
@@ -43,7 +43,8 @@ BLOCK = 1 << 18
 @dataclass(frozen=True)
 class Spec:
     """kind: 'bytes' and 'words' take strings, 'ids' takes binary 64-bit symbols. distinct: repeats count only across documents.
-    parse: settle contested passages by relative Lempel-Ziv parsing, not by window hashes."""
+    parse: settle contested passages with suffix arrays, not by window hashes: by relative Lempel-Ziv parsing, or if distinct
+    by the long substrings that stand in two documents."""
 
     window: int
     gram: int
@@ -191,8 +192,8 @@ def _entries(spec: Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def entries(docs: DataFrame, spec: Spec) -> DataFrame:
     if not 1 <= spec.gram <= spec.window or spec.span >= 1 << 12:
         raise ValueError("gram must lie in 1..window and window - gram under 4095")
-    if spec.parse and (spec.kind == "bytes" or spec.distinct):
-        raise ValueError("parsing takes words or ids, and counts repeats within a document too")
+    if spec.parse and spec.kind == "bytes":
+        raise ValueError("suffix arrays take words or ids")
     return docs.select("doc_id", "th", "text").mapInArrow(partial(_entries, spec), ENTRY)
 
 
@@ -250,7 +251,7 @@ def _settled(rows: dict[str, np.ndarray], syms: list[bytes], spec: Spec) -> pa.R
     if spec.parse:
         lengths = rows["wins"].astype(np.int64) - 1 + spec.window
         index = Suffixes(np.concatenate([np.frombuffer(x, np.uint64) for x in syms]), lengths, rows["ah"])
-        hit = np.flatnonzero(factored(index, rows["n"] > 1, spec.window))
+        hit = np.flatnonzero(across(index, rows["lo"], rows["hi"], spec.window) if spec.distinct else factored(index, rows["n"] > 1, spec.window))
         flags[index.passage[hit], hit - index.base[index.passage[hit]]] = True
         return _flagged(rows, flags)
     which, number, h = _spread(rows, syms, spec)

@@ -83,3 +83,16 @@ def factored(index: Suffixes, whole: np.ndarray, window: int) -> np.ndarray:
     fits, inside = index.left >= window, (ends - np.arange(len(size)) >= window) & (size > 0)
     crossing = fits & ~inside
     return (fits & inside) | (crossing & (size >= window))
+
+
+def across(index: Suffixes, lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
+    """By place: which windows stand in two documents, where a passage's documents range from lo to hi. Equal windows lie side
+    by side in the suffix array, with common prefixes of ``window`` symbols or more."""
+    found = np.zeros(len(index.left), bool)
+    order = index.order[index.left[index.order] >= window]
+    if len(order):
+        heads = np.flatnonzero(np.append(True, index.common(order[:-1], order[1:]) < window))
+        owner = index.passage[order]
+        several = np.minimum.reduceat(lo[owner], heads) < np.maximum.reduceat(hi[owner], heads)
+        found[order] = np.repeat(several, np.diff(np.append(heads, len(order))))
+    return found

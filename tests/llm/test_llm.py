@@ -25,7 +25,7 @@ from frameloom.llm import op8_suffix_index as op8
 from frameloom.llm import op9_html as op9
 from frameloom.llm import op10_tokens as op10
 from frameloom.llm import registry
-from frameloom.llm.suffixes import Suffixes, factored
+from frameloom.llm.suffixes import Suffixes, across, factored
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, fp string, size string, copies string, target string, n string"
@@ -128,6 +128,14 @@ def test_parse_against_blocks():
             hit += [k + window <= len(p) and (twice[i] or n >= window) for k, n in enumerate(best)]
         assert index.longest_elsewhere().tolist() == size
         assert factored(index, np.array(twice), window).tolist() == hit
+        lo = [r.randint(0, 2) for _ in parts]
+        hi = [x + r.randint(0, 1) for x in lo]
+        homes = {}
+        for p, b, x, y in zip(parts, block, lo, hi):
+            for k in range(len(p) - window + 1):
+                homes.setdefault((b, *p[k : k + window]), set()).update((x, y))
+        want = [k + window <= len(p) and len(homes[b, *p[k : k + window]]) > 1 for p, b in zip(parts, block) for k in range(len(p))]
+        assert across(index, np.array(lo), np.array(hi), window).tolist() == want
 
 
 @pytest.mark.parametrize(("window", "gram", "limit", "batches"), [(200, 50, 4096, 4), (40, 10, 1, 3), (20, 20, 2, 1)])
