@@ -74,6 +74,10 @@ def blocks(page: str) -> list[tuple[str, str]]:
     stack: list[tuple[str, int, bool]] = []  # tag, depth of main, boilerplate
     main, dropped, at, end = 0, False, 0, len(page)
 
+    def skipped() -> bool:
+        """Inside an inline element that is boilerplate: its text goes, the block around it goes on."""
+        return bool(stack) and stack[-1][0] in INLINE
+
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
@@ -84,9 +88,10 @@ def blocks(page: str) -> list[tuple[str, str]]:
     while at < end:
         m = _TOKEN.search(page, at)
         if not m:
-            held.append(page[at:])
+            if not skipped():
+                held.append(page[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not skipped():
             held.append(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
@@ -97,6 +102,12 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         if m[1]:
             if tag in INLINE:
+                i = len(stack) - 1
+                while i >= 0 and stack[i][0] in INLINE and stack[i][0] != tag:
+                    i -= 1
+                if i >= 0 and stack[i][0] == tag:
+                    del stack[i:]
+                    main, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
                 continue
             flush()
             for i in range(len(stack) - 1, -1, -1):
@@ -111,17 +122,21 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if tag not in INLINE:
                 flush()
             continue
-        bad = _says(tag, m[3], main > 0)
-        if tag in INLINE and not bad or tag in VOID:
+        if tag in VOID:
             if tag == "hr":
                 flush()
             continue
+        bad = _says(tag, m[3], main > 0)
+        if tag in INLINE:
+            if (bad or skipped()) and not m[3].rstrip().endswith("/"):
+                stack.append((tag, main, True))
+            continue
         flush()
         if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
             stack.pop()
             main, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         if not m[3].rstrip().endswith("/"):
-            main, dropped = main + (tag in MAIN), dropped or bad
+            main, dropped = main + (tag in MAIN), dropped or bad or skipped()
             stack.append((tag, main, dropped))
     flush()
     return out

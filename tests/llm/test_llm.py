@@ -329,6 +329,11 @@ def test_html(spark):
     assert got == [(1, "Head&line\n\nOne two three\n\nfour <x>\n\nfive\n\nsix"), (2, "unique text of page two"), (2, "unique text of page two"), (3, "another unique text"), (4, line), (5, ""), (6, "")]
 
 
+def test_inline_boilerplate():
+    page = '<article><p>One <a class="share">tell <a>your</a> friends</a> two.<p>Three <span hidden>x <span>y</span> z</span>four <b class="ad">b<div>in</div></b><p>five</article>'
+    assert [text for kind, text in op9.blocks(page) if kind == "text"] == ["One two.", "Three four", "five"]
+
+
 def test_html_tables(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in entry.queries()["op9_html_text"](spark, SF).collect():
