@@ -5,8 +5,10 @@ the order of the hash of their first ``gram`` bytes, with the number of suffixes
 holds an anchor at a place that its bytes fix, so two equal strings start two suffixes that are neighbours in this order.
 A new batch's array is merge-scanned against itself and each existing level; keys met twice can start long matches. Then it
 joins the family: two arrays of the same level merge into one of the next, so b batches leave at most log2(b) + 1 levels and
-each suffix is rewritten at most log2(b) times. Matches under these keys are then carried to full length byte by byte
-windows (``repeats.marks``), and every byte in a repeated ``window`` is cut.
+each suffix is rewritten at most log2(b) times. The passages around these keys then get alphabetical suffix arrays of all
+their suffixes (``suffixes``), key by key, where neighbours with a common prefix of ``window`` bytes are the long matches;
+every byte in one is cut. Over ``group_limit`` distinct passages under one key are not sorted together; their windows are
+counted by hash over many tasks.
 
 Defined results: null counts as empty. Matches never cross documents. Repeated rows repeat each other. Texts under
 ``window`` bytes are never touched. A cut may split a character, so what is kept is binary. Extra columns are ignored.

@@ -9,13 +9,13 @@ with one anchor form an *entry*; its passage is all the symbols those windows sp
 1. ``entries``         one row an entry: anchor hash, passage hash, place.
 2. repeated anchors    counted with partial aggregation; a hot anchor is one row a task.
 3. ``passages``        distinct passages under repeated anchors. An anchor with one distinct passage is settled by its count.
-4. contested anchors   several passages share the anchor: their windows are compared by hash, or in a suffix array of
-                       the passages (``Spec.parse``), for groups up to ``group_limit`` passages; larger groups take a
-                       distributed count of window hashes. No pairs are made.
+4. contested anchors   several passages share the anchor: a suffix array of the passages shows which windows are equal, or
+                       the passages are parsed against it (``Spec.parse``), for groups up to ``group_limit`` passages;
+                       larger groups take a distributed count of window hashes. No pairs are made.
 5. ``marks``           per document, the entries with a bit mask of the windows that occur elsewhere.
 
-Hashes decide equality: passages by two independent 64-bit hashes, windows of contested passages by 64 bits within
-one anchor and offset.
+Hashes decide the equality of passages (two independent ones of 64 bits) and of the windows of the larger groups (64 bits
+within one anchor and offset); elsewhere the symbols do.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import kept_by_worker, parallel, release, slices, staged
-from frameloom.llm.suffixes import Suffixes, across, factored
+from frameloom.llm.suffixes import Suffixes, across, factored, twice
 
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 ENTRY = "doc_id long, th long, pack long, ah long, ph long"
@@ -43,8 +43,7 @@ BLOCK = 1 << 18
 @dataclass(frozen=True)
 class Spec:
     """kind: 'bytes' and 'words' take strings, 'ids' takes binary 64-bit symbols. distinct: repeats count only across documents.
-    parse: settle contested passages with suffix arrays, not by window hashes: by relative Lempel-Ziv parsing, or if distinct
-    by the long substrings that stand in two documents."""
+    parse: settle contested passages by relative Lempel-Ziv parsing."""
 
     window: int
     gram: int
@@ -192,8 +191,8 @@ def _entries(spec: Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def entries(docs: DataFrame, spec: Spec) -> DataFrame:
     if not 1 <= spec.gram <= spec.window or spec.span >= 1 << 12:
         raise ValueError("gram must lie in 1..window and window - gram under 4095")
-    if spec.parse and spec.kind == "bytes":
-        raise ValueError("suffix arrays take words or ids")
+    if spec.parse and spec.distinct:
+        raise ValueError("parsing counts repeats within a document too")
     return docs.select("doc_id", "th", "text").mapInArrow(partial(_entries, spec), ENTRY)
 
 
@@ -248,22 +247,17 @@ def _settled(rows: dict[str, np.ndarray], syms: list[bytes], spec: Spec) -> pa.R
     _, keep = np.unique(np.stack([rows["ah"], rows["ph"]]), axis=1, return_index=True)  # repeated rows of a document
     rows, syms = {k: v[keep] for k, v in rows.items()}, [syms[i] for i in keep]
     flags = np.zeros((len(syms), spec.span), bool)
-    if spec.parse:
-        lengths = rows["wins"].astype(np.int64) - 1 + spec.window
-        index = Suffixes(np.concatenate([np.frombuffer(x, np.uint64) for x in syms]), lengths, rows["ah"])
-        hit = np.flatnonzero(across(index, rows["lo"], rows["hi"], spec.window) if spec.distinct else factored(index, rows["n"] > 1, spec.window))
-        flags[index.passage[hit], hit - index.base[index.passage[hit]]] = True
-        return _flagged(rows, flags)
-    which, number, h = _spread(rows, syms, spec)
-    place = (number - rows["off"][which]).astype(np.uint64)
-    key = mix(h ^ mix(rows["ah"].view(np.uint64)[which] + place * np.uint64(BASE_2)))
-    order = np.argsort(key, kind="stable")
-    heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    lengths = rows["wins"].astype(np.int64) - 1 + spec.window
+    s = np.concatenate([np.frombuffer(x, np.uint8 if spec.kind == "bytes" else np.uint64) for x in syms])
+    index = Suffixes(s, lengths, None if spec.kind == "bytes" else rows["ah"])  # equal windows lie under one anchor anyway
     if spec.distinct:
-        twice = np.minimum.reduceat(rows["lo"][which][order], heads) < np.maximum.reduceat(rows["hi"][which][order], heads)
+        found = across(index, rows["lo"], rows["hi"], spec.window)
+    elif spec.parse:
+        found = factored(index, rows["n"] > 1, spec.window)
     else:
-        twice = np.add.reduceat(rows["n"][which][order], heads) > 1
-    flags[which[order], number[order]] = np.repeat(twice, np.diff(np.append(heads, len(order))))
+        found = twice(index, rows["n"], spec.window)
+    hit = np.flatnonzero(found)
+    flags[index.passage[hit], hit - index.base[index.passage[hit]]] = True
     return _flagged(rows, flags)
 
 
@@ -272,8 +266,9 @@ def _flagged(rows: dict[str, np.ndarray], flags: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows["ah"][some]), pa.array(rows["ph"][some]), pa.array(_masks(flags[some]), pa.binary())], ["ah", "ph", "mask"])
 
 
-def _settle(spec: Spec, batches: Iterator[pa.RecordBatch], at_once: int = 1500) -> Iterator[pa.RecordBatch]:
+def _settle(spec: Spec, batches: Iterator[pa.RecordBatch], symbols_at_once: int = 100_000) -> Iterator[pa.RecordBatch]:
     """Groups arrive sorted by anchor; whole groups are settled together, some passages at a time."""
+    at_once = max(1, symbols_at_once // (spec.window + spec.span // 2))
     held: list[pa.RecordBatch] = []
     names = ("ah", "ph", "n", "lo", "hi", "wins", "off")
 

@@ -12,24 +12,39 @@ import numpy as np
 
 def _dense(key: np.ndarray) -> np.ndarray:
     """Ranks from 1."""
-    return np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+    return np.unique(key, return_inverse=True)[1].astype(np.int32) + np.int32(1)
 
 
 class Suffixes:
-    """s: symbols; lengths: of the passages in it, none empty; block: the block of each passage."""
+    """s: symbols, 64-bit ids or bytes; lengths: of the passages in it, none empty; block: the block of each passage, or None
+    if all are in one. Ids are ordered by value, bytes alphabetically."""
 
-    def __init__(self, s: np.ndarray, lengths: np.ndarray, block: np.ndarray) -> None:
+    def __init__(self, s: np.ndarray, lengths: np.ndarray, block: np.ndarray | None = None) -> None:
         self.base = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        self.passage = np.repeat(np.arange(len(lengths)), lengths)
-        self.end = (self.base + lengths)[self.passage]
-        n, at = len(s), np.arange(len(s))
-        self.left = self.end - at
-        rank = _dense(_dense(block)[self.passage] * (n + 1) + _dense(s))
-        self.ranks = [rank]
-        h = 1
+        self.passage = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        n, at, h = len(s), np.arange(len(s), dtype=np.int32), 1
+        self.ends = self.base + lengths
+        self.left = self.ends.astype(np.int32)[self.passage] - at
+
+        def later(x: np.ndarray) -> np.ndarray:
+            """x of the suffix h symbols on, 0 past the passage's end."""
+            return np.where(self.left > h, x[np.minimum(at + h, n - 1)], 0)
+
+        self.ranks = []
+        if s.dtype == np.uint8 and block is None:
+            key = s.astype(np.uint64)
+            while h < 8:  # up to eight bytes are their own rank
+                self.ranks.append(key.astype(f"u{h}"))
+                key = key << np.uint64(8 * h) | later(key).astype(np.uint64)
+                h *= 2
+            rank = _dense(key)
+        else:
+            rank = _dense(s)
+            if block is not None:
+                rank = _dense(_dense(block)[self.passage].astype(np.int64) * (n + 1) + rank)
+        self.ranks.append(rank)
         while h < int(lengths.max()):
-            rest = np.where(self.left > h, rank[np.minimum(at + h, n - 1)], 0)
-            rank = _dense(rank * (n + 1) + rest)
+            rank = _dense(rank.astype(np.int64) * (n + 1) + later(rank))
             self.ranks.append(rank)
             h *= 2
         self.order = np.argsort(rank, kind="stable")
@@ -72,7 +87,7 @@ def factored(index: Suffixes, whole: np.ndarray, window: int) -> np.ndarray:
     size = np.where(whole[index.passage], index.left, index.longest_elsewhere())
     starts = np.zeros(len(size), bool)
     at = index.base.copy()
-    stop = index.end[at]
+    stop = index.ends
     while len(at):
         starts[at] = True
         at = at + np.maximum(size[at], 1)
@@ -85,14 +100,27 @@ def factored(index: Suffixes, whole: np.ndarray, window: int) -> np.ndarray:
     return (fits & inside) | (crossing & (size >= window))
 
 
-def across(index: Suffixes, lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
-    """By place: which windows stand in two documents, where a passage's documents range from lo to hi. Equal windows lie side
-    by side in the suffix array, with common prefixes of ``window`` symbols or more."""
-    found = np.zeros(len(index.left), bool)
+def _equal_windows(index: Suffixes, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all windows in the order of the suffix array, and where each run of equal windows begins: they lie side by
+    side, with common prefixes of ``window`` symbols or more."""
     order = index.order[index.left[index.order] >= window]
-    if len(order):
-        heads = np.flatnonzero(np.append(True, index.common(order[:-1], order[1:]) < window))
-        owner = index.passage[order]
-        several = np.minimum.reduceat(lo[owner], heads) < np.maximum.reduceat(hi[owner], heads)
-        found[order] = np.repeat(several, np.diff(np.append(heads, len(order))))
+    return order, np.flatnonzero(np.append(True, index.common(order[:-1], order[1:]) < window)) if len(order) else order
+
+
+def _spread_back(index: Suffixes, order: np.ndarray, heads: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    found = np.zeros(len(index.left), bool)
+    found[order] = np.repeat(flags, np.diff(np.append(heads, len(order))))
     return found
+
+
+def across(index: Suffixes, lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
+    """By place: which windows stand in two documents, where a passage's documents range from lo to hi."""
+    order, heads = _equal_windows(index, window)
+    owner = index.passage[order]
+    return _spread_back(index, order, heads, np.minimum.reduceat(lo[owner], heads) < np.maximum.reduceat(hi[owner], heads) if len(order) else heads)
+
+
+def twice(index: Suffixes, n: np.ndarray, window: int) -> np.ndarray:
+    """By place: which windows stand twice, where a passage stands n times."""
+    order, heads = _equal_windows(index, window)
+    return _spread_back(index, order, heads, np.add.reduceat(n[index.passage[order]], heads) > 1 if len(order) else heads)

@@ -25,7 +25,7 @@ from frameloom.llm import op8_suffix_index as op8
 from frameloom.llm import op9_html as op9
 from frameloom.llm import op10_tokens as op10
 from frameloom.llm import registry
-from frameloom.llm.suffixes import Suffixes, across, factored
+from frameloom.llm.suffixes import Suffixes, across, factored, twice
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, fp string, size string, copies string, target string, n string"
@@ -118,16 +118,16 @@ def test_parse_against_blocks():
         r = random.Random(seed)
         window = r.randint(1, 6)
         parts = [[r.randint(0, r.choice((1, 2, 4))) for _ in range(r.randint(window, 14))] for _ in range(r.randint(1, 7))]
-        block, twice = [r.randint(0, 1) for _ in parts], [r.random() < 0.2 for _ in parts]
+        block, whole = [r.randint(0, 1) for _ in parts], [r.random() < 0.2 for _ in parts]
         index = Suffixes(np.array(sum(parts, []), np.uint64), np.array([len(p) for p in parts]), np.array(block))
         size, hit = [], []
         for i, p in enumerate(parts):
             others = [longest(p, q) for j, q in enumerate(parts) if j != i and block[j] == block[i]]
             best = [max(x) for x in zip([0] * len(p), *others)]
             size += best
-            hit += [k + window <= len(p) and (twice[i] or n >= window) for k, n in enumerate(best)]
+            hit += [k + window <= len(p) and (whole[i] or n >= window) for k, n in enumerate(best)]
         assert index.longest_elsewhere().tolist() == size
-        assert factored(index, np.array(twice), window).tolist() == hit
+        assert factored(index, np.array(whole), window).tolist() == hit
         lo = [r.randint(0, 2) for _ in parts]
         hi = [x + r.randint(0, 1) for x in lo]
         homes = {}
@@ -136,6 +136,16 @@ def test_parse_against_blocks():
                 homes.setdefault((b, *p[k : k + window]), set()).update((x, y))
         want = [k + window <= len(p) and len(homes[b, *p[k : k + window]]) > 1 for p, b in zip(parts, block) for k in range(len(p))]
         assert across(index, np.array(lo), np.array(hi), window).tolist() == want
+        data, times = np.array(sum(parts, []), np.uint8) + np.uint8(1), np.array([r.randint(1, 2) for _ in parts])
+        count = Counter()
+        for p, t in zip(parts, times.tolist()):
+            for k in range(len(p) - window + 1):
+                count[tuple(p[k : k + window])] += t
+        want = [k + window <= len(p) and count[tuple(p[k : k + window])] > 1 for p in parts for k in range(len(p))]
+        index = Suffixes(data, np.array([len(p) for p in parts]))
+        assert twice(index, times, window).tolist() == want
+        tails = [p[k:] for p in parts for k in range(len(p))]
+        assert [tails[x] for x in index.order] == sorted(tails)
 
 
 @pytest.mark.parametrize(("window", "gram", "limit", "batches"), [(200, 50, 4096, 4), (40, 10, 1, 3), (20, 20, 2, 1)])
