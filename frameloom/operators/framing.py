@@ -51,6 +51,14 @@ def speech_window(frames: DataFrame, key: str, order: list[str], speech: Column,
     return frames.where(speech).withColumn("window_mean", F.avg(value).over(w)).withColumn("window_n", F.count("*").over(w))
 
 
+def rolling(frames: DataFrame, key: str, order: list[str], value: str, size: int, every: int) -> DataFrame:
+    """Every ``every``-th frame once ``size`` frames are there, with window_mean and window_max of the last ``size``."""
+    w = Window.partitionBy(key).orderBy(*order)
+    last, rn = w.rowsBetween(1 - size, 0), F.row_number().over(w)
+    out = frames.withColumn("__rn", rn).withColumn("window_mean", F.avg(value).over(last)).withColumn("window_max", F.max(value).over(last))
+    return out.where((F.col("__rn") >= size) & (F.col("__rn") % every == 0)).drop("__rn")
+
+
 def counter_deltas(rows: DataFrame, key: str, tick: str, counters: list[str]) -> DataFrame:
     """Adds d_<name>, the growth of each running total since the last tick; a total that went back counts as no growth."""
     w = Window.partitionBy(key).orderBy(tick)

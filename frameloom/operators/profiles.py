@@ -81,6 +81,13 @@ def within_guard(scores: DataFrame, most: float = GUARD) -> DataFrame:
     return scores.select("key", "grp", distance.alias("distance"), (distance <= most).alias("admitted"))
 
 
+def f0_statistics(rows: DataFrame, key: str, f0: str) -> DataFrame:
+    """key, f0_mu, f0_sigma: mean and population deviation of the voiced (finite) values; 0 and 0 where none is."""
+    x = F.col(f0).cast("double")
+    voiced = F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    return rows.groupBy(key).agg(F.coalesce(F.avg(voiced), F.lit(0.0)).alias("f0_mu"), F.coalesce(F.stddev_pop(voiced), F.lit(0.0)).alias("f0_sigma"))
+
+
 def pooled(n1, mean1, var1, n2, mean2, var2):
     """The count-weighted mean and variance of two parts, as (mean, variance) columns."""
     n = n1 + n2

@@ -313,6 +313,18 @@ def identity_windows(spark, sf):
     return found.select("user_id", "event_id", _six("window_mean"), "window_n")
 
 
+def f0_statistics(spark, sf):
+    """Values as pitch; purchases count as unvoiced."""
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("f0", F.when(F.col("event_type") == "purchase", float("nan")).otherwise(F.col("value")))
+    return profiles.f0_statistics(e, "user_id", "f0").select("user_id", _six("f0_mu"), _six("f0_sigma"))
+
+
+def rolling_windows(spark, sf):
+    """Mean and largest score of the last 7 frames, at every second frame."""
+    found = framing.rolling(_frames(spark, sf), "user_id", ORDER, "score", 7, 2)
+    return found.select("user_id", "event_id", _six("window_mean"), _six("window_max"))
+
+
 def counter_deltas(spark, sf):
     """Running totals a user and day, and their growth."""
     by_day = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"))
@@ -366,7 +378,7 @@ QUERIES: dict = _named(
     cosine_pairs, pool_match_score, best_profile_match, anchor_distance_guard, as_norm_top20, profile_centroids, adapted_blend, enrollment_consistency, condition_groups, pooled_f0_merge,
     gate_hangover, gate_margin_floor, gate_runs, gate_duty_cycle, consecutive_runs, silence_force_off, preroll_lookback, rate_scale, score_asof_forward_fill, auto_learn_admission,
     soft_limit, db_gain, envelope_range_join, score_ema, adaptive_theta_gate, overlap_hysteresis, turn_detector, other_speaker_fold,
-    capture_quality, overlap_summary, separator_pick, block_levels, enrolment_windows, evenly_spaced_blocks, lookahead_pairs, onset_lookback, identity_windows, counter_deltas, survival_ratio,
+    capture_quality, overlap_summary, separator_pick, block_levels, enrolment_windows, evenly_spaced_blocks, lookahead_pairs, onset_lookback, identity_windows, counter_deltas, survival_ratio, f0_statistics, rolling_windows,
     session_fold, session_diagnostics,
 ) | relational.QUERIES
 
@@ -444,6 +456,10 @@ SELECT e.user_id, event_id, rn - 1 AS place FROM e JOIN w ON e.user_id = w.user_
   WINDOW w AS (PARTITION BY user_id ORDER BY rn), l AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
 SELECT user_id, event_id, n_before, round(s, 6) AS sum_before FROM b WHERE score > 3e-1 AND NOT coalesce(prev > 3e-1, false)""",
     "identity_windows": f"WITH e AS ({_E}) SELECT user_id, event_id, round(avg(score) OVER w, 6) AS window_mean, count(*) OVER w AS window_n FROM e WHERE score > 3e-1 WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS 4 PRECEDING)",
+    "f0_statistics": """SELECT user_id, round(coalesce(avg(value) FILTER (WHERE event_type <> 'purchase'), 0), 6) AS f0_mu,
+  round(coalesce(stddev_pop(value) FILTER (WHERE event_type <> 'purchase'), 0), 6) AS f0_sigma FROM events GROUP BY 1""",
+    "rolling_windows": f"""WITH e AS ({_E}), r AS (SELECT *, avg(score) OVER w AS m, max(score) OVER w AS x FROM e WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS 6 PRECEDING))
+SELECT user_id, event_id, round(m, 6) AS window_mean, round(x, 6) AS window_max FROM r WHERE rn >= 7 AND rn % 2 = 0""",
     "counter_deltas": """WITH d AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS d_frames, count(*) FILTER (WHERE event_type = 'error') AS d_errors FROM events GROUP BY 1, 2)
 SELECT user_id, day, CAST(sum(d_frames) OVER w AS BIGINT) AS frames, CAST(sum(d_errors) OVER w AS BIGINT) AS errors, d_frames, d_errors FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day)""",
     "survival_ratio": _GATED + """, r AS (SELECT event_type, sqrt(avg(score * score)) AS i, sqrt(avg(CASE WHEN is_on THEN score * score ELSE 0 END)) AS o FROM g GROUP BY 1)

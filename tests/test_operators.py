@@ -379,3 +379,9 @@ def test_diagnostics(spark):
     got = json.loads(diagnostics.rendered(frames, turned, "k").first().value)
     assert got["version"] == 1 and got["gate_per_frame"] == [False, True] and got["gate_decisions"] == [[0, False], [512, True]]
     assert got["score_per_frame"] == [0.25, 0.5] and got["auto_learn_events"] == [{"frame_idx": 1, "kind": "Admit", "score": 0.5, "f0_match": 1.0}]
+
+
+def test_pitch_statistics(spark):
+    rows = spark.createDataFrame([(1, 100.0), (1, 140.0), (1, float("nan")), (1, None), (2, None), (3, float("inf")), (4, 90.0)], "k long, f0 double")
+    got = {r.k: (r.f0_mu, r.f0_sigma) for r in profiles.f0_statistics(rows, "k", "f0").collect()}
+    assert got == {1: (120.0, 20.0), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (90.0, 0.0)}
