@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -40,31 +42,49 @@ def difference(x: np.ndarray, longest: int) -> np.ndarray:
     return np.maximum(energy[n - lag] + energy[n] - energy[lag] - 2 * cross, 0)
 
 
-def pitch(x: np.ndarray, rate: int, low: float = 50, high: float = 500, threshold: float = 0.1) -> float | None:
-    """The frame's pitch in Hz by the cumulative mean normalised difference; None if unvoiced or under 64 samples."""
+def _dip(norm: np.ndarray, first: int, stop: int, threshold: float) -> int | None:
+    """The first lag below the threshold, followed down to its local minimum."""
+    below = np.flatnonzero(norm[first:stop] < threshold)
+    if not len(below):
+        return None
+    t = first + int(below[0])
+    rises = np.flatnonzero(np.diff(norm[t:stop]) >= 0)
+    return t + int(rises[0]) if len(rises) else stop - 1
+
+
+def pitch(x: np.ndarray, rate: int, low: float = 50, high: float = 500, threshold: float = 0.1, hint: float | None = None) -> float | None:
+    """The frame's pitch in Hz by the cumulative mean normalised difference; None if unvoiced or under 64 samples. With a hint
+    in Hz the lags from 0.7 to 1.4 of its own are tried before all others."""
     x = np.asarray(x, np.float64)
     if len(x) < 64:
         return None
-    least, most = max(2, int(rate / high)), min(len(x) // 2, int(rate / low) + 1)
-    if most <= least + 1:
+    least, most = max(2, int(rate / high)), min(len(x) // 2, int(rate / low))
+    if most <= least:
         return None
     d = difference(x, most + 1)
     total = np.cumsum(d[1:])
     norm = np.ones(most + 1)
     norm[1:] = np.where(total > 0, d[1:] * np.arange(1, most + 1) / np.maximum(total, 1e-300), 1.0)
-    below = np.flatnonzero(norm[least:most] < threshold)
-    if not len(below):
+    t, near = None, int(rate / hint) if hint and math.isfinite(hint) and hint > 0 else 0
+    if least <= near <= most:
+        first, stop = max(least, int(near * 0.7)), min(most, int(near * 1.4))
+        t = _dip(norm, first, stop, threshold) if stop > first + 1 else None
+    t = _dip(norm, least, most, threshold) if t is None else t
+    if t is None:
         return None
-    t = least + int(below[0])
-    while t + 1 < most and norm[t + 1] < norm[t]:
-        t += 1
-    a, b, c = norm[t - 1], norm[t], norm[t + 1]
-    bend = a - 2 * b + c
-    return float(rate / (t + (0.5 * (a - c) / bend if bend else 0.0)))
+    bend = norm[t - 1] - 2 * norm[t] + norm[t + 1] if t + 1 < most else 0.0
+    lag = t + (0.5 * (norm[t - 1] - norm[t + 1]) / bend if bend else 0.0)
+    return float(rate / lag) if lag > 0 else None
 
 
 def pitch_track(audio: np.ndarray, rate: int = RATE, frame: int = 2048, hop: int = 512, low: float = 50, high: float = 500) -> list[float | None]:
-    return [pitch(audio[i : i + frame], rate, low, high) for i in range(0, max(0, len(audio) - frame) + 1, hop)] if len(audio) >= frame else []
+    """The pitch of every whole frame; the last voiced one is the next frame's hint."""
+    out: list[float | None] = []
+    hint = None
+    for i in range(0, len(audio) - frame + 1, hop):
+        out.append(pitch(audio[i : i + frame], rate, low, high, hint=hint))
+        hint = hint if out[-1] is None else out[-1]
+    return out
 
 
 def resample(audio: np.ndarray, to_rate: int, from_rate: int, half: int = 16) -> np.ndarray:

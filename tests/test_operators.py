@@ -385,3 +385,14 @@ def test_pitch_statistics(spark):
     rows = spark.createDataFrame([(1, 100.0), (1, 140.0), (1, float("nan")), (1, None), (2, None), (3, float("inf")), (4, 90.0)], "k long, f0 double")
     got = {r.k: (r.f0_mu, r.f0_sigma) for r in profiles.f0_statistics(rows, "k", "f0").collect()}
     assert got == {1: (120.0, 20.0), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (90.0, 0.0)}
+
+
+def test_pitch_hint():
+    t = np.arange(2048) / 16_000
+    x = 0.5 * np.sin(2 * np.pi * 220 * t) + 0.25 * np.sin(2 * np.pi * 440 * t)
+    assert dsp.pitch(x, 16_000, hint=110.0) == pytest.approx(110, rel=0.05)  # twice the period repeats as well
+    for hint in (None, 220.0, 3.0, float("nan"), 9000.0):
+        assert dsp.pitch(x, 16_000, hint=hint) == pytest.approx(220, rel=0.05)
+    noise = np.random.default_rng(0).normal(size=2048)
+    assert dsp.pitch_track(np.concatenate([x, noise, x]))[0] == pytest.approx(220, rel=0.05) and dsp.pitch(noise, 16_000, hint=220.0) is None
+    assert dsp.pitch_track(x[:100]) == []
