@@ -160,7 +160,8 @@ def anchors(s: np.ndarray, ends: np.ndarray, spec: Spec) -> tuple[np.ndarray, ..
 
 def _blocks(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Documents in blocks of about BLOCK symbols: [(doc_id, th, offset)] and their symbols. Documents over SEGMENT
-    symbols come in overlapping parts, so that each window lies in one part."""
+    symbols come in overlapping parts, so that each window lies in one part; a block may hold some of them only, as its places
+    must fit POS_BITS."""
     rows, parts, size = [], [], 0
     for batch in batches:
         for doc, th, text in zip(batch["doc_id"].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
@@ -169,9 +170,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[tuple[lis
                 rows.append((doc, th, at))
                 parts.append(s[at : at + SEGMENT + spec.window - 1])
                 size += len(parts[-1])
-            if size >= BLOCK:
-                yield rows, parts
-                rows, parts, size = [], [], 0
+                if size >= BLOCK:
+                    yield rows, parts
+                    rows, parts, size = [], [], 0
     if rows:
         yield rows, parts
 

@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -24,7 +25,7 @@ from frameloom.llm import op7_media as op7
 from frameloom.llm import op8_suffix_index as op8
 from frameloom.llm import op9_html as op9
 from frameloom.llm import op10_tokens as op10
-from frameloom.llm import registry
+from frameloom.llm import registry, repeats
 from frameloom.llm.suffixes import Suffixes, across, factored, twice
 
 SF = "/root/testdata/sf0.001"
@@ -159,6 +160,25 @@ def test_suffix_dedup(spark, docs, window, gram, limit, batches):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("kind", ["words", "bytes"])
+def test_places_of_long_texts(monkeypatch, kind):
+    monkeypatch.setattr(repeats, "SEGMENT", 64)
+    monkeypatch.setattr(repeats, "BLOCK", 32)
+    monkeypatch.setattr(repeats, "POS_BITS", 8)
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{v}" for v in rng.integers(0, 9, 700))
+    spec = repeats.Spec(12, 4, kind)
+    s = repeats.symbols(text, kind)
+    grams, seen = repeats.window_hashes(s, 4), []
+    rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], ["doc_id", "th", "text"])
+    for batch in repeats._entries(spec, iter([rows])):
+        for x in batch.to_pylist():
+            start, wins, off = x["pack"] >> 24, x["pack"] >> 12 & 4095, x["pack"] & 4095
+            assert grams.view(np.int64)[start + off] == x["ah"]
+            seen += range(start, start + wins)
+    assert seen == list(range(len(s) - 11))
+
+
 def brute_simhash(text: str | None) -> int:
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
