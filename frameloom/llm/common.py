@@ -74,3 +74,20 @@ def parallel(df: DataFrame) -> int:
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, th and text, where (doc_id, th) names a row up to exact repeats of that row."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, th) with columns that name a row and are never null."""
+    return rows.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull(), "__th": F.col("th")})
+
+
+NAME = ["__none", "__id", "__th"]
+
+
+def one_each(docs: DataFrame, rooted: DataFrame, work: str) -> DataFrame:
+    """One row of docs for each root, that of the smallest doc_id (none comes last), then of the least hash of its text;
+    rooted: doc_id, th and root of every row. Columns as in docs."""
+    first = named(rooted).groupBy("root").agg(F.min(F.struct(*NAME)).alias("x")).select("x.*")
+    own = named(docs.withColumn("th", F.xxhash64("text"))).select(*NAME, F.struct(*docs.columns).alias("row"))
+    kept = own.join(staged(first, f"{work}/firsts").hint("merge"), NAME)
+    return kept.groupBy(*NAME).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")

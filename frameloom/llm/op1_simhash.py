@@ -21,10 +21,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import release, slices, staged, work_dir
+from frameloom.llm.common import keyed, one_each, release, slices, staged, work_dir
 from frameloom.llm.components import components
 
 RADIUS, SHINGLE, SEED, BUCKET_LIMIT = 2, 3, 42, 512
@@ -52,12 +52,12 @@ def simhash(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int
 def _fingerprints(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1024):
         found = [simhash(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in batch["text"]]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(found, pa.int64())], ["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed long)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_fingerprints, shingle), "doc_id long, fp long")
+    """doc_id, th (text hash), fp (signed long)."""
+    return keyed(docs).mapInArrow(partial(_fingerprints, shingle), "doc_id long, th long, fp long")
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -112,27 +112,30 @@ def links(fps: DataFrame, work: str, radius: int = RADIUS, bucket_limit: int = B
     return edges
 
 
+def _rooted(spark: SparkSession, prints: DataFrame, work: str, radius: int, bucket_limit: int) -> DataFrame:
+    """fp, lo (smallest doc_id under it), root (least fingerprint that links reach)."""
+    fps = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("lo")), f"{work}/distinct")
+    root = components(spark, links(fps, work, radius, bucket_limit), work)
+    release(spark)
+    return staged(fps.join(root.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "lo", F.coalesce("root", "fp").alias("root")), f"{work}/rooted")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links reach), one row a row of docs."""
     work = work_dir(spark, "simhash")
     prints = staged(fingerprints(docs, shingle), f"{work}/fingerprints")
-    fps = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("lo")), f"{work}/distinct")
-    root = components(spark, links(fps, work, radius, bucket_limit), work)
-    release(spark)
-    rooted = staged(fps.join(root.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "lo", F.coalesce("root", "fp").alias("root")), f"{work}/rooted")
+    rooted = _rooted(spark, prints, work, radius, bucket_limit)
     least = staged(rooted.groupBy("root").agg(F.min("lo").alias("component_id")), f"{work}/least")
     named = staged(rooted.join(least.hint("merge"), "root").select("fp", "component_id"), f"{work}/named")
     return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of docs for each component, that of the smallest doc_id; columns as in docs. Repeated rows of that doc_id
-    leave the one with the least hash of its text."""
-    found = near_duplicates(spark, docs, shingle, radius)
-    firsts = staged(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__first")).distinct(), work_dir(spark, "firsts"))
-    kept = docs.join(firsts.hint("merge"), docs["doc_id"].eqNullSafe(firsts["__id"]))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    """One row of docs for each component; columns as in docs."""
+    work = work_dir(spark, "simhash")
+    prints = staged(fingerprints(docs, shingle), f"{work}/fingerprints")
+    rooted = _rooted(spark, prints, work, radius, BUCKET_LIMIT)
+    return one_each(docs, prints.join(rooted.select("fp", "root").hint("merge"), "fp"), work)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

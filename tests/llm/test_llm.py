@@ -209,6 +209,13 @@ def test_simhash(spark, docs, radius, limit):
     assert op1.deduplicated(spark, docs).count() == len({str(c) for c in brute_components(rows, 2)[0]})
 
 
+def test_one_row_a_component(spark):
+    texts = [" ".join(f"{a}{k}" for k in range(40)) for a in "pqrst"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[4]), (9, texts[4])]
+    got = [tuple(r) for r in op1.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])]))
+
+
 @pytest.mark.parametrize("limit", [512, 1])
 def test_near_fingerprints_link(spark, tmp_path, limit):
     rng = np.random.default_rng(5)
