@@ -216,6 +216,36 @@ def test_one_row_a_component(spark):
     assert sorted(map(str, got)) == sorted(map(str, [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])]))
 
 
+def test_near_copies_go(spark):
+    import corpus_pipeline
+
+    rng, texts = np.random.default_rng(8), [None, "", "one two", "One  two", "one three"]
+    for k, changes in [(100, 1), (100, 2), (300, 3), (300, 5), (300, 7), (300, 30), (1000, 10), (60, 1), (60, 3)] * 3:
+        words = [f"w{v}" for v in rng.integers(0, 3000, k)]
+        texts.append(" ".join(words))
+        for _ in range(4):
+            copy = list(words)
+            for place in rng.choice(k, changes, replace=False):
+                copy[place] = f"x{rng.integers(0, 3000)}"
+            texts.append(" ".join(copy))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))})
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    low, changed = list(range(len(sets))), True
+    while changed:
+        changed = False
+        for a, b in near:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(low))
+
+
 @pytest.mark.parametrize("limit", [512, 1])
 def test_near_fingerprints_link(spark, tmp_path, limit):
     rng = np.random.default_rng(5)
