@@ -5,13 +5,14 @@ and elements whose role, class or id says menu, advert, notice, comment and the
 article or main element are *known* text; the others are *open*. A page with known text consists of it.
 
 For the other pages the token streams of all blocks that are not known text are concatenated by host, and ``repeats`` finds
-every run of ``window`` tokens that stands on two distinct pages of one host. A token's symbol carries its host, so hosts never
+every run of ``window`` tokens that stands on two pages of distinct content of one host. A token's symbol carries its host, so hosts never
 match each other. A host is not one array in one task: its streams are cut at anchors, and the passages under one anchor
-have a suffix array of their own (``suffixes``), so that a hot host is spread over tasks. Open blocks of which
-at least half the tokens are covered are removed as boilerplate, the unique ones are kept. Known text is never put into
+have a suffix array of their own (``suffixes``), so that a hot host is spread over tasks. The
+covered tokens of an open block are cut as boilerplate, the others are kept, joined by a space. Known text is never put into
 the arrays: an article that a host shows twice is still the article.
 
-Defined results: null html gives an empty text; a null url is a host of its own. Repeated rows are one page to the arrays.
+Defined results: null html gives an empty text; a null url is a host of its own. Pages of one host with equal blocks are one page to the
+arrays, whatever their ids and urls.
 Markup that ends early is read as far as it goes. Extra columns are ignored.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from frameloom.llm.common import slices, staged, work_dir
 from frameloom.llm.repeats import Spec, covered, marks, mix
 
-WINDOW, GRAM, COVERED = 8, 3, 0.5
+WINDOW, GRAM = 8, 3
 
 # Names from the HTML standard and common class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -149,15 +150,23 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def _content(found: list[tuple[str, str]], url: str | None) -> tuple[int, int]:
+    """Signed hashes of a page's blocks and of its host."""
+    both = np.array([xxhash.xxh3_64_intdigest("\0".join(f"{kind} {text}" for kind, text in found).encode("utf-8", "surrogatepass")), xxhash.xxh3_64_intdigest(host_of(url))], np.uint64)
+    return tuple(both.view(np.int64).tolist())
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens outside known text, as symbols of their host."""
+    """The tokens outside known text, as symbols of their host; doc_id and th name a content and its host."""
     for batch in slices(batches):
-        ids = []
+        names, ids = [], []
         for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            tokens = [t for kind, text in blocks(page or "") if kind != "text" for t in text.encode("utf-8", "surrogatepass").split()]
-            host = np.uint64(xxhash.xxh3_64_intdigest(host_of(url)))
+            found = blocks(page or "")
+            names.append(_content(found, url))
+            tokens = [t for kind, text in found if kind != "text" for t in text.encode("utf-8", "surrogatepass").split()]
+            host = np.int64(names[-1][1]).view(np.uint64)
             ids.append(mix(np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64) ^ host).tobytes())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(ids, pa.binary())], ["doc_id", "th", "text"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*names)), pa.array(ids, pa.binary())], ["doc_id", "th", "text"])
 
 
 def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,45 +184,49 @@ def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pages with open blocks and no known text, as they are."""
+    """The pages with open blocks and no known text, as they are, with the names of their streams."""
     for batch in slices(batches):
-        keep = []
-        for i, page in enumerate(batch["html"].to_pylist()):
-            kinds = {kind for kind, _ in blocks(page or "")}
+        keep, names = [], []
+        for i, (url, page) in enumerate(zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)):
+            found = blocks(page or "")
+            kinds = {kind for kind, _ in found}
             if "open" in kinds and "text" not in kinds:
                 keep.append(i)
-        yield batch.take(pa.array(keep, pa.int64()))
+                names.append(_content(found, url))
+        rows = batch.take(pa.array(keep, pa.int64()))
+        content, host = (pa.array([x[k] for x in names], pa.int64()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([rows["doc_id"], content, host, rows["url"], rows["html"]], ["page_id", "doc_id", "th", "url", "html"])
 
 
-def _open(spec: Spec, share: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the open blocks of which less than share is covered."""
+def _open(spec: Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep the tokens of the open blocks that are not covered."""
     for batch in slices(batches):
         texts = []
         for page, runs in zip(batch["html"].to_pylist(), batch["runs"].to_pylist(), strict=True):
-            found = [(kind, text, len(text.split())) for kind, text in blocks(page or "") if kind != "text"]
-            hit, at, kept = covered(sum(n for *_, n in found), runs, spec), 0, []
-            for kind, text, n in found:
-                if kind == "open" and hit[at : at + n].sum() < share * n:
-                    kept.append(text)
-                at += n
+            found = [(kind, text.split()) for kind, text in blocks(page or "") if kind != "text"]
+            hit, at, kept = covered(sum(len(words) for _, words in found), runs, spec), 0, []
+            for kind, words in found:
+                own = [w for w, cut in zip(words, hit[at : at + len(words)].tolist(), strict=True) if not cut]
+                if kind == "open" and own:
+                    kept.append(" ".join(own))
+                at += len(words)
             texts.append("\n\n".join(kept))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 OUT = "page_id long, url string, text string"
 
 
-def main_text(spark: SparkSession, pages: DataFrame, window: int = WINDOW, gram: int = GRAM, share: float = COVERED, group_limit: int = 4096) -> DataFrame:
+def main_text(spark: SparkSession, pages: DataFrame, window: int = WINDOW, gram: int = GRAM, group_limit: int = 4096) -> DataFrame:
     """page_id, url, text, one row a row of pages (page_id, url, html)."""
     spec, work = Spec(window, gram, "ids", distinct=True, group_limit=group_limit), work_dir(spark, "hosts")
-    own = pages.select(F.col("page_id").cast("long").alias("doc_id"), F.xxhash64("url", "html").alias("th"), "url", "html")
+    own = pages.select(F.col("page_id").cast("long").alias("doc_id"), "url", "html")
     known = own.mapInArrow(_known, OUT)
-    rest = staged(own.mapInArrow(_unknown, "doc_id long, th long, url string, html string"), f"{work}/rest")
-    streams = staged(own.mapInArrow(_streams, "doc_id long, th long, text binary"), f"{work}/streams")
+    rest = staged(own.mapInArrow(_unknown, "page_id long, doc_id long, th long, url string, html string"), f"{work}/rest")
+    streams = staged(own.mapInArrow(_streams, "doc_id long, th long, text binary").groupBy("doc_id", "th").agg(F.first("text").alias("text")), f"{work}/streams")
     found = staged(marks(spark, streams, spec, work), f"{work}/marks")
-    on = F.col("p.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("p.th") == F.col("m.th"))
-    judged = rest.alias("p").join(found.hint("merge").alias("m"), on, "left").select("p.doc_id", "p.url", "p.html", "m.runs")
-    return known.unionByName(judged.mapInArrow(partial(_open, spec, share), OUT))
+    judged = rest.join(found.hint("merge"), ["doc_id", "th"], "left").select("page_id", "url", "html", "runs")
+    return known.unionByName(judged.mapInArrow(partial(_open, spec), OUT))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -396,6 +396,15 @@ def test_html(spark):
     assert got == [(1, "Head&line\n\nOne two three\n\nfour <x>\n\nfive\n\nsix"), (2, "unique text of page two"), (2, "unique text of page two"), (3, "another unique text"), (4, line), (5, ""), (6, "")]
 
 
+def test_html_cuts_only_repeats(spark):
+    notice = "this notice stands on each page of the host since its start"
+    own = "twelve words of one page alone that no other page of it says"
+    some = "a page crawled twice under two ids is still one page of its host"
+    rows = [(1, "http://h.org/1", f"<p>{own} {notice}</p>"), (2, "http://h.org/2", f"<p>{notice}</p><p>more</p>"), (3, "http://h.org/3", f"<p>ahead {notice} behind</p>"), (4, "http://h.org/4", f"<p>{some}</p>"), (5, "http://h.org/5", f"<p>{some}</p>"), (6, "http://i.org/", f"<p>{some}</p>"), (None, "http://h.org/4", f"<p>{some}</p>")]
+    got = {r.page_id: r.text for r in op9.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: own, 2: "more", 3: "ahead behind", 4: some, 5: some, 6: some, None: some}
+
+
 def test_inline_boilerplate():
     page = '<article><p>One <a class="share">tell <a>your</a> friends</a> two.<p>Three <span hidden>x <span>y</span> z</span>four <b class="ad">b<div>in</div></b><p>five</article>'
     assert [text for kind, text in op9.blocks(page) if kind == "text"] == ["One two.", "Three four", "five"]
