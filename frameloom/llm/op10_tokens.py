@@ -1,8 +1,9 @@
 """Token ids in binary files: one zstandard frame a document, with a shared dictionary and an offset index.
 
 Ids are serialized as little-endian unsigned 16-bit integers (32-bit for vocabularies of over 65,536 ids) and each document
-is compressed by itself with a dictionary trained on serialized id arrays of a bounded sample (``sample_docs`` documents, the
-first by a hash of their ids, an eighth of the dictionary's samples at least). A file holds a header, the frames in ascending
+is compressed by itself with a dictionary trained on the serialized id arrays of a bounded sample: at most ``sample_docs``
+documents, those of the least hash of id and text, whole, in pieces of ``PIECE`` bytes, and a dictionary of an eighth of these
+bytes at most. A sample too small to train on is a dictionary itself, as it is. A file holds a header, the frames in ascending
 doc_id order, and an index: doc_id, offset, length and number of ids of every document, with the dictionary's hash. One
 document is read with one read of the index and one of its frame.
 
@@ -13,8 +14,9 @@ Tokenizing: the pre-tokenizer never joins a visible character to white space aft
 its pieces, each led by the white space before it. The library encodes each piece; a worker keeps the results of short pieces
 after a single space or line feed (at most ``CACHE``), as words repeat. Texts with other white space go to the library whole.
 
-Defined results: null counts as empty, whose only id is the end id. Ties of doc_id stand by a hash of the text. Extra columns
-are ignored; an empty table writes no file.
+Defined results: null counts as empty, whose only id is the end id. Ties of doc_id stand by a hash of the text, and repeated rows
+follow each other. Very long texts are one frame, which a task holds as a whole. Extra columns of any name are ignored; an
+empty table writes no file.
 """
 
 from __future__ import annotations
@@ -39,9 +41,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import kept_by_worker, parallel, release, slices, staged, work_dir
+from frameloom.llm.common import kept_by_worker, out_dir, parallel, release, remove, sampled, slices, staged
 
-END_ID, SAMPLE_DOCS, DICT_BYTES, CACHE, LEVEL = 0, 1000, 1 << 16, 500_000, 3
+END_ID, SAMPLE_DOCS, DICT_BYTES, PIECE, CACHE, LEVEL = 0, 1000, 1 << 16, 1 << 16, 500_000, 3
 MAGIC = b"FLTOK001"
 
 
@@ -145,19 +147,20 @@ def _encode(path: str, dictionary: bytes, batches: Iterator[pa.RecordBatch]) ->
 
 
 def _serialized(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([serialized(t or "", path)[: 1 << 16] for t in batch["text"].to_pylist()], pa.binary())], ["ids"])
+    """The serialized ids of every text, in pieces."""
+    for batch in slices(batches, 16):
+        found = [serialized(t or "", path) for t in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[a : a + PIECE] for x in found for a in range(0, len(x), PIECE)], pa.binary())], ["ids"])
 
 
 def trained_dictionary(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, size: int = DICT_BYTES) -> bytes:
-    """A dictionary from at most sample_docs documents; empty if they are too few to train one."""
-    first = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()
-    some = docs.where(F.col("doc_id").isin([r[0] for r in first])).select("text").limit(sample_docs)
-    samples = [r[0] for r in some.mapInArrow(partial(_serialized, path), "ids binary").toLocalIterator()]
+    """A dictionary from at most sample_docs documents; the last bytes of the sample if that is too small to train on."""
+    some = sampled(docs.select("doc_id", "text", F.lit(0).alias("by")), sample_docs).select("text")
+    samples = sorted(r[0] for r in some.mapInArrow(partial(_serialized, path), "ids binary").toLocalIterator())
     try:
-        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), sorted(samples)).as_bytes()
+        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""
+        return b"".join(samples)[-size:]
 
 
 def _write(folder: str, code: str, dictionary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +238,7 @@ FILES = "number int, file string, first_doc long, documents long, tokens long"
 
 
 def written(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, bytes]:
-    """Write the token files of docs (doc_id, text) under folder: the list of files with the place of each one's first id,
+    """Write the token files of docs (doc_id, text) under folder, which is the caller's to keep or remove: the list of files with the place of each one's first id,
     and the dictionary, which is also written beside them."""
     path = vocabulary or default_vocabulary()
     dictionary = trained_dictionary(docs, path, sample_docs)
@@ -245,6 +248,7 @@ def written(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str |
     order = [F.col("doc_id").asc_nulls_first(), F.col("th")]
     dealt = frames.repartitionByRange(parallel(docs), *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "frame")
     files = staged(dealt.mapInArrow(partial(_write, f"{folder}/files", _code(path), hashlib.sha256(dictionary).hexdigest()), FILES), f"{folder}/list")
+    remove(spark, f"{folder}/frames")
     release(spark)
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return files.withColumn("start", before), dictionary
@@ -256,4 +260,4 @@ def documents_of(files: DataFrame, dictionary: bytes) -> DataFrame:
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_of(*written(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), work_dir(spark, "tokens")))
+    return documents_of(*written(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), out_dir(spark, "tokens")))

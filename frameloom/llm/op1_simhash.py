@@ -5,12 +5,15 @@ Every fingerprint bit i gets a vector m(i) in {0,1}^(r+1), and every nonzero v i
 them: the pair agrees on that mask. 2^(r+1) - 1 tables thus hold every pair within the radius.
 
 Copies collapse first: the tables hold distinct fingerprints. Buckets of up to ``bucket_limit`` fingerprints are compared in
-one task and leave a spanning forest, never all pairs. Fingerprints of larger buckets are linked without comparing them:
-each is dealt to itself and its one-bit neighbours; two within distance 2 meet at a common point, and what meets at a point
-lies within distance 2, so a star per point (65 members at most) has the same components.
-
-Defined results: null, empty and white-space texts have fingerprint zero and are linked like any other. Repeated rows share
-a fingerprint. Extra columns are ignored.
+one task and leave a spanning forest, never all pairs. What lies in one larger bucket agrees on its mask, so it is dealt again
+by the same construction over the bits that the mask leaves open: of n open bits a new mask fixes about four sevenths (radius
+2), every pair within the radius still meets in some bucket, and after three rounds a bucket cannot hold over 2^5 distinct
+fingerprints. Buckets of tables with 9 open bits or fewer hold 512 at most and are always compared.
+
+Defined results: null, empty and white-space texts have fingerprint zero and are linked like any other. Very long texts are
+read whole, 65,536 shingles at a time. Repeated rows share a fingerprint, and ties in doc_id fall to the least text hash. Null
+doc_ids never name a component that holds another id. Extra columns of any name are ignored, and kept by ``deduplicated``; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,11 +63,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return keyed(docs).mapInArrow(partial(_fingerprints, shingle), "doc_id long, th long, fp long")
 
 
-def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
-    """Signed masks, one a table."""
-    vectors = [i % (2 ** (radius + 1) - 1) + 1 for i in range(bits)]
-    found = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
-    return [x - (1 << 64) if x >> 63 else x for x in found]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def masks(radius: int = RADIUS, bits: list[int] | None = None) -> list[int]:
+    """Signed masks over the given bits, one a table: two values that differ in at most ``radius`` of these bits agree on one."""
+    bits, whole = list(range(64)) if bits is None else bits, 2 ** (radius + 1)
+    vectors = [i % (whole - 1) + 1 for i in range(len(bits))]
+    return [_signed(sum(1 << b for b, m in zip(bits, vectors, strict=True) if (m & v).bit_count() % 2)) for v in range(1, whole)]
 
 
 def _forest(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,24 +99,28 @@ def _forest(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def links(fps: DataFrame, work: str, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints within the radius."""
-    if radius not in (1, 2):
-        raise ValueError("radius: 1 or 2")
-    tables = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))]))
-    dealt = staged(fps.select("fp", tables.alias("x")).select("x.t", "x.key", "fp"), f"{work}/tables")
-    full = staged(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), f"{work}/buckets")
-    met = dealt.join(full.hint("merge"), ["t", "key"])
-    small = met.where(F.col("n") <= bucket_limit).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
-    edges = small.select("fps").mapInArrow(partial(_forest, radius), "a long, b long")
-    if full.where(F.col("n") > bucket_limit).limit(1).count():
-        bits = [F.lit((1 << i) - (1 << 64) * (i == 63)) for i in range(64)]
-        if radius == 2:  # a fingerprint and its one-bit neighbours
-            near = F.array(*[F.struct(F.lit(0).alias("i"), z.alias("z")) for z in (F.col("fp"), *[F.col("fp").bitwiseXOR(x) for x in bits])])
-        else:  # the fingerprint with one bit left open
-            near = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseOR(x).alias("z")) for i, x in enumerate(bits)])
-        large = staged(met.where(F.col("n") > bucket_limit).select("fp").distinct().select("fp", F.explode(near).alias("z")), f"{work}/points")
-        heads = large.groupBy("z").agg(F.min("fp").alias("head"), F.collect_list("fp").alias("all"))
-        edges = edges.unionByName(heads.select(F.col("head").alias("a"), F.explode("all").alias("b")).where("a <> b"))
-    return edges
+    if not 1 <= radius <= 4:
+        raise ValueError("radius: 1 to 4")
+    spark = fps.sparkSession
+    tables = {0: 0}  # the signed mask of each table of this round, before its bits are dealt out
+    large, edges, step = fps.select(F.lit(0).alias("t"), "fp"), None, 0
+    while True:
+        new = []
+        for t, mask in tables.items():
+            open_bits = [b for b in range(64) if not mask >> b & 1]
+            new += [(t, len(new) + i, mask | m) for i, m in enumerate(masks(radius, open_bits))]
+        tables = {i: m for _, i, m in new}
+        deal = F.broadcast(spark.createDataFrame(new, "t int, i int, mask long"))  # 7, 49 or 343 rows at radius 2
+        dealt = staged(large.join(deal, "t").select(F.col("i").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), f"{work}/tables-{step}")
+        full = staged(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), f"{work}/buckets-{step}")
+        met = dealt.join(full.hint("merge"), ["t", "key"])
+        few = [i for i, m in tables.items() if 64 - (m % (1 << 64)).bit_count() <= 9]
+        small = (F.col("n") <= bucket_limit) | F.col("t").isin(few)
+        found = met.where(small).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(partial(_forest, radius), "a long, b long")
+        edges = found if edges is None else edges.unionByName(found)
+        if not full.where(~small).limit(1).count():
+            return edges
+        large, step = met.where(~small).select("t", "fp"), step + 1
 
 
 def _rooted(spark: SparkSession, prints: DataFrame, work: str, radius: int, bucket_limit: int) -> DataFrame:

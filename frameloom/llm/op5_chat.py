@@ -6,11 +6,12 @@ first rendered as it is and read back; while what is read differs from the sourc
 more inside (and in a role also backslashes and newlines are escaped), so a text needs escapes only if it conflicts.
 
 Turns are rendered where they are, one row a turn, without a shuffle; a conversation is its turns' renderings in order.
-``read_back`` reads conversations from the sorted rendering one turn at a time, so its memory does not grow with a
-conversation's length.
+``read_back`` feeds these to ``Stream`` as one string in which nothing but the grammar says where a turn begins or ends. It
+keeps only the turn that is not yet whole, so its memory does not grow with a conversation's length.
 
 Defined results: null role and null text are empty. Turns stand by turn (null first), then role and text, so ties are
-ordered. Repeated rows are kept. Extra columns are ignored; an empty table gives no conversations.
+ordered. Repeated rows are kept. A null conv_id is a conversation of its own. Very long texts are one turn like any other, which
+is held as a whole. Extra columns of any name are ignored; an empty table gives no conversations.
 """
 
 from __future__ import annotations
@@ -61,6 +62,34 @@ def parse(data: str) -> list[tuple[str, str, int, int]] | None:
     return found
 
 
+class Stream:
+    """Reads the turns of a string that arrives in pieces."""
+
+    def __init__(self) -> None:
+        self.rest, self.at = "", 0
+
+    def feed(self, data: str) -> list[tuple[str, str, int, int]]:
+        """The turns that are now whole: role, text, and where in the string the raw text begins and ends."""
+        self.rest += data
+        out = []
+        while line := self.rest.find("\n") + 1:
+            mark = _MARK.search(self.rest, line)
+            if not mark or len(self.rest) == mark.end():
+                break
+            turn = parse(self.rest[: mark.end() + 1])
+            if not turn:
+                raise ValueError("the string does not follow the grammar")
+            role, text, a, b = turn[0]
+            out.append((role, text, self.at + a, self.at + b))
+            self.at += mark.end() + 1
+            self.rest = self.rest[mark.end() + 1 :]
+        return out
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError("the string ends inside a turn")
+
+
 def render_turn(role: str, text: str) -> str:
     """The least escaped rendering that reads back as this one turn."""
     for r in (role, _escape_role(role)):
@@ -90,39 +119,52 @@ def formatted_turns(conversations: DataFrame) -> DataFrame:
     return rows.mapInArrow(_render, "conv_id long, turn long, role string, text string, rendered string, loss_begin long, loss_end long")
 
 
+class _Conversation:
+    """What is read of one conversation: digests of its turns and of the text under the loss mask."""
+
+    def __init__(self, name: int | None) -> None:
+        self.name, self.stream, self.turns, self.loss = name, Stream(), hashlib.sha256(), hashlib.sha256()
+        self.count = self.masked = self.chars = 0
+        self.mask: list[tuple[int, int]] = []
+
+    def add(self, data: str, begin: int | None, end: int | None) -> None:
+        if begin is not None:
+            self.mask.append((self.chars + begin, self.chars + end))
+        self.chars += len(data)
+        for role, text, a, b in self.stream.feed(data):
+            self.turns.update(f"{role}\n{text}\n".encode())
+            self.count += 1
+            if self.mask and self.mask[0] == (a, b):
+                self.mask.pop(0)
+                self.loss.update(text.encode())
+                self.masked += len(text)
+
+    def row(self) -> tuple:
+        self.stream.close()
+        if self.mask:
+            raise ValueError("the loss mask does not lie on whole texts")
+        return self.name, self.count, self.turns.hexdigest(), self.masked, self.loss.hexdigest(), self.chars
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    now, rows, begun = None, [], False
-    turns = loss = None
-    count = masked = chars = 0
-
-    def done() -> list:
-        return [now, count, turns.hexdigest(), masked, loss.hexdigest(), chars]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
-    def out() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
+    now = None
     for batch in slices(batches, 1024):
-        for conv, data, begin, end in zip(batch["conv_id"].to_pylist(), batch["rendered"].to_pylist(), batch["loss_begin"].to_pylist(), batch["loss_end"].to_pylist(), strict=True):
-            if not begun or conv != now:
-                if begun:
-                    rows.append(done())
-                now, begun, turns, loss, count, masked, chars = conv, True, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-            for role, text, _, _ in parse(data):
-                turns.update(f"{role}\n{text}\n".encode())
-                count += 1
-            chars += len(data)
-            if begin is not None:
-                text = _unescape(data[begin:end])
-                loss.update(text.encode())
-                masked += len(text)
-        if rows:
-            yield out()
-            rows = []
-    if begun:
-        rows.append(done())
-        yield out()
+        rows = []
+        for conv, data, begin, end in zip(*(batch[c].to_pylist() for c in ("conv_id", "rendered", "loss_begin", "loss_end")), strict=True):
+            if now is None or conv != now.name:
+                if now is not None:
+                    rows.append(now.row())
+                now = _Conversation(conv)
+            now.add(data, begin, end)
+        yield out(rows)
+    if now is not None:
+        yield out([now.row()])
 
 
 def read_back(turns: DataFrame) -> DataFrame:

@@ -7,27 +7,34 @@ item, is a hit, and the state of its last words names the items that hold them.
 Most words of a document are in no item, so word pairs are looked up first, all at once; the automaton runs over the runs
 of words whose neighbouring pairs all occur in items, as outside them its match is no longer than one word.
 
-Items are taken in blocks of at most ``block_words`` words, which bounds the automaton that is sent to tasks; with more
-items than one block holds, the documents are scanned once a block and hits are merged by document.
-
-Defined results: null, empty and symbols-only texts have no words and no hits. An item without words has no window.
-Repeated documents are judged alike; equal items under several ids are all named; a null item_id is written as an empty
-string. Extra columns are ignored here and kept by ``clean``.
+Items are dealt to blocks of about ``block_words`` words by a hash, longer items in parts that overlap by a window less one
+word. Each block's automaton is built in a task and written as a file to the shared folder, so that neither the driver nor a
+broadcast holds the benchmark; the driver has the list of files. Documents are scanned once: a task takes some documents at a time,
+``AT_ONCE`` bytes where there are several blocks, and lets every block's automaton run over them, one in memory after the other.
+
+Defined results: null, empty and symbols-only texts have no words and no hits. Very long texts are scanned whole. An item
+without words has no window, and an empty benchmark hits nothing. Repeated documents are judged alike; equal items under several
+ids are all named; a null item_id is written as an empty string. Extra columns of any name are ignored here and kept by
+``clean``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import itertools
+import pickle
+import uuid
+import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import slices, staged, work_dir
+from frameloom.llm.common import filtered, kept_by_worker, slices, staged, together, work_dir
 
-WINDOW, BLOCK_WORDS, SHARE = 13, 100_000, 20
+WINDOW, BLOCK_WORDS, SHARE, AT_ONCE = 13, 100_000, 20, 1 << 25
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -60,7 +67,7 @@ class Automaton:
                     else:
                         self.short.setdefault(self._cut(state, n), []).append((n, name))
         self.least = min([min(window, len(ids)) for _, ids in numbered], default=0)
-        self.tails = [self._tail(s) for s in range(len(self.next))] if self.short else []
+        self.near = self._nearest() if self.short else []
         self.pairs = np.zeros(1 << 22, bool)
         for _, ids in numbered:
             x = np.array(ids, np.uint64)
@@ -104,12 +111,12 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def _tail(self, state: int) -> list[tuple[int, str]]:
-        found = []
-        while state > 0:
-            found += self.short.get(state, ())
-            state = self.link[state]
-        return found
+    def _nearest(self) -> list[int]:
+        """For every state, the first on its way of links, itself included, that ends a short item; 0 if none does."""
+        near = [0] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            near[state] = state if state in self.short else near[self.link[state]]
+        return near
 
     def match(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words are hit, and the items with occurring windows."""
@@ -146,80 +153,107 @@ class Automaton:
                     items |= held
                     hit[p - self.window + 1] += 1
                     hit[p + 1] -= 1
-            if self.short:
-                for n, name in self.tails[state]:
+            end = self.near[state] if self.short else 0
+            while end:
+                for n, name in self.short[end]:
                     if n <= size:
                         items.add(name)
                         hit[p - n + 1] += 1
                         hit[p + 1] -= 1
+                end = self.near[self.link[end]]
 
 
 SCHEMA = "doc_id long, th long, n_words long, spans array<struct<start: long, length: long>>, items array<string>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        words = normalised((row[1] or "").encode())
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row[0] or "", words))
-        size += len(words)
-    yield block
+def _parts(window: int, block_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items as words, long ones in parts; every window lies in one part."""
+    step = max(1, block_words - window + 1)
+    for batch in slices(batches):
+        rows = []
+        for item, text in zip(batch["item"].to_pylist(), batch["text"], strict=True):
+            words = normalised(text.as_buffer().to_pybytes()) if text.is_valid else []
+            rows += [(item, b" ".join(part), len(part)) for a in range(0, max(1, len(words) - window + 1), step) if (part := words[a : a + step + window - 1])]
+        columns = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["item", "words", "n"])
+
+
+def _build(folder: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts arrive sorted by block; each block's automaton becomes a file."""
+    block, items = None, []
+
+    def written() -> pa.RecordBatch:
+        uri = f"{folder}/automaton-{block:06d}-{uuid.uuid4().hex[:8]}"
+        files, path = pafs.FileSystem.from_uri(uri)
+        files.create_dir(path.rpartition("/")[0], recursive=True)
+        with files.open_output_stream(path) as out:
+            out.write(zlib.compress(pickle.dumps(Automaton(items, window)), 1))
+        return pa.RecordBatch.from_arrays([pa.array([uri])], ["file"])
+
+    for batch in batches:
+        for b, item, words in zip(*(batch[c].to_pylist() for c in ("block", "item", "words")), strict=True):
+            if b != block:
+                if items:
+                    yield written()
+                block, items = b, []
+            items.append((item, words.split()))
+    if items:
+        yield written()
+
+
+def automata(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[str]:
+    """The files of the automata of all items, about two for every ``block_words`` words."""
+    work = work_dir(spark, "automata")
+    own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    parts = staged(own.mapInArrow(partial(_parts, window, block_words), "item string, words binary, n long").groupBy("item", "words").agg(F.first("n").alias("n")), f"{work}/parts")
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = 1 if total <= block_words else -(-2 * total // block_words)
+    dealt = parts.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks))).repartition(min(blocks, 512), "block").sortWithinPartitions("block", "item", "words")
+    return sorted(r[0] for r in staged(dealt.mapInArrow(partial(_build, f"{work}/files", window), "file string"), f"{work}/list").collect())
+
+
+def _loaded(uri: str) -> Automaton:
+    files, path = pafs.FileSystem.from_uri(uri)
+    with files.open_input_stream(path) as file:
+        return pickle.loads(zlib.decompress(file.read()))
+
+
+def _matches(uris: list[str], texts: list[bytes]) -> list[tuple[int, np.ndarray, set[str]]]:
+    """For every text the number of its words, which of them are hit, and the items."""
+    out: list[tuple[int, np.ndarray, set[str]]] = []
+    for uri in uris:
+        automaton = kept_by_worker(("automaton", uri), lambda uri=uri: _loaded(uri))
+        for i, text in enumerate(texts):
+            words = normalised(text)
+            hit, items = automaton.match(words)
+            if i == len(out):
+                out.append((len(words), hit, items))
+            elif items:
+                out[i] = (len(words), out[i][1] | hit, out[i][2] | items)
+    return out or [(len(w := normalised(t)), np.zeros(len(w), bool), set()) for t in texts]
+
+
+def _bytes(texts: pa.ChunkedArray) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, th, n_words, spans of hit words (start, length), items, one row a row of docs."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    found = []
-    for block in _blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(Automaton(block, window))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = sent.value
-            for batch in slices(batches, 1024):
-                counts, spans, items = [], [], []
-                for text in batch["text"]:
-                    words = normalised(text.as_buffer().to_pybytes()) if text.is_valid else []
-                    hit, names = automaton.match(words)
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))) if names else []
-                    counts.append(len(words))
-                    spans.append([{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                    items.append(sorted(names))
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["doc_id", "th", "n_words", "spans", "items"])
-
-        found.append(own.mapInArrow(scan, SCHEMA))
-    if len(found) == 1:
-        return found[0]
-    work, every = work_dir(spark, "contamination"), None
-    for i, part in enumerate(found):
-        hits = staged(part.where("size(items) > 0").distinct(), f"{work}/hits-{i}")
-        every = hits if every is None else every.unionByName(hits)
-    merged = every.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = staged(merged.mapInArrow(_joined, "doc_id long, th long, spans array<struct<start: long, length: long>>, items array<string>"), f"{work}/merged")
-    on = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.th") == F.col("m.th"))
-    counts = found[0].select("doc_id", "th", "n_words")
-    none = F.col("m.th").isNull()
-    empty = F.from_json(F.lit("[]"), "array<struct<start: long, length: long>>")
-    return counts.alias("d").join(merged.hint("merge").alias("m"), on, "left").select("d.doc_id", "d.th", "d.n_words", F.when(none, empty).otherwise(F.col("m.spans")).alias("spans"), F.when(none, F.array().cast("array<string>")).otherwise(F.col("m.items")).alias("items"))
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of one document from several blocks, as a set of words again."""
-    for batch in slices(batches):
-        out = []
-        for spans in batch["spans"].to_pylist():
-            whole: list[dict] = []
-            for x in sorted(spans, key=lambda x: x["start"]):
-                if whole and x["start"] <= whole[-1]["start"] + whole[-1]["length"]:
-                    whole[-1]["length"] = max(whole[-1]["length"], x["start"] + x["length"] - whole[-1]["start"])
-                else:
-                    whole.append(dict(x))
-            out.append(whole)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(out, kind), batch["items"]], ["doc_id", "th", "spans", "items"])
+    """doc_id, th, n_words, spans of hit words (start, length), items, one row a row of docs. Nothing is shuffled."""
+    uris = automata(spark, benchmark, window, block_words)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in together(batches, AT_ONCE if len(uris) > 1 else 0):
+            counts, spans, items = [], [], []
+            for n, hit, names in _matches(uris, _bytes(table["text"])):
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))) if names else []
+                counts.append(n)
+                spans.append([{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
+                items.append(sorted(names))
+            ids, th = (table[c].combine_chunks() for c in ("doc_id", "th"))
+            yield pa.RecordBatch.from_arrays([ids, th, pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "th", "n_words", "spans", "items"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(scan, SCHEMA)
 
 
 def judged(found: DataFrame, share: int = SHARE) -> DataFrame:
@@ -229,24 +263,13 @@ def judged(found: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs that are not contaminated; columns as in docs. With one block of items nothing is shuffled."""
-    blocks = list(itertools.islice(_blocks(benchmark, block_words), 2))
-    if len(blocks) == 1:
-        sent = spark.sparkContext.broadcast(Automaton(blocks[0], window))
-
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 1024):
-                good = []
-                for text in batch["text"]:
-                    found = normalised(text.as_buffer().to_pybytes()) if text.is_valid else []
-                    n_hit = int(sent.value.match(found)[0].sum())
-                    good.append(not n_hit or n_hit * share < len(found))
-                yield batch.filter(pa.array(good, pa.bool_()))
-
-        return docs.mapInArrow(keep, docs.schema)
-    bad = judged(contamination(spark, docs, benchmark, window, block_words), share).where("contaminated").select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).distinct()
-    bad = staged(bad, work_dir(spark, "contaminated"))
-    return docs.join(bad.hint("merge"), docs["doc_id"].eqNullSafe(bad["__doc"]) & (F.xxhash64(docs["text"]) == bad["__th"]), "left_anti")
+    """The rows of docs that are not contaminated; columns as in docs. Nothing is shuffled."""
+    uris = automata(spark, benchmark, window, block_words)
+
+    def judge(texts: pa.ChunkedArray) -> list[bool]:
+        return [not (n_hit := int(hit.sum())) or n_hit * share < n for n, hit, _ in _matches(uris, _bytes(texts))]
+
+    return filtered(docs, judge, AT_ONCE if len(uris) > 1 else 0)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

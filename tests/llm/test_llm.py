@@ -291,12 +291,91 @@ def test_language(spark, docs):
     assert kept.columns == docs.columns and kept.where("text is null or text = ''").count() == 0
 
 
+def cuts(word: str, pieces: dict[str, int]) -> list[list[str]]:
+    """All segmentations; a letter that is no piece may stand alone, as a piece outside the vocabulary."""
+    if not word:
+        return [[]]
+    heads = [word[:n] for n in range(1, len(word) + 1) if word[:n] in pieces or n == 1]
+    return [[h, *rest] for h in heads for rest in cuts(word[len(h) :], pieces)]
+
+
+def brute_word(word: str, pieces: dict[str, int], prob: list[float]) -> float:
+    return sum(np.prod([prob[pieces[p]] if p in pieces else op3.UNKNOWN for p in c]) for c in cuts(op3.MARK + word, pieces))
+
+
 def test_forward_sums_all_segmentations():
-    table = {"▁": (0.1,), "▁a": (0.2,), "a": (0.3,), "b": (0.4,), "ab": (0.05,), "▁ab": (0.01,)}
-    model = op3.Model(["l"], table)
+    table = {"▁": 0.1, "▁a": 0.2, "a": 0.3, "b": 0.4, "ab": 0.05, "▁ab": 0.01}
+    index = {p: i for i, p in enumerate(table)}
+    model = op3.Model(["l"], index, np.array([list(table.values())]))
     want = 0.1 * 0.3 * 0.4 + 0.1 * 0.05 + 0.2 * 0.4 + 0.01
-    assert np.exp(model.forward("ab"))[0] == pytest.approx(want)
-    assert np.exp(model.forward("ac"))[0] == pytest.approx((0.1 * 0.3 + 0.2) * op3.UNKNOWN)
+    assert np.exp(model.forward(["ab", "ac", "ab"]))[:, 0] == pytest.approx([want, (0.1 * 0.3 + 0.2) * op3.UNKNOWN, want])
+    none = op3.Model(["l"], {}, np.zeros((1, 0)))
+    assert np.exp(none.forward(["ab"]))[0, 0] == pytest.approx(op3.UNKNOWN**3)
+
+
+def test_training_counts_all_segmentations():
+    rng = random.Random(4)
+    index = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "aba", "c"])}
+    counts = [(lang, "".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))), rng.randint(1, 5)) for lang in ("x", "y") for _ in range(12)]
+    counts = [(*k, n) for k, n in Counter({(a, w): n for a, w, n in counts}).items()]
+    prob = [[1 / len(index)] * len(index) for _ in "xy"]
+    for _ in range(3):
+        got = np.zeros((2, len(index)))
+        for lang, word, n in counts:
+            k = "xy".index(lang)
+            for c in cuts(op3.MARK + word, index):
+                share = np.prod([prob[k][index[p]] if p in index else op3.UNKNOWN for p in c]) / brute_word(word, index, prob[k])
+                for p in c:
+                    if p in index:
+                        got[k, index[p]] += n * share
+        shared = got.sum(0) + 1
+        prob = (got + op3.BACK * shared / shared.sum()) / (got.sum(1, keepdims=True) + op3.BACK)
+    for at_once in (50_000, 5):
+        assert op3.trained(counts, index, at_once=at_once).prob == pytest.approx(np.array(prob))
+
+
+def test_words_are_of_letters():
+    assert op3.words("½ ② Ⅷ 12 a1b") == ["a", "b"]
+    assert op3.words("नमस्ते สวัสดี É ́x") == ["नमस्ते", "สวัสดี", "é", "x"]
+
+
+def test_language_against_brute_force(spark):
+    """The whole query on a small table: fold, training, scores."""
+    texts = {"en": ["the hat, the that", "at THE 3 ½ hats", "he is that"], "de": ["die das der", "das ist die", "der Hut ist das"]}
+    rows = [(i, texts[lang][i % 3] + " " + extra, lang) for i in range(40) for lang, extra in [(("en", "de")[i % 2], "ein " * (i % 3))]]
+    rows += [(100, None, "en"), (101, "½ ② 12", "en"), (102, "x" * 130 + " das", None), (103, "", "de"), (None, "die das", "fr"), rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    index = op3.pieces(op3.default_vocabulary())
+    seen, counts = set(), Counter()
+    for i, text, lang in rows:
+        if lang and text is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2 and (i, text) not in seen:
+            seen.add((i, text))
+            counts.update((lang, w) for w in op3.words(text))
+    model = op3.trained([(*k, n) for k, n in counts.items()], index)
+    assert model.names == ["de", "en"]
+    got = Counter((r.doc_id, r.th, r.lang_pred, round(r.score, 9)) for r in op3.identified(spark, docs).collect())
+    th = {r.text: r.th for r in docs.selectExpr("text", "xxhash64(text) as th").collect()}
+    want = Counter()
+    for i, text, _ in rows:
+        found = [p for w in op3.words(text or "") for p in op3.parts(w)]
+        if not found:
+            want[i, th[text], "und", 0.0] += 1
+            continue
+        logs = np.array([sum(np.log(max(brute_word(w, index, p), 1e-300)) if len(w) < 12 else model.forward([w])[0, k] for w in found) for k, p in enumerate(model.prob)])
+        best = int(logs.argmax())
+        want[i, th[text], model.names[best], round(float(1 / np.exp(np.maximum(logs - logs[best], -700)).sum()), 9)] += 1
+    assert got == want
+
+
+def test_sample_is_bounded(spark):
+    from frameloom.llm.common import sampled
+
+    rows = spark.range(3000).selectExpr("id % 700 as doc_id", "concat('t', id % 700) as text", "if(id % 10 = 0, 'x', 'y') as by")
+    got = Counter((r.by, r.text) for r in sampled(rows, 50).collect())
+    by = Counter(by for by, _ in got)
+    assert set(got.values()) == {1} and 5 <= by["x"] <= 50 and 5 <= by["y"] <= 50
+    assert got == Counter((r.by, r.text) for r in sampled(rows.repartition(7), 50).collect())
+    assert sampled(rows.limit(0), 50).count() == 0 and sampled(rows.where("doc_id < 20"), 50).where("by = 'y'").count() == 18
 
 
 def test_mixing(spark, docs):
@@ -379,7 +458,7 @@ def test_media(spark, docs, tmp_path):
     rows, media = op7.stored(spark, docs, "file://" + str(tmp_path / "m"))
     column = op7.media_column(rows, media).collect()
     assert len(column) == docs.count() and all(r.width * r.height % 64 == 0 and r.depth == 8 for r in column)
-    read = {bytes(r.digest): r for r in op7.features(media.select("digest", "shard", "offset", "length")).collect()}
+    read = {bytes(r.digest): r for r in op7.features(media).collect()}
     assert sorted(b.hex() for b in read) == sorted({hashlib.sha256(op7.payload_of((r.text or "").encode())).hexdigest() for r in docs.collect()})
     assert all(r.payload_sha256 == d.hex() for d, r in read.items())
     for size in (64, 128, 6400, (1 << 20) + 64):
@@ -446,6 +525,101 @@ def test_pieces_equal_the_library():
         assert np.frombuffer(op10.serialized(text, path), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+NAMES = ["__id", "__nth", "__rows", "__copies", "__th", "a.b", "row", "th", "n", "i", "by", "h", "root", "c0", "m`x", "runs", "fp"]
+
+
+@pytest.mark.parametrize("how", ["rows", "empty"])
+def test_clashing_columns(spark, how, tmp_path):
+    """Every operator and stage over nulls, repeats and columns whose names the operators might use themselves."""
+    import corpus_pipeline
+
+    rows = [(*r[:5], *(f"{name}-{r[0]}" for name in NAMES)) for r in made(3, 30)] if how == "rows" else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in NAMES))
+    bench = spark.createDataFrame([(1, "alpha gamma", "x")], "item_id long, text string, `a.b` string")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for f in (lambda d: op1.near_duplicates(spark, d), lambda d: op2.substring_dedup(spark, d), lambda d: op3.identified(spark, d), lambda d: op4.copies(spark, d), lambda d: op6.contamination(spark, d, bench), lambda d: op8.suffix_dedup(spark, d)):
+        assert Counter(map(repr, f(docs).collect())) == Counter(map(repr, f(plain).collect()))
+    rest, media = op7.stored(spark, docs, "file://" + str(tmp_path / "m"))
+    assert op7.media_column(rest, media).count() == len(rows) and op7.features(media).count() == media.count()
+    assert op10.documents_of(*op10.written(spark, docs, "file://" + str(tmp_path / "t"))).count() == len(rows)
+    for name, stage in [*corpus_pipeline.STAGES[:-1], ("simhash", lambda s, d, _: op1.deduplicated(s, d))]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = Counter(map(repr, map(tuple, out.collect())))
+        assert set(got) <= set(map(repr, map(tuple, docs.collect()))), name
+        assert (len(got) > 5) == (how == "rows"), name
+    assert corpus_pipeline.tokens(spark, docs, SF).count() == len(rows)
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace as Space
+
+    from frameloom.llm.common import shared_root
+
+    conf = Space(get=lambda *_: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(Space(conf=conf, sparkContext=Space(getConf=lambda: conf, master="spark://host:7077")))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(Space(conf=conf, sparkContext=Space(getConf=lambda: conf, master="local-cluster[2,1,1024]")))
+
+
+def test_copies_never_exceed_the_cap(spark):
+    rows = spark.range(4).selectExpr("explode(array(0, 699049, 699050, 4294967295, 4294967296, 20000000001)) as n").distinct()
+    from pyspark.sql import functions as F
+
+    for each in (3 << 32, 0, 1, (1 << 32) - 1, 123456789012):
+        for u in (0, 1, (1 << 32) - 1):
+            for r in rows.select("n", op4.crossings(F.col("n"), F.lit(each), F.lit(u)).alias("k")).collect():
+                assert r.k == ((r.n + 1) * each + u >> 32) - (r.n * each + u >> 32)
+
+
+def test_repeats_share_copies_over_tasks(spark):
+    rows = spark.range(900).selectExpr("1L as doc_id", "'a b c' as text", "'s' as source", "id as other").unionByName(spark.range(50).selectExpr("id + 2 as doc_id", "concat('x ', id) as text", "if(id < 25, 's', 't') as source", "0L as other"))
+    drawn = op4.mixed(spark, rows.repartition(5))
+    assert drawn.count() == op4.copies(spark, rows).selectExpr("sum(copies)").first()[0]
+    times = Counter(Counter(r.other for r in drawn.where("doc_id = 1").collect()).values())
+    assert len(times) <= 2
+
+
+def test_chat_streams_cross_pieces():
+    turns = [("user", "a"), ("assistant", "<|im_end|>\n"), ("", ""), ("x\ny", "<|im_start|>user\nb<|im_end|>")]
+    whole, rng = "".join(op5.render_turn(*t) for t in turns), random.Random(1)
+    for _ in range(50):
+        stream, got, at = op5.Stream(), [], 0
+        while at < len(whole):
+            n = rng.randint(1, 30)
+            got += stream.feed(whole[at : at + n])
+            at += n
+        stream.close()
+        assert [t[:2] for t in got] == turns and all(op5._unescape(whole[a:b]) == text for _, text, a, b in got)
+    stream = op5.Stream()
+    stream.feed("<|im_start|>user\nhi")
+    with pytest.raises(ValueError):
+        stream.close()
+
+
+def test_shards_roll(spark, docs, tmp_path):
+    rows, media = op7.stored(spark, docs, "file://" + str(tmp_path / "m"), 4096, 7)
+    want = sorted((str(r.doc_id), hashlib.sha256(op7.payload_of((r.text or "").encode())).hexdigest(), len((r.text or "").encode())) for r in docs.collect())
+    assert sorted((str(r.doc_id), bytes(r.digest).hex(), r.n_bytes) for r in rows.collect()) == want
+    shards = {r.shard for r in media.collect()}
+    assert len(shards) > 6 and media.count() == len({w[1] for w in want})
+    for r in op7.features(media).collect():
+        texts = {op7.payload_of((d.text or "").encode()) for d in docs.collect()}
+        payload = next(p for p in texts if hashlib.sha256(p).digest() == bytes(r.digest))
+        x = np.frombuffer(payload, np.uint8)
+        assert (r.payload_bytes, r.tail_crc32, r.width * r.height) == (len(payload), zlib.crc32(payload[-64:]), len(payload))
+        assert r.feature == f"{len(x)} samples min={x.min()} max={x.max()} sum={x.sum(dtype=np.int64)}"
+
+
+def test_small_samples_make_a_dictionary(spark):
+    path = op10.default_vocabulary()
+    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, "four")], "doc_id long, text string")
+    small = op10.trained_dictionary(docs, path)
+    assert small and small == op10.trained_dictionary(docs.repartition(3), path)
+    assert op10.trained_dictionary(docs.limit(0), path) == b""
+
+
 def test_empty_tables(spark, empty, tmp_path):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert op1.near_duplicates(spark, empty).count() == 0 and op1.deduplicated(spark, empty).count() == 0
