@@ -1,19 +1,24 @@
 """HTML main text with host suffix arrays.
 
-A page is cut into blocks. Blocks inside boilerplate elements (navigation, headers, footers, asides, forms, scripts, styles,
-and elements whose role, class or id says menu, advert, notice, comment and the like) are *known* boilerplate; blocks inside an
-article or main element are *known* text; the others are *open*. A page with known text consists of it.
-
-For the other pages the token streams of all blocks that are not known text are concatenated by host, and ``repeats`` finds
-every run of ``window`` tokens that stands on two pages of distinct content of one host. A token's symbol carries its host, so hosts never
-match each other. A host is not one array in one task: its streams are cut at anchors, and the passages under one anchor
-have a suffix array of their own (``suffixes``), so that a hot host is spread over tasks. The
-covered tokens of an open block are cut as boilerplate, the others are kept, joined by a space. Known text is never put into
-the arrays: an article that a host shows twice is still the article.
-
-Defined results: null html gives an empty text; a null url is a host of its own. Pages of one host with equal blocks are one page to the
-arrays, whatever their ids and urls.
-Markup that ends early is read as far as it goes. Extra columns are ignored.
+A page is cut into blocks. What an element means decides their kind: blocks inside article or main are *text*; blocks inside
+navigation, headers, footers, asides, forms, hidden elements and containers whose class is precisely that of an advert or of
+reader comments are *boilerplate*; all others are *open*. Inside article and main neither ids nor parts of class names drop
+anything; a header there belongs to the article, and an article inside an article that has begun is a reader's comment.
+
+The host arrays decide the open blocks. The token streams of all open and boilerplate blocks of every page are concatenated by
+host, and ``repeats`` finds every run of ``window`` tokens that stands on two pages of distinct content of one host. A token's
+symbol carries its host, so hosts never match each other. A host is not one array in one task: its streams are cut at
+anchors, and the passages under one anchor have a suffix array of their own (``suffixes``), so that a hot host is spread over
+tasks. Covered tokens are cut from the open blocks, and their unique runs are kept, joined by a space.
+
+A page's text is its text blocks, together with what is left of its open blocks if that is more than the text blocks hold (no
+article, or only a teaser of one). Text blocks are never put into the arrays: an article that a host shows twice is still
+the article.
+
+Defined results: null, empty and text-free html gives an empty text; a null url is a host of its own. Pages of one host with
+equal blocks are one page to the arrays, whatever their ids and urls, so repeated rows and ties give equal texts. Very long
+pages are parsed whole, one at a time. Markup that ends early is read as far as it goes. Extra columns of any name are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,112 +40,124 @@ from frameloom.llm.repeats import Spec, covered, marks, mix
 
 WINDOW, GRAM = 8, 3
 
-# Names from the HTML standard and common class names.
+# Names from the HTML standard, and class names that say advert or reader's comment.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
-DROPPED = frozenset("nav header footer aside form button select option dialog menu object canvas audio video head fieldset".split()) | RAW
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-NAMES = frozenset(
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer header masthead banner ad ads adv advert adverts advertisement advertising adsense"
-    " sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login"
-    " social share sharing related recommended recommendations comment comments commentlist disqus respond reply replies widget pagination pager toolbar search copyright skip hidden".split()
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
+BLOCK = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr"
+    " html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+DROPPED = frozenset("nav header footer aside form search button select option dialog menu object canvas audio video head fieldset annotation annotation-xml".split()) | RAW
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+CONTAINERS = frozenset("div section ul ol li ins span".split())
+MARKED = frozenset("ad ads advert advertisement comment comments".split())
 MAIN = frozenset(("article", "main"))
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|<(?=/?[a-zA-Z!?])[^<]*$", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def _says(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is boilerplate."""
-    if tag in DROPPED and not (tag == "header" and inside):
-        return True
+def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is boilerplate by what it means; inside: in an article or main element."""
+    if tag in DROPPED:
+        return not (tag == "header" and inside)
     if not attributes or tag in ("html", "body"):
         return False
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
-    names = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    if tag in MAIN:
-        return bool(names & COMMENTS)
-    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES or re.search(r"display\s*:\s*none", found.get("style", "")):
+    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
-    return bool(names & NAMES)
+    if tag in MAIN:
+        return False
+    named = {*found.get("class", "").split(), *({"comments"} & {found.get("id", "")})}
+    return found.get("role") in ROLES or tag in CONTAINERS and bool(named & MARKED)
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(kind, text) of every block in order; kind: text, open or boilerplate."""
-    out: list[tuple[str, str]] = []
-    held: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, depth of main, boilerplate
-    main, dropped, at, end = 0, False, 0, len(page)
+class _Blocks:
+    """Reads a page's blocks in order."""
 
-    def skipped() -> bool:
+    def __init__(self) -> None:
+        self.out: list[tuple[str, str]] = []
+        self.held: list[str] = []
+        self.stack: list[tuple[str, int, bool]] = []  # tag, depth of article and main, boilerplate; of inline elements only boilerplate
+        self.begun = False  # whether the outermost article has text
+
+    @property
+    def main(self) -> int:
+        return self.stack[-1][1] if self.stack else 0
+
+    @property
+    def dropped(self) -> bool:
+        return bool(self.stack) and self.stack[-1][2]
+
+    @property
+    def skipping(self) -> bool:
         """Inside an inline element that is boilerplate: its text goes, the block around it goes on."""
-        return bool(stack) and stack[-1][0] in INLINE
+        return bool(self.stack) and self.stack[-1][0] not in BLOCK
+
+    def text(self, raw: str) -> None:
+        if raw and not self.skipping:
+            self.held.append(raw)
 
-    def flush() -> None:
-        if held:
-            text = " ".join(entities.unescape("".join(held)).split())
-            held.clear()
+    def flush(self) -> None:
+        if self.held:
+            text = " ".join(entities.unescape("".join(self.held)).split())
+            self.held.clear()
             if text:
-                out.append(("boilerplate" if dropped else "text" if main else "open", text))
+                while_dropped = next((d for t, _, d in reversed(self.stack) if t in BLOCK), False)
+                self.out.append(("boilerplate" if while_dropped else "text" if self.main else "open", text))
+                self.begun |= self.out[-1][0] == "text"
+
+    def close(self, tag: str) -> None:
+        if tag in BLOCK:
+            self.flush()
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                del self.stack[i:]
+                break
+            if tag not in BLOCK and self.stack[i][0] in BLOCK:
+                break  # an inline element does not close the block that it stands in
+        self.begun &= self.main > 0
+
+    def open(self, tag: str, attributes: str) -> None:
+        alone = attributes.rstrip().endswith("/")
+        if tag not in BLOCK:
+            if (self.skipping or _boilerplate(tag, attributes, self.main > 0)) and not alone:
+                self.stack.append((tag, self.main, True))
+            return
+        self.flush()
+        if self.stack and (self.stack[-1][0] == "p" or self.stack[-1][0] in CLOSES.get(tag, ())):
+            self.stack.pop()
+        comment = tag == "article" and self.begun and any(t == "article" for t, _, _ in self.stack)
+        bad = self.dropped or comment or _boilerplate(tag, attributes, self.main > 0)
+        if not alone:
+            self.stack.append((tag, self.main + (tag in MAIN), bad))
 
+
+def blocks(page: str) -> list[tuple[str, str]]:
+    """(kind, text) of every block in order; kind: text, open or boilerplate."""
+    found, at, end = _Blocks(), 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         if not m:
-            if not skipped():
-                held.append(page[at:])
+            found.text(page[at:])
             break
-        if m.start() > at and not skipped():
-            held.append(page[at : m.start()])
+        found.text(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
-        if not tag:
-            continue
         if tag == "br":
-            held.append(" ")
-            continue
-        if m[1]:
-            if tag in INLINE:
-                i = len(stack) - 1
-                while i >= 0 and stack[i][0] in INLINE and stack[i][0] != tag:
-                    i -= 1
-                if i >= 0 and stack[i][0] == tag:
-                    del stack[i:]
-                    main, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-                continue
-            flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            main, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-            continue
-        if tag in RAW:
+            found.text(" ")
+        elif tag == "hr":
+            found.flush()
+        elif tag and m[1]:
+            found.close(tag)
+        elif tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else end
-            if tag not in INLINE:
-                flush()
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                flush()
-            continue
-        bad = _says(tag, m[3], main > 0)
-        if tag in INLINE:
-            if (bad or skipped()) and not m[3].rstrip().endswith("/"):
-                stack.append((tag, main, True))
-            continue
-        flush()
-        if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
-            main, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-        if not m[3].rstrip().endswith("/"):
-            main, dropped = main + (tag in MAIN), dropped or bad or skipped()
-            stack.append((tag, main, dropped))
-    flush()
-    return out
+        elif tag and tag not in VOID:
+            found.open(tag, m[3])
+    found.flush()
+    return found.out
 
 
 def host_of(url: str | None) -> str:
@@ -156,77 +173,59 @@ def _content(found: list[tuple[str, str]], url: str | None) -> tuple[int, int]:
     return tuple(both.view(np.int64).tolist())
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens outside known text, as symbols of their host; doc_id and th name a content and its host."""
-    for batch in slices(batches):
-        names, ids = [], []
-        for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            found = blocks(page or "")
-            names.append(_content(found, url))
-            tokens = [t for kind, text in found if kind != "text" for t in text.encode("utf-8", "surrogatepass").split()]
-            host = np.int64(names[-1][1]).view(np.uint64)
-            ids.append(mix(np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64) ^ host).tobytes())
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*names)), pa.array(ids, pa.binary())], ["doc_id", "th", "text"])
-
-
-def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pages with known text, or without any open block."""
-    for batch in slices(batches):
-        keep, texts = [], []
-        for i, page in enumerate(batch["html"].to_pylist()):
-            found = blocks(page or "")
-            known = [text for kind, text in found if kind == "text"]
-            if known or not any(kind == "open" for kind, _ in found):
-                keep.append(i)
-                texts.append("\n\n".join(known))
-        rows = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
+PARSED = "page_id long, url string, doc_id long, th long, text string, kinds array<string>, blocks array<string>, ids binary"
 
 
-def _unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pages with open blocks and no known text, as they are, with the names of their streams."""
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as their text blocks, with the tokens outside them as symbols of their host; doc_id and th name a content and its
+    host. Where open blocks could be more than the text, all blocks follow with their kinds, else these are null."""
     for batch in slices(batches):
-        keep, names = [], []
-        for i, (url, page) in enumerate(zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)):
+        rows = []
+        for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
             found = blocks(page or "")
-            kinds = {kind for kind, _ in found}
-            if "open" in kinds and "text" not in kinds:
-                keep.append(i)
-                names.append(_content(found, url))
-        rows = batch.take(pa.array(keep, pa.int64()))
-        content, host = (pa.array([x[k] for x in names], pa.int64()) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([rows["doc_id"], content, host, rows["url"], rows["html"]], ["page_id", "doc_id", "th", "url", "html"])
+            content, host = _content(found, url)
+            size = {k: sum(len(text.split()) for kind, text in found if kind == k) for k in ("text", "open")}
+            undecided = size["open"] > size["text"]
+            tokens = [t for kind, text in found if kind != "text" for t in text.encode("utf-8", "surrogatepass").split()]
+            ids = mix(np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64) ^ np.int64(host).view(np.uint64)).tobytes()
+            known = "\n\n".join(text for kind, text in found if kind == "text")
+            rows.append((content, host, known, *(zip(*found) if undecided else (None, None)), ids))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.binary())
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"].cast(pa.string()), *columns], ["page_id", "url", "doc_id", "th", "text", "kinds", "blocks", "ids"])
 
 
-def _open(spec: Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the tokens of the open blocks that are not covered."""
+def _left(spec: Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of pages whose open blocks may count: these lose the covered tokens."""
     for batch in slices(batches):
         texts = []
-        for page, runs in zip(batch["html"].to_pylist(), batch["runs"].to_pylist(), strict=True):
-            found = [(kind, text.split()) for kind, text in blocks(page or "") if kind != "text"]
-            hit, at, kept = covered(sum(len(words) for _, words in found), runs, spec), 0, []
-            for kind, words in found:
-                own = [w for w, cut in zip(words, hit[at : at + len(words)].tolist(), strict=True) if not cut]
-                if kind == "open" and own:
-                    kept.append(" ".join(own))
+        for kinds, found, known, runs in zip(*(batch[c].to_pylist() for c in ("kinds", "blocks", "text", "runs")), strict=True):
+            cut = covered(sum(len(text.split()) for kind, text in zip(kinds, found) if kind != "text"), runs, spec)
+            parts, at, size = [], 0, 0
+            for kind, text in zip(kinds, found):
+                if kind == "text":
+                    parts.append(text)
+                    continue
+                words = text.split()
+                own = [w for w, x in zip(words, cut[at : at + len(words)].tolist(), strict=True) if not x]
                 at += len(words)
-            texts.append("\n\n".join(kept))
+                if kind == "open" and own:
+                    parts.append(" ".join(own))
+                    size += len(own)
+            texts.append("\n\n".join(parts) if size > len(known.split()) else known)
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-OUT = "page_id long, url string, text string"
-
-
 def main_text(spark: SparkSession, pages: DataFrame, window: int = WINDOW, gram: int = GRAM, group_limit: int = 4096) -> DataFrame:
-    """page_id, url, text, one row a row of pages (page_id, url, html)."""
+    """page_id, url, text, one row a row of pages (page_id, url, html). Every page is parsed once."""
     spec, work = Spec(window, gram, "ids", distinct=True, group_limit=group_limit), work_dir(spark, "hosts")
-    own = pages.select(F.col("page_id").cast("long").alias("doc_id"), "url", "html")
-    known = own.mapInArrow(_known, OUT)
-    rest = staged(own.mapInArrow(_unknown, "page_id long, doc_id long, th long, url string, html string"), f"{work}/rest")
-    streams = staged(own.mapInArrow(_streams, "doc_id long, th long, text binary").groupBy("doc_id", "th").agg(F.first("text").alias("text")), f"{work}/streams")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    parsed = staged(own.mapInArrow(_parsed, PARSED), f"{work}/parsed")
+    streams = staged(parsed.groupBy("doc_id", "th").agg(F.first("ids").alias("text")), f"{work}/streams")
     found = staged(marks(spark, streams, spec, work), f"{work}/marks")
-    judged = rest.join(found.hint("merge"), ["doc_id", "th"], "left").select("page_id", "url", "html", "runs")
-    return known.unionByName(judged.mapInArrow(partial(_open, spec), OUT))
+    open_ = parsed.where("kinds is not null").drop("ids").join(found.hint("merge"), ["doc_id", "th"], "left")
+    judged = open_.select("page_id", "url", "kinds", "blocks", "text", "runs").mapInArrow(partial(_left, spec), "page_id long, url string, text string")
+    return parsed.where("kinds is null").select("page_id", "url", "text").unionByName(judged)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,7 @@ class Suffixes:
             self.ranks.append(rank)
             h *= 2
         self.order = np.argsort(rank, kind="stable")
+        self._near: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix of suffixes a and b, which stay inside their passages."""
@@ -60,19 +61,26 @@ class Suffixes:
             size += same.astype(np.int64) << level
         return size
 
-    def longest_elsewhere(self) -> np.ndarray:
-        """For every place, the length of its longest match with a place of another passage: the nearest neighbours in the
-        suffix array that lie in other passages have it."""
-        n = len(self.order)
-        owner = self.passage[self.order]
-        heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        run = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, n)))
-        before, after = heads[run] - 1, np.append(heads[1:], n)[run]
-        best = np.zeros(n, np.int64)
-        for near in (before, after):
-            ok = np.flatnonzero((near >= 0) & (near < n))
-            here = self.order[ok]
-            best[here] = np.maximum(best[here], self.common(here, self.order[near[ok]]))
+    def _neighbours(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By place: its rank, and the ranks before and after it that are the nearest of other passages."""
+        if self._near is None:
+            n = len(self.order)
+            owner = self.passage[self.order]
+            heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            run = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, n)))
+            rank = np.empty(n, np.int64)
+            rank[self.order] = np.arange(n)
+            self._near = rank, heads[run] - 1, np.append(heads[1:], n)[run]
+        return self._near
+
+    def longest_at(self, places: np.ndarray) -> np.ndarray:
+        """For each of the places, the length of its longest match with a place of another passage: the nearest neighbours in
+        the suffix array that lie in other passages have it."""
+        rank, before, after = self._neighbours()
+        best = np.zeros(len(places), np.int64)
+        for near in (before[rank[places]], after[rank[places]]):
+            ok = np.flatnonzero((near >= 0) & (near < len(self.order)))
+            best[ok] = np.maximum(best[ok], self.common(places[ok], self.order[near[ok]]))
         return best
 
 
@@ -80,24 +88,35 @@ def factored(index: Suffixes, whole: np.ndarray, window: int) -> np.ndarray:
     """Relative Lempel-Ziv parse of every passage of a block against the block's other passages: which windows repeat.
 
     From the first symbol not yet parsed, a factor is the longest match with another passage (of a passage in ``whole``,
-    which stands elsewhere too, all the rest of it), or one symbol. Windows inside a factor repeat. Those that cross
-    from a factor into the next are looked up in the index. The answer is by place; places within ``window`` - 1 of a
+    which stands elsewhere too, all the rest of it), or one symbol. Matches are only looked up where a factor begins. Windows
+    inside a factor repeat. At a factor boundary, a window that crosses it can only repeat if the next factor covers all
+    that lies beyond, as that factor's match is at least as long; the windows of which this holds cross no other boundary,
+    and are looked up in the index. All other windows are new. The answer is by place; places within ``window`` - 1 of a
     passage's end start no window.
     """
-    size = np.where(whole[index.passage], index.left, index.longest_elsewhere())
-    starts = np.zeros(len(size), bool)
-    at = index.base.copy()
-    stop = index.ends
+    n = len(index.left)
+    size, starts = np.zeros(n, np.int64), np.zeros(n, bool)
+    at, stop = index.base.copy(), index.ends
     while len(at):
         starts[at] = True
+        size[at] = np.where(whole[index.passage[at]], index.left[at], index.longest_at(at))
         at = at + np.maximum(size[at], 1)
         live = at < stop
         at, stop = at[live], stop[live]
+    found = np.zeros(n + 1, np.int64)
+    long = np.flatnonzero(size >= window)  # duplicate spans
+    found[long] += 1
+    found[long + size[long] - window + 1] -= 1
+    found = np.cumsum(found[:-1]) > 0
     first = np.flatnonzero(starts)
-    ends = np.repeat(np.append(first[1:], len(size)), np.diff(np.append(first, len(size))))  # of the factor that holds a place
-    fits, inside = index.left >= window, (ends - np.arange(len(size)) >= window) & (size > 0)
-    crossing = fits & ~inside
-    return (fits & inside) | (crossing & (size >= window))
+    before, here = first[:-1], first[1:]
+    joined = index.passage[before] == index.passage[here]
+    before, here = before[joined], here[joined]
+    low, high = np.maximum(before, here - window + 1), np.minimum(here - 1, here + size[here] - window)
+    count = np.maximum(high - low + 1, 0)
+    crossing = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    found[crossing[index.longest_at(crossing) >= window]] = True
+    return found
 
 
 def _equal_windows(index: Suffixes, window: int) -> tuple[np.ndarray, np.ndarray]:

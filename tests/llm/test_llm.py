@@ -127,7 +127,7 @@ def test_parse_against_blocks():
             best = [max(x) for x in zip([0] * len(p), *others)]
             size += best
             hit += [k + window <= len(p) and (whole[i] or n >= window) for k, n in enumerate(best)]
-        assert index.longest_elsewhere().tolist() == size
+        assert index.longest_at(np.arange(len(size))).tolist() == size
         assert factored(index, np.array(whole), window).tolist() == hit
         lo = [r.randint(0, 2) for _ in parts]
         hi = [x + r.randint(0, 1) for x in lo]
@@ -484,9 +484,70 @@ def test_html_cuts_only_repeats(spark):
     assert got == {1: own, 2: "more", 3: "ahead behind", 4: some, 5: some, 6: some, None: some}
 
 
-def test_inline_boilerplate():
-    page = '<article><p>One <a class="share">tell <a>your</a> friends</a> two.<p>Three <span hidden>x <span>y</span> z</span>four <b class="ad">b<div>in</div></b><p>five</article>'
-    assert [text for kind, text in op9.blocks(page) if kind == "text"] == ["One two.", "Three four", "five"]
+def test_elements_decide():
+    def kept(page: str) -> list[str]:
+        return [text for kind, text in op9.blocks(page) if kind == "text"]
+
+    page = '<article><p>One <a class="share">tell <a>your</a> friends</a> two.<p>Three <span hidden>x <span>y</span> z</span>four <b hidden>b<div>in</div></b><p>five</article>'
+    assert kept(page) == ["One tell your friends two.", "Three four", "five"]
+    page = '<article><h2 id="search-results">A</h2><p id="notice">B</p><section id="related-work"><p>C</section><div class="share-price">D</div><p class="footer-note">E</p><div id="menu-of-the-day">F</div>'
+    assert kept(page) == list("ABCDEF")
+    assert kept("<main><p>so <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds</main>") == ["so y=2 holds"]
+    page = '<main><article><header>H</header><p>x<button>go</button>y</p><article><p>a comment</article><section class="comments"><p>more</section><div id=comments>z</div><aside>s</aside><footer>f</footer></article></main>'
+    assert kept(page) == ["H", "xy"]
+    assert kept('<article><article><p>first</article><div class="ad">buy</div><div class="ad-hoc">stays</div>') == ["first", "stays"]
+
+
+def test_host_arrays_against_brute_force(spark):
+    rng = random.Random(6)
+    rows, window = [], 8
+    standing = [[f"s{i}-{k}" for k in range(rng.randint(6, 14))] for i in range(4)]
+    for i in range(60):
+        host, made_ = f"h{i % 3}.org", []
+        for _ in range(rng.randint(0, 5)):
+            words = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(0, 9))]
+            if rng.random() < 0.6:
+                words += rng.choice(standing)[rng.randint(0, 2) :] + [f"u{rng.randint(0, 90)}" for _ in range(rng.randint(0, 4))]
+            made_.append((rng.choice(["p", "div", "nav", "footer"]), words))
+        main = [f"m{i}"] * rng.choice([0, 0, 0, 3, 500])
+        page = "".join(f"<{tag}>{' '.join(words)}</{tag}>" for tag, words in made_) + f"<article><p>{' '.join(main)}</p></article>"
+        rows.append((i, f"https://{host}/{i}", page))
+    rows += [(60, "https://h0.org/again", rows[0][2]), rows[1], (61, "https://h1.org/other", rows[0][2])]
+    found = {page: op9.blocks(page) for _, _, page in rows}
+
+    def stream(page: str) -> list[str]:
+        return [t for kind, text in found[page] if kind != "text" for t in text.split()]
+
+    homes = {}
+    for _, url, page in rows:
+        words = stream(page)
+        for a in range(len(words) - window + 1):
+            homes.setdefault((op9.host_of(url), *words[a : a + window]), set()).add(page)
+    want = []
+    for i, url, page in rows:
+        words = stream(page)
+        cut = [False] * len(words)
+        for a in range(len(words) - window + 1):
+            if len(homes[(op9.host_of(url), *words[a : a + window])]) > 1:
+                cut[a : a + window] = [True] * window
+        parts, at = [], 0
+        for kind, text in found[page]:
+            if kind == "text":
+                parts.append((kind, text.split()))
+                continue
+            n = len(text.split())
+            own = [w for w, x in zip(text.split(), cut[at : at + n]) if not x]
+            at += n
+            if kind == "open" and own:
+                parts.append((kind, own))
+        size = Counter()
+        for kind, own in parts:
+            size[kind] += len(own)
+        want.append((i, "\n\n".join(" ".join(own) for kind, own in parts if kind == "text" or size["open"] > size["text"])))
+    for limit in (4096, 1):
+        got = [(r.page_id, r.text) for r in op9.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), group_limit=limit).collect()]
+        assert sorted(got) == sorted(want)
+    assert sum(any(len(x) > 1 for k, x in homes.items() if k[1:] == tuple(stream(p)[a : a + window])) for _, _, p in rows for a in range(2)) > 10
 
 
 def test_html_tables(spark):
@@ -629,7 +690,7 @@ def test_empty_tables(spark, empty, tmp_path):
     assert op6.contamination(spark, empty, bench).count() == 0
     assert op7.stored(spark, empty, "file://" + str(tmp_path / "m"))[1].count() == 0
     assert op8.suffix_dedup(spark, empty).count() == 0
-    assert op9.main_text(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert op9.main_text(spark, spark.createDataFrame([], "page_id long, url string, html string, `a.b` string, kinds int")).count() == 0
     assert op10.documents_of(*op10.written(spark, empty, "file://" + str(tmp_path / "t"))).count() == 0
 
 
