@@ -6,8 +6,8 @@ equal anchors at the same place, so only windows whose anchor occurs twice can r
 with one anchor form an *entry*; its passage is all the symbols those windows span. One entry stands for about half of
 (window - gram) windows, which keeps what is shuffled at a small share of the text.
 
-1. ``entries``         one row an entry: anchor hash, passage hash, place.
-2. repeated anchors    counted with partial aggregation; a hot anchor is one row a task.
+1. ``entries``         one row an entry: anchor key, passage hash, place; staged once and read by all later steps.
+2. repeated anchors    counted with partial aggregation; a hot anchor is one row a task. An index may have found them already.
 3. ``passages``        distinct passages under repeated anchors. An anchor with one distinct passage is settled by its count.
 4. contested anchors   several passages share the anchor: a suffix array of the passages shows which windows are equal, or
                        the passages are parsed against it (``Spec.parse``), for groups up to ``group_limit`` passages;
@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import kept_by_worker, parallel, release, slices, staged
+from frameloom.llm.common import kept_by_worker, parallel, release, remove, slices, staged
 from frameloom.llm.suffixes import Suffixes, across, factored, twice
 
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 ENTRY = "doc_id long, th long, pack long, ah long, ph long"
 POS_BITS = 24
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 BLOCK = 1 << 18
 
 
@@ -158,14 +158,24 @@ def anchors(s: np.ndarray, ends: np.ndarray, spec: Spec) -> tuple[np.ndarray, ..
     return np.searchsorted(ends, first, "right"), first, last - first + 1, a - first, g[a], ph
 
 
+def alphabetical(h: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Signed keys in the order of the four bytes from each place on, then of a hash of more of them."""
+    head = np.zeros(len(at), np.uint64)
+    for i in range(4):
+        here = at + i
+        head = head << np.uint64(8) | np.where(here < len(data), data[np.minimum(here, len(data) - 1)], 0).astype(np.uint64)
+    return ((head << np.uint64(32) | h >> np.uint64(32)) ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Documents in blocks of about BLOCK symbols: [(doc_id, th, offset)] and their symbols. Documents over SEGMENT
-    symbols come in overlapping parts, so that each window lies in one part; a block may hold some of them only, as its places
-    must fit POS_BITS."""
+    """Documents in blocks of about BLOCK symbols: [(doc_id, th, offset)] and their symbols, bytes as they are. Documents over
+    SEGMENT symbols come in overlapping parts, so that each window lies in one part; a block may hold some of them only, as its
+    places must fit POS_BITS."""
     rows, parts, size = [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for doc, th, text in zip(batch["doc_id"].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
-            s = symbols(text.as_buffer().to_pybytes() if text.is_valid else None, spec.kind)
+            data = text.as_buffer().to_pybytes() if text.is_valid else b""
+            s = np.frombuffer(data, np.uint8) if spec.kind == "bytes" else symbols(data, spec.kind)
             for at in range(0, max(1, len(s)), SEGMENT):
                 rows.append((doc, th, at))
                 parts.append(s[at : at + SEGMENT + spec.window - 1])
@@ -180,13 +190,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[tuple[lis
 def _entries(spec: Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, parts in _blocks(batches, spec):
         s, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
-        doc, first, wins, off, ah, ph = anchors(s, ends, spec)
+        doc, first, wins, off, ah, ph = anchors(_byte_codes()[s] if spec.kind == "bytes" else s, ends, spec)
+        ah = alphabetical(ah, s, first + off) if spec.kind == "bytes" and len(ah) else ah.view(np.int64)
         starts = np.concatenate(([0], ends[:-1]))
         ids = pa.array([r[0] for r in rows], pa.int64())
         ths = np.array([r[1] for r in rows], np.int64)
         base = np.array([r[2] for r in rows], np.int64)
         pack = ((first - starts[doc] + base[doc]) << 24) | (wins << 12) | off
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(ths[doc]), pa.array(pack), pa.array(ah.view(np.int64)), pa.array(ph.view(np.int64))], ["doc_id", "th", "pack", "ah", "ph"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(ths[doc]), pa.array(pack), pa.array(ah), pa.array(ph.view(np.int64))], ["doc_id", "th", "pack", "ah", "ph"])
 
 
 def entries(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -308,22 +319,24 @@ def _to_masks(spec: Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch["ah"], batch["ph"], pa.array(_masks(flags), pa.binary())], ["ah", "ph", "mask"])
 
 
-def marks(spark: SparkSession, docs: DataFrame, spec: Spec, work: str, repeated: DataFrame | None = None) -> DataFrame:
+def marks(spark: SparkSession, docs: DataFrame, spec: Spec, work: str, found: DataFrame | None = None, repeated: DataFrame | None = None) -> DataFrame:
     """doc_id, th and runs (array of pack, mask) of every document that holds a repeated window.
 
-    docs: doc_id, th, text. mask null: every window of the entry repeats. repeated: the repeated anchors, if an index
-    has found them already. Joins run on shuffled staged tables, so that skewed anchors are split at run time.
+    docs: doc_id, th, text. mask null: every window of the entry repeats. found, repeated: the entries of docs, staged, and their
+    repeated anchors, if an index has them already. Joins run on shuffled staged tables, so that skewed anchors are split at
+    run time.
     """
-    found = entries(docs, spec)
+    if found is None:
+        found = staged(entries(docs, spec), f"{work}/entries")
+        release(spark)
     if repeated is None:
         repeated = staged(repeated_anchors(found, spec), f"{work}/anchors")
         release(spark)
-    cand = staged(found.join(repeated.hint("merge"), "ah"), f"{work}/candidates")
-    release(spark)
     passages = staged(
-        cand.groupBy("ah", "ph").agg(F.count("*").alias("n"), F.min(_doc()).alias("lo"), F.max(_doc()).alias("hi"), F.min(F.struct("doc_id", "th", "pack")).alias("rep")),
+        found.join(repeated.hint("merge"), "ah").groupBy("ah", "ph").agg(F.count("*").alias("n"), F.min(_doc()).alias("lo"), F.max(_doc()).alias("hi"), F.min(F.struct("doc_id", "th", "pack")).alias("rep")),
         f"{work}/passages",
     )
+    release(spark)
     contested = staged(passages.groupBy("ah").agg(F.count("*").alias("nph")).where("nph > 1"), f"{work}/contested")
     sure = passages.join(contested.hint("merge"), "ah", "left_anti").where("lo < hi" if spec.distinct else "n > 1")
     sure = sure.select("ah", "ph", F.lit(None).cast("binary").alias("mask"))
@@ -334,19 +347,21 @@ def marks(spark: SparkSession, docs: DataFrame, spec: Spec, work: str, repeated:
         .agg(F.collect_list("x").alias("want"))
     )
     texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))).select("text", "want")
-    found = staged(texts.mapInArrow(partial(_passages_of, spec), PASSAGE), f"{work}/texts")
+    held = staged(texts.mapInArrow(partial(_passages_of, spec), PASSAGE), f"{work}/texts")
     release(spark)
-    small = found.where(F.col("nph") <= spec.group_limit).repartition(parallel(found), "ah").sortWithinPartitions("ah")
+    small = held.where(F.col("nph") <= spec.group_limit).repartition(parallel(held), "ah").sortWithinPartitions("ah")
     settled = small.mapInArrow(partial(_settle, spec), "ah long, ph long, mask binary")
     if contested.where(F.col("nph") > spec.group_limit).limit(1).count():
-        spread = staged(found.where(F.col("nph") > spec.group_limit).mapInArrow(partial(_spread_rows, spec), "ah long, place int, wh long, ph long, n long, lo long, hi long, number int"), f"{work}/spread")
+        spread = staged(held.where(F.col("nph") > spec.group_limit).mapInArrow(partial(_spread_rows, spec), "ah long, place int, wh long, ph long, n long, lo long, hi long, number int"), f"{work}/spread")
         many = F.min("lo") < F.max("hi") if spec.distinct else (F.min("ph") != F.max("ph")) | (F.max("n") > 1)
         twice = staged(spread.groupBy("ah", "place", "wh").agg(many.alias("many")).where("many").drop("many"), f"{work}/twice")
         large = spread.join(twice.hint("merge"), ["ah", "place", "wh"]).groupBy("ah", "ph").agg(F.collect_set("number").alias("numbers"))
         settled = settled.unionByName(large.mapInArrow(partial(_to_masks, spec), "ah long, ph long, mask binary"))
     flagged = staged(sure.unionByName(settled), f"{work}/flagged")
+    for name in ("anchors", "passages", "contested", "texts", "spread", "twice"):
+        remove(spark, f"{work}/{name}")
     release(spark)
-    hit = cand.join(flagged.hint("merge"), ["ah", "ph"])
+    hit = found.join(flagged.hint("merge"), ["ah", "ph"])
     return hit.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pack", "mask")).alias("runs"))
 
 

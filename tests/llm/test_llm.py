@@ -160,6 +160,40 @@ def test_suffix_dedup(spark, docs, window, gram, limit, batches):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_index_family_takes_batches(spark, docs, tmp_path, monkeypatch):
+    """Batches into a family that is opened again between them: shared keys, levels, and the result over all batches."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(op8, "PIECE", 5)
+    spec, folder = repeats.Spec(40, 10, "bytes"), "file://" + str(tmp_path / "family")
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    parts = [own.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(5)) == b) for b in range(5)]
+    seen = Counter()
+    for b, part in enumerate(parts):
+        new = Counter(r.ah for r in repeats.entries(part, spec).collect())
+        got = [r.ah for r in op8.IndexFamily(spark, folder, spec).add(part).collect()]
+        assert sorted(got) == sorted(k for k, n in new.items() if n > 1 or k in seen), b
+        seen.update(new)
+    family = op8.IndexFamily(spark, folder, spec)
+    assert sorted(family.levels) == [0, 2] and family.state["batches"] == 5
+    rows = [row for level in family.levels.values() for uri in level.values() for piece in op8._pieces(uri) for row in zip(*(piece[c].tolist() for c in ("ah", "ph", "n")))]
+    count = Counter()
+    for ah, _, n in rows:
+        count[ah] += n
+    assert count == seen
+    for level in family.levels.values():
+        for uri in level.values():
+            keys = [row for piece in op8._pieces(uri) for row in zip(piece["ah"].tolist(), piece["ph"].tolist())]
+            assert keys == sorted(set(keys))
+    found = op8.spans_of(family, docs, str(tmp_path / "work")).collect()
+    want = brute_cover([(r.text or "").encode() for r in found], 40)
+    for r, hit in zip(found, want):
+        assert sum(x.length for x in r.spans) == sum(hit) and all(all(hit[x.start : x.start + x.length]) for x in r.spans)
+    with pytest.raises(ValueError):
+        op8.IndexFamily(spark, folder, repeats.Spec(41, 10, "bytes"))
+    assert op8.IndexFamily(spark, folder + "-none", spec).add(own.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["words", "bytes"])
 def test_places_of_long_texts(monkeypatch, kind):
     monkeypatch.setattr(repeats, "SEGMENT", 64)
@@ -174,7 +208,12 @@ def test_places_of_long_texts(monkeypatch, kind):
     for batch in repeats._entries(spec, iter([rows])):
         for x in batch.to_pylist():
             start, wins, off = x["pack"] >> 24, x["pack"] >> 12 & 4095, x["pack"] & 4095
-            assert grams.view(np.int64)[start + off] == x["ah"]
+            if kind == "bytes":  # first four bytes, then the hash
+                data = np.frombuffer(text.encode(), np.uint8)
+                assert repeats.alphabetical(grams[[start + off]], data, np.array([start + off])).tolist() == [x["ah"]]
+                assert x["ah"] + (1 << 63) >> 32 == int.from_bytes(text.encode()[start + off : start + off + 4])
+            else:
+                assert grams.view(np.int64)[start + off] == x["ah"]
             seen += range(start, start + wins)
     assert seen == list(range(len(s) - 11))
 
