@@ -94,41 +94,56 @@ def smoothed(last: float, new: float, alpha: float) -> float:
 
 
 @dataclass
-class Gate:
-    """One session's sequential gate."""
+class Follower:
+    """Exponential mean and variance of the speech scores, and the threshold that follows them."""
 
-    config: GateConfig
-    score: float = 0.0
-    is_on: bool = False
-    off_ms: float = 0.0
     mean: float = 0.0
     var: float = 0.0
     seen: int = 0
 
+    def hear(self, score: float) -> None:
+        rate, apart = ADAPT_RATE if self.seen else 1.0, score - self.mean
+        self.mean += rate * apart
+        self.var = (1 - rate) * (self.var + rate * apart * apart)
+        self.seen += 1
+
+    def threshold(self, fixed: float) -> float:
+        """One deviation under the mean, within a band around the fixed threshold, which holds until enough was heard."""
+        wanted = self.mean - ADAPT_MARGIN * math.sqrt(max(self.var, 0.0))
+        return float(np.clip(wanted, fixed * ADAPT_LOW, fixed * ADAPT_HIGH)) if self.seen >= ADAPT_FRAMES else fixed
+
+
+@dataclass
+class Gate:
+    """One session's sequential gate: it is open while the last pass is less than a hangover ago, unless it collapsed since."""
+
+    config: GateConfig
+    score: float = 0.0
+    since: float = math.inf  # milliseconds since the last pass, infinite while shut
+    speech: Follower = field(default_factory=Follower)
+
+    def __post_init__(self) -> None:
+        if isinstance(self.speech, dict):  # from a state store
+            self.speech = Follower(**self.speech)
+
+    @property
+    def is_on(self) -> bool:
+        return self.since < math.inf
+
     def theta(self) -> float:
         c = self.config
-        if not c.adaptive or self.seen < ADAPT_FRAMES:
-            return c.theta
-        return min(max(self.mean - ADAPT_MARGIN * math.sqrt(max(self.var, 0.0)), c.theta * ADAPT_LOW), c.theta * ADAPT_HIGH)
+        return self.speech.threshold(c.theta) if c.adaptive else c.theta
 
     def step(self, score: float, other: float = 0.0, speech: bool = True) -> tuple[bool, float, float]:
         """(is_on, threshold, smoothed score) of the next frame."""
         c = self.config
         self.score = smoothed(self.score, score, c.alpha)
         if c.adaptive and speech:
-            if not self.seen:
-                self.mean, self.var = self.score, 0.0
-            else:
-                d = self.score - self.mean
-                self.mean += ADAPT_RATE * d
-                self.var = (1 - ADAPT_RATE) * (self.var + ADAPT_RATE * d * d)
-            self.seen += 1
-        theta, wins = self.theta(), self.score - other >= c.margin
-        if self.score >= theta and wins:
-            self.is_on, self.off_ms = True, 0.0
-        elif self.is_on:
-            self.off_ms += c.dt_ms
-            self.is_on = self.off_ms < c.hangover_ms and self.score >= theta * c.floor_frac and wins
+            self.speech.hear(self.score)
+        theta, ahead = self.theta(), self.score - other >= c.margin
+        waited = self.since + c.dt_ms
+        holds = ahead and self.score >= theta * c.floor_frac and waited < c.hangover_ms
+        self.since = 0.0 if ahead and self.score >= theta else waited if holds else math.inf
         return self.is_on, theta, self.score
 
 
@@ -154,9 +169,15 @@ class Hysteresis:
         return self.overlap
 
 
+#: state: (the signal that ends it, the state that follows)
+TURNS = {"steady": ("starts", "shrunk"), "shrunk": ("settled", "regrowing"), "regrowing": ("always", "steady")}
+NEAR = 0.1  # fast and slow mean are one again
+
+
 @dataclass
 class TurnDetector:
-    """Steady, shrunk, regrowing: a fast mean that falls away from its slow baseline starts a turn."""
+    """Looks for a change of speaker in the pitch match: a fast mean that falls away from its slow baseline. The states follow
+    each other in a ring (``TURNS``); each frame's signals say whether the present one ends."""
 
     drop: float = 0.25
     stable_frames: int = 10
@@ -164,117 +185,132 @@ class TurnDetector:
     state: str = "steady"
     fast: float = 0.0
     slow: float = 0.0
-    stable: int = 0
+    calm: int = 0  # voiced frames in a row with both means near each other
     refreshed: bool = False
-    low_while_off: bool = False
+    dipped: bool = False  # the match fell while the gate was shut
     closed: bool = False
 
     def refresh_done(self) -> None:
         if self.state == "shrunk":
             self.refreshed, self.closed = True, False
 
+    def _follow(self, match: float, gate_on: bool) -> None:
+        rates = (0.3, 0.02 * gate_on) if self.fast or self.slow else (1.0, 1.0)
+        self.fast, self.slow = (x + r * (match - x) for x, r in zip((self.fast, self.slow), rates, strict=True))
+
     def step(self, match: float | None, gate_on: bool) -> bool:
         """Whether this frame starts a turn."""
-        if match is not None:
-            if self.fast == 0.0 and self.slow == 0.0:
-                self.fast = self.slow = match
-            else:
-                self.fast = 0.3 * match + 0.7 * self.fast
-                if gate_on:
-                    self.slow = 0.02 * match + 0.98 * self.slow
-        known, fell = match is not None, self.fast < self.slow - self.drop
-        if not gate_on and known and self.slow > 0 and fell:
-            self.low_while_off = True
-        if self.state == "steady":
-            offset = gate_on and known and fell
-            onset = not gate_on and known and self.low_while_off and self.slow > 0 and self.fast >= self.slow - 0.1
-            if offset or onset:
-                self.state, self.stable, self.refreshed, self.low_while_off = "shrunk", 0, False, False
-                self.closed |= offset and self.fail_closed
-                return True
-        elif self.state == "shrunk":
-            self.stable = self.stable + 1 if known and abs(self.fast - self.slow) <= 0.1 else 0
-            if self.refreshed and self.stable >= self.stable_frames:
-                self.state = "regrowing"
-        else:
-            self.state, self.stable = "steady", 0
-        return False
+        voiced = match is not None
+        if voiced:
+            self._follow(match, gate_on)
+        away, based = voiced and self.fast < self.slow - self.drop, self.slow > 0
+        self.dipped |= away and based and not gate_on
+        self.calm = (self.calm + 1) * (voiced and abs(self.fast - self.slow) <= NEAR)
+        leaves = away and gate_on
+        returns = voiced and not gate_on and self.dipped and based and self.fast >= self.slow - NEAR
+        signals = {"starts": leaves or returns, "settled": self.refreshed and self.calm >= self.stable_frames, "always": True}
+        ends, following = TURNS[self.state]
+        if not signals[ends]:
+            return False
+        self.state, self.calm = following, 0
+        if following == "shrunk":
+            self.refreshed = self.dipped = False
+            self.closed |= leaves and self.fail_closed
+        return following == "shrunk"
 
 
-def _cos(a: np.ndarray, b: np.ndarray) -> float:
-    size = float(np.linalg.norm(a) * np.linalg.norm(b))
-    return float(a @ b) / size if size else 0.0
+class OtherSpeakers:
+    """Who else spoke in the session, as rows of one matrix of centres; windows are scored before they are learned from.
 
+    A window that the profile rejects is a proposal: to move the centre it is like, or, with the one waiting before it, to
+    be a new centre. Every proposal passes one guard, that the profile rejects the proposed centre as well. A centre that alone
+    keeps refusing a speaker whom the profile accepts is blamed; blame grows by 2 a refusal and shrinks by 1 a window
+    without one, and at its limit the centre goes.
+    """
 
-@dataclass
-class OtherSpeakers:
-    """Session clusters of rejected windows: score first, then learn."""
-
-    seed_ceiling: float = 1.0
-    guard: float = 0.85
-    min_run: int = 2
-    agree: float = 0.45
-    merge: float = 0.45
-    rate: float = 0.2
-    most: int = 6
-    forget_after: int = 3
-    centres: list = field(default_factory=list)
-    counts: list = field(default_factory=list)
-    pending: np.ndarray | None = None
-    run: int = 0
-    suspect: int | None = None
-    evidence: int = 0
-
-    def _best(self, vec: np.ndarray) -> tuple[int, float] | None:
-        cos = [_cos(vec, c) for c in self.centres]
-        return max(enumerate(cos), key=lambda x: (x[1], x[0])) if cos else None  # the last of equals
-
-    def _drop(self, i: int) -> None:
-        self.centres.pop(i)
-        self.counts.pop(i)
-        self.suspect, self.evidence = None, 0
+    def __init__(self, seed_ceiling: float = 1.0, guard: float = 0.85, min_run: int = 2, agree: float = 0.45, merge: float = 0.45, rate: float = 0.2, most: int = 6, forget_after: int = 3) -> None:
+        self.seed_ceiling, self.guard, self.min_run, self.agree = seed_ceiling, guard, min_run, agree
+        self.merge, self.rate, self.most, self.limit = merge, rate, most, 2 * max(forget_after, 1)
+        self.reset()
+
+    def reset(self) -> None:
+        self.centres, self.weights = np.empty((0, 0)), np.empty(0, int)
+        self.rejected, self.waiting = 0, None  # rejected windows in a row, the one that waits for a like one
+        self.acquit()
+
+    def acquit(self) -> None:
+        """Blame names a row, so it ends whenever rows move."""
+        self.blamed, self.blame = -1, 0
+
+    def __len__(self) -> int:
+        return len(self.weights)
+
+    def _similar(self, vec: np.ndarray) -> np.ndarray:
+        """The cosine with every centre."""
+        size = np.linalg.norm(self.centres, axis=1) * np.linalg.norm(vec) if len(self) else np.empty(0)
+        return np.divide(self.centres @ vec if len(self) else size, size, out=np.zeros(len(self)), where=size > 0)
+
+    @staticmethod
+    def _last_largest(x: np.ndarray) -> int:
+        return len(x) - 1 - int(x[::-1].argmax())
+
+    def _remove(self, row: int) -> None:
+        self.centres, self.weights = np.delete(self.centres, row, axis=0), np.delete(self.weights, row)
+        self.acquit()
 
     def score(self, vec: np.ndarray, own: float, theta: float, margin: float) -> float:
-        """The best cluster's cosine, floored at 0. A cluster that alone keeps refusing the owner is forgotten."""
-        best = self._best(vec)
-        if best is None:
-            self.suspect, self.evidence = None, 0
+        """The largest cosine with a centre, floored at 0, after a centre that has used up its credit is gone."""
+        near = self._similar(vec)
+        if not len(near):
+            self.acquit()
             return 0.0
-        i, cos = best
-        if not (own >= theta and own - cos < margin):
-            self.evidence = max(self.evidence - 1, 0)
-            self.suspect = self.suspect if self.evidence else None
-            return max(cos, 0.0)
-        self.suspect, self.evidence = i, self.evidence + 2 if self.suspect == i else 2
-        if self.evidence < max(self.forget_after, 1) * 2:
-            return max(cos, 0.0)
-        self._drop(i)
-        again = self._best(vec)
-        return max(again[1], 0.0) if again else 0.0
+        row = self._last_largest(near)
+        refuses = theta <= own < near[row] + margin
+        if refuses:
+            self.blamed, self.blame = row, 2 + self.blame * (self.blamed == row)
+        else:
+            self.blame = max(0, self.blame - 1)
+            self.blamed = self.blamed if self.blame else -1
+        if refuses and self.blame >= self.limit:
+            self._remove(row)
+            near = self._similar(vec)
+        return float(near.max(initial=0.0))
+
+    def _proposed(self, vec: np.ndarray) -> tuple[int, np.ndarray] | None:
+        """(row or -1 for a new one, centre) that a rejected window argues for."""
+        near = self._similar(vec)
+        row = self._last_largest(near) if len(near) else -1
+        if row >= 0 and near[row] >= self.merge:
+            return row, self.centres[row] + self.rate * (vec - self.centres[row])
+        if self.rejected < self.min_run:
+            return None
+        partner, self.waiting = self.waiting, vec
+        if partner is None or _cos(partner, vec) < self.agree:
+            return None
+        self.waiting = None
+        return -1, (partner + vec) / 2
 
     def learn(self, vec: np.ndarray, own: float, theta: float, profile: Callable[[np.ndarray], float]) -> None:
         if not self.most or own >= theta * self.seed_ceiling:
-            self.run, self.pending = 0, None
-            return
-        self.run += 1
-        best = self._best(vec)
-        if best and best[1] >= self.merge:
-            new = (1 - self.rate) * self.centres[best[0]] + self.rate * vec
-            if profile(new) < theta * self.guard:
-                self.centres[best[0]] = new
-                self.counts[best[0]] += 1
+            self.rejected, self.waiting = 0, None
             return
-        if self.run < self.min_run:
+        self.rejected += 1
+        proposal = self._proposed(vec)
+        if proposal is None or profile(proposal[1]) >= theta * self.guard:
             return
-        if self.pending is None or _cos(self.pending, vec) < self.agree:
-            self.pending = vec
-            return
-        seed, self.pending = 0.5 * (self.pending + vec), None
-        if profile(seed) < theta * self.guard:
-            if len(self.centres) >= self.most:
-                self._drop(self.counts.index(min(self.counts)))
-            self.centres.append(seed)
-            self.counts.append(2)
+        row, centre = proposal
+        if row < 0:
+            if len(self) >= self.most:
+                self._remove(int(self.weights.argmin()))
+            self.centres = np.vstack([self.centres, centre]) if len(self) else centre[None, :]
+            self.weights = np.append(self.weights, 2)
+        else:
+            self.centres[row], self.weights[row] = centre, self.weights[row] + 1
+
+
+def _cos(a: np.ndarray, b: np.ndarray) -> float:
+    size = float(np.linalg.norm(a) * np.linalg.norm(b))
+    return float(a @ b) / size if size else 0.0
 
 
 def sequential(frames: DataFrame, key: str, order: list[str], columns: list[str], made: str, start: Callable[[], Callable[..., tuple]]) -> DataFrame:

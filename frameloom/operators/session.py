@@ -181,7 +181,7 @@ class Session:
             if self.spoke:
                 self.paused, self.fresh = True, 0
             self.silence_ms += c.gate.dt_ms
-            if 0 < c.turn_silence_ms <= self.silence_ms and self.others.centres and self.window:
+            if 0 < c.turn_silence_ms <= self.silence_ms and len(self.others) and self.window:
                 self.window.clear()
                 self.ring.clear()
                 self.since, self.awaiting = 0, self.frame

@@ -246,7 +246,7 @@ def other_speaker_fold(spark, sf):
             score = own(vec)
             rival = others.score(vec, score, 0.25, 0.08)
             others.learn(vec, score, 0.25, own)
-            return rival, len(others.centres)
+            return rival, len(others)
 
         return step
 

@@ -20,10 +20,7 @@ def gated(frames: DataFrame, config: GateConfig) -> DataFrame:
     State is a few numbers a session, so chunking does not matter."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        gate = Gate(config)
-        if state.exists:
-            for name, value in json.loads(state.get[0]).items():
-                setattr(gate, name, value)
+        gate = Gate(config, **json.loads(state.get[0])) if state.exists else Gate(config)
         rows = pd.concat(list(parts)).sort_values("seq")
         found = [gate.step(float(r.score), float(r.other), bool(r.speech)) for r in rows.itertuples()]
         kept = asdict(gate)

@@ -149,14 +149,33 @@ def test_other_speakers():
         return o
 
     a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
-    assert len(fed([a] * 6, [0.1] * 6).centres) == 1
-    assert not fed([a] * 6, [0.9] * 6).centres
-    assert not fed([a, b] * 4, [0.1] * 8).centres
-    assert len(fed([a] * 4 + [b] * 4, [0.1] * 8).centres) == 2
-    assert len(fed([a] * 4 + [b] * 4 + [[0, 0, 1.0]] * 4, [0.1] * 12, most=2).centres) == 2
+    assert len(fed([a] * 6, [0.1] * 6)) == 1
+    assert not len(fed([a] * 6, [0.9] * 6))
+    assert not len(fed([a, b] * 4, [0.1] * 8))
+    assert len(fed([a] * 4 + [b] * 4, [0.1] * 8)) == 2
+    o = fed([a] * 4 + [b] * 2 + [[0, 0, 1.0]] * 4, [0.1] * 10, most=2)
+    assert len(o) == 2 and o.centres[:, 1].max() == 0  # the one least reinforced went
     o = fed([a] * 4, [0.1] * 4)
     scores = [o.score(np.array([0.5, 0.1, 0]), 0.55, 0.5, 0.08) for _ in range(12)]
-    assert scores[0] > 0.9 and scores[-1] == 0 and not o.centres
+    assert scores[0] > 0.9 and scores[2] == 0 and not len(o)  # three refusals in a row
+    o = fed([a] * 4, [0.1] * 4)
+    for owner in [0.55, 0.1, 0.55, 0.1] * 2:  # refusals and others by turns: 2 1 3 2 4 3 5 4
+        o.score(np.array(a), owner, 0.5, 0.08)
+    assert len(o) == 1 and o.blame == 4
+    assert o.score(np.array(a), 0.55, 0.5, 0.08) == 0 and not len(o) and o.blame == 0
+
+
+def test_blame_changes_sides():
+    o = gate.OtherSpeakers()
+    a, b = np.eye(2)
+    for v in (a, a, a, b, b, b):
+        o.learn(v, 0.0, 0.5, lambda _: 0.0)
+    assert len(o) == 2
+    for v in (a, a, b, a, a):
+        o.score(v, 0.9, 0.5, 1.0)
+    assert o.blamed == 0 and o.blame == 4 and len(o) == 2
+    o.score(np.array([1.0, 1.0]), 0.9, 0.5, 1.0)  # a tie is the last one's
+    assert o.blamed == 1 and o.blame == 2
 
 
 def test_turns_and_hysteresis():
@@ -338,7 +357,7 @@ def test_session_turn_boundary_shuts_the_gate():
     frames = [(0.9, OTHER)] * 8 + [(0.9, OWN)] * 6 + [(0.1, OWN)] * 3 + [(0.9, OTHER)] * 3
     s, got = _play(config, frames)
     on = [g[0] for g in got]
-    assert s.others.centres and on[13] and on[14] and not any(on[15:])
+    assert len(s.others) and on[13] and on[14] and not any(on[15:])
     late = session.Session(config, session.Pool([OWN]))
     late.awaiting, late.flying, late.frame = 5, (6, np.array(OWN), 0.0, 4), 6
     late.step(0.1, OWN)
