@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.signal import scale_index
+from frameloom.operators.gate import sequential
 
 
 def runs(frames: DataFrame, key: str, order: list[str], on: str = "is_on") -> DataFrame:
@@ -42,6 +43,35 @@ def coefficient(ms: float, rate: int) -> float:
     return 1.0 if ms <= 0 else 1 - math.exp(-1000.0 / (ms * rate))
 
 
+def levels(frames: DataFrame, key: str, order: list[str], hop: int, rate: int = 16_000, attack_ms: float = 15.0, release_ms: float = 100.0, carried: float = 0.0, on: str = "is_on") -> DataFrame:
+    """Adds start (of the run that covers the frame) and level, the envelope at the frame's last sample; a frame has ``hop``
+    samples. Attack and release go on from the level that the run before reached, the first from ``carried``.
+
+    Runs partition the axis, so the run of a frame is the last start so far, a running window instead of a range join. The
+    level at which a run begins depends on all runs before it: a fold over runs, a row a run. Frames meet it by (session,
+    start), which spreads a long session over tasks."""
+    w = Window.partitionBy(key).orderBy(*order)
+    at = frames.withColumn("__i", F.row_number().over(w) - 1).withColumn("__new", ~F.col(on).eqNullSafe(F.lag(on).over(w)))
+    at = at.withColumn("start", F.last(F.when(F.col("__new") | (F.col("__i") == 0), F.col("__i")), True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lasting = at.groupBy(key, "start").agg(F.first(on).alias("__on"), (F.count("*") * hop).alias("__n"))
+    keep = {True: 1 - coefficient(attack_ms, rate), False: 1 - coefficient(release_ms, rate)}
+
+    def begin():
+        now = carried
+
+        def step(turned: bool, n: int) -> tuple[float]:
+            nonlocal now
+            entry, now = now, float(turned) + (now - float(turned)) * keep[turned] ** n
+            return (entry,)
+
+        return step
+
+    entry = sequential(lasting, key, ["start"], ["__on", "__n"], "entry double", begin)
+    target = F.col(on).cast("double")
+    kept = F.pow(F.when(F.col(on), keep[True]).otherwise(keep[False]), (F.col("__i") - F.col("start") + 1) * float(hop))
+    return at.join(entry, [key, "start"]).withColumn("level", target + (F.col("entry") - target) * kept).drop("__i", "__new", "entry")
+
+
 def envelope(rows: list[tuple[int, bool]], n: int, rate: int = 16_000, attack_ms: float = 15.0, release_ms: float = 100.0, start: float = 0.0):
     """The gain of each of n samples under runs (start, is_on); the first must start at 0. Starts that do not grow are skipped."""
     import numpy as np

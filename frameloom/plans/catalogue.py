@@ -53,7 +53,7 @@ def pool_match_score(spark, sf):
 
 def best_profile_match(spark, sf):
     anchors, probes = _vectors(spark, sf)
-    found = matching.best_profile(matching.best_by_group(probes, anchors))
+    found = matching.best_profile(probes, anchors)
     return found.select(F.col("key").alias("vec_id"), "grp", _six("score"))
 
 
@@ -66,9 +66,8 @@ def anchor_distance_guard(spark, sf):
 def as_norm_top20(spark, sf):
     """The probe's largest cosine with its own profile, against the anchors of the others."""
     anchors, probes = _vectors(spark, sf)
-    own = matching.best_by_group(probes, anchors)
-    raw = probes.join(own, (F.col("vec_id") == F.col("key")) & (probes["grp"] == own["grp"])).select("vec_id", "embedding", probes["grp"], F.greatest("cos", F.lit(0.0)).alias("raw"))
-    return matching.as_norm(raw, anchors).select(F.col("key").alias("vec_id"), _six("raw"), _six("score"))
+    raw = matching.own_profile(probes, anchors)
+    return matching.as_norm(raw, anchors, key="key", vec="vec").select(F.col("key").alias("vec_id"), _six("raw"), _six("score"))
 
 
 def profile_centroids(spark, sf):
@@ -174,14 +173,9 @@ def db_gain(spark, sf):
 
 
 def envelope_range_join(spark, sf):
-    """Every frame with the run that covers it: a range join on sample numbers, within the session."""
-    w = Window.partitionBy("user_id").orderBy(*ORDER)
-    frames = _gated(spark, sf).select("user_id", "event_id", (F.row_number().over(w) - 1).alias("i"))
-    found = runs.runs(_gated(spark, sf), "user_id", ORDER).alias("r")
-    joined = frames.alias("f").join(found, (F.col("f.user_id") == F.col("r.user_id")) & (F.col("f.i") >= F.col("r.start")) & (F.col("f.i") < F.col("r.end")))
-    c = runs.coefficient(100.0, 16_000)
-    level = F.when(F.col("r.is_on"), 1.0).otherwise(F.pow(F.lit(1 - c), (F.col("f.i") - F.col("r.start") + 1) * 512.0))
-    return joined.select("f.user_id", "f.event_id", F.col("r.start").alias("run_start"), F.round(level, 6).alias("level"))
+    """Every frame with the run that covers it and the gain at its end: attack, release, and what the last run left."""
+    found = runs.levels(_gated(spark, sf).select("user_id", *ORDER, "is_on"), "user_id", ORDER, 512)
+    return found.select("user_id", "event_id", F.col("start").cast("long").alias("run_start"), _six("level"))
 
 
 def score_ema(spark, sf):
@@ -434,8 +428,12 @@ SELECT user_id, moved AS run_start, is_on FROM (SELECT *, lead(moved) OVER (PART
 FROM (SELECT *, exp(-5e-1 * ((value - 90) / 40) * ((value - 90) / 40)) AS m FROM i)""",
     "soft_limit": "SELECT event_id, round(CASE WHEN abs(x) <= 95e-2 THEN x ELSE sign(x) * (95e-2 + 5e-2 * tanh((abs(x) - 95e-2) / 5e-2)) END, 6) AS limited FROM (SELECT event_id, value / 50 - 1 AS x FROM events)",
     "db_gain": "SELECT event_id, round(pow(10e0, (value / 10 - 6) / 20), 6) AS gain FROM events",
-    "envelope_range_join": _RUNS + """ SELECT g.user_id, g.event_id, run_start, round(CASE WHEN r.is_on THEN 1e0 ELSE pow(exp(-1000e0 / (100e0 * 16000)), (g.rn - 1 - run_start + 1) * 512e0) END, 6) AS level
-FROM g JOIN runs r ON g.user_id = r.user_id AND g.rn - 1 >= run_start AND g.rn - 1 < run_end""",
+    "envelope_range_join": _RUNS.replace("WITH", "WITH RECURSIVE", 1) + """, q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY run_start) AS k,
+  exp(-1000e0 / ((CASE WHEN is_on THEN 15e0 ELSE 100e0 END) * 16000)) AS keep, CASE WHEN is_on THEN 1e0 ELSE 0e0 END AS target FROM runs),
+v AS (SELECT user_id, k, 0e0 AS entry FROM q WHERE k = 1
+  UNION ALL SELECT q.user_id, q.k + 1, target + (entry - target) * pow(keep, (run_end - run_start) * 512e0) FROM v JOIN q ON q.user_id = v.user_id AND q.k = v.k)
+SELECT g.user_id, g.event_id, q.run_start, round(target + (entry - target) * pow(keep, (g.rn - q.run_start) * 512e0), 6) AS level
+FROM g JOIN q ON g.user_id = q.user_id AND g.rn - 1 >= q.run_start AND g.rn - 1 < q.run_end JOIN v ON v.user_id = q.user_id AND v.k = q.k""",
     "capture_quality": f"""WITH e AS ({_E}), f AS (SELECT user_id, (rn - 1) // 4 AS f, count(*) AS n, sum(score - 2e-1) AS s, sum((score - 2e-1) * (score - 2e-1)) AS q, max(abs(score - 2e-1)) AS p, count(*) FILTER (WHERE abs(score - 2e-1) >= 995e-3) AS c FROM e GROUP BY 1, 2),
 t AS (SELECT user_id, sum(n) AS n, sum(s) AS s, sum(q) AS q, max(p) AS peak, sum(c) AS c, count(*) FILTER (WHERE n >= 2) AS frames, count(*) FILTER (WHERE n >= 2 AND sqrt(q / n) >= 6e-3) AS active FROM f GROUP BY 1),
 r AS (SELECT user_id, CAST(n AS BIGINT) AS n, 20 * log10(greatest(sqrt(q / n), 1e-9)) AS db, peak, abs(s / n) AS dc, c / n AS cr, active / greatest(frames, 1) AS ar FROM t)
@@ -474,4 +472,25 @@ UNION ALL SELECT user_id, event_id, rn, o <> flip, CASE WHEN flip THEN 0 ELSE a
   SELECT *, (NOT o AND a >= 2) OR (o AND b >= 2) AS flip FROM (
     SELECT e.user_id, e.event_id, e.rn, x.o, CASE WHEN e.score >= 35e-2 THEN x.a + 1 ELSE 0 END AS a, CASE WHEN e.score >= 35e-2 THEN 0 ELSE x.b + 1 END AS b FROM x JOIN e ON e.user_id = x.user_id AND e.rn = x.rn + 1)))
 SELECT user_id, event_id, o AS overlap FROM x""",
+    "adaptive_theta_gate": f"""WITH RECURSIVE e AS ({_E}), x AS (
+SELECT user_id, event_id, rn, score, score AS m, 0e0 AS v, 3e-1 AS theta, CASE WHEN score >= 3e-1 THEN 0e0 END AS since FROM e WHERE rn = 1
+UNION ALL SELECT user_id, event_id, rn, score, m, v, theta, CASE WHEN score >= theta THEN 0 WHEN since + 32 < 300 AND score >= 0 THEN since + 32 END FROM (
+  SELECT *, CASE WHEN rn < 30 THEN 3e-1 ELSE least(greatest(m - sqrt(greatest(v, 0)), 15e-2), 45e-2) END AS theta FROM (
+    SELECT e.user_id, e.event_id, e.rn, e.score, x.since, x.m + 5e-2 * (e.score - x.m) AS m, 95e-2 * (x.v + 5e-2 * (e.score - x.m) * (e.score - x.m)) AS v
+    FROM x JOIN e ON e.user_id = x.user_id AND e.rn = x.rn + 1)))
+SELECT user_id, event_id, since IS NOT NULL AS is_on, round(theta, 6) AS theta FROM x""",
+    "turn_detector": _GATED.replace("WITH", "WITH RECURSIVE", 1) + """, h AS (SELECT *, score > 1e-1 AS voiced FROM g), x AS (
+SELECT user_id, event_id, rn, 'steady' AS state, false AS entered, CASE WHEN voiced THEN score ELSE 0e0 END AS fast, CASE WHEN voiced THEN score ELSE 0e0 END AS slow,
+  0 AS calm, false AS refreshed, false AS dipped FROM h WHERE rn = 1
+UNION ALL SELECT user_id, event_id, rn, next, next = 'shrunk' AND state <> 'shrunk', fast, slow, CASE WHEN next = state THEN calm ELSE 0 END,
+  next = 'shrunk', dipped AND NOT (next = 'shrunk' AND state <> 'shrunk') FROM (
+  SELECT *, CASE WHEN state = 'steady' AND ((away AND is_on) OR (voiced AND NOT is_on AND dipped AND slow > 0 AND fast >= slow - 1e-1)) THEN 'shrunk'
+    WHEN state = 'shrunk' AND refreshed AND calm >= 3 THEN 'regrowing' WHEN state = 'regrowing' THEN 'steady' ELSE state END AS next FROM (
+    SELECT * EXCLUDE (dipped, calm), dipped OR (away AND slow > 0 AND NOT is_on) AS dipped, CASE WHEN voiced AND abs(fast - slow) <= 1e-1 THEN calm + 1 ELSE 0 END AS calm FROM (
+      SELECT *, voiced AND fast < slow - 25e-2 AS away FROM (
+        SELECT h.user_id, h.event_id, h.rn, h.voiced, h.is_on, x.state, x.calm, x.refreshed, x.dipped,
+          CASE WHEN NOT h.voiced THEN x.fast WHEN x.fast = 0 AND x.slow = 0 THEN h.score ELSE x.fast + 3e-1 * (h.score - x.fast) END AS fast,
+          CASE WHEN NOT h.voiced THEN x.slow WHEN x.fast = 0 AND x.slow = 0 THEN h.score WHEN h.is_on THEN x.slow + 2e-2 * (h.score - x.slow) ELSE x.slow END AS slow
+        FROM x JOIN h ON h.user_id = x.user_id AND h.rn = x.rn + 1)))))
+SELECT user_id, event_id, state, entered FROM x""",
 } | relational.ORACLES

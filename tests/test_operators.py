@@ -32,10 +32,14 @@ def test_pool_maximum_and_blocks(spark):
     probes = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [-1.0, -1.0])], "vec_id long, embedding array<float>")
     pool = spark.createDataFrame([(7, [0.5, 0.5]), (7, [0.99, 0.01]), (8, [0.0, 1.0])], "grp long, vec array<float>")
     for block in (1, 100):
-        best = {r.key: (r.grp, r.score) for r in matching.best_profile(matching.best_by_group(probes, pool, block_rows=block)).collect()}
+        best = {r.key: (r.grp, r.score) for r in matching.best_profile(probes, pool, block_rows=block).collect()}
         assert best[1][0] == 7 and 0.99 < best[1][1] <= 1
         assert best[2] == (7, 0.0) and best[3][1] == 0.0
-    assert matching.best_by_group(probes, pool.limit(0)).count() == 0
+        every = {(r.key, r.grp): r.cos for r in matching.best_by_group(probes, pool, block_rows=block).collect()}
+        assert len(every) == 6 and every[1, 7] == best[1][1] and every[3, 8] < 0
+        own = {(r.key, r.grp): r.raw for r in matching.own_profile(probes.selectExpr("*", "if(vec_id = 3, 9, 8) as grp"), pool, block_rows=block).collect()}
+        assert own == {(1, 8): 0.0, (2, 8): 0.0}
+    assert matching.best_by_group(probes, pool.limit(0)).count() == 0 and matching.best_profile(probes, pool.limit(0)).count() == 0
 
 
 def normed(spark, cohort, raw, k):
@@ -55,6 +59,14 @@ def test_as_norm(spark):
     assert normed(spark, np.eye(3).tolist(), 0.5, 0) == 0.5
 
 
+def test_match_score(spark):
+    probes = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
+    conditions = spark.createDataFrame([(7, [0.0, 1.0]), (8, [0.0, 1.0])], "grp long, centroid array<double>")
+    adapted = spark.createDataFrame([(7, [1.0, 1.0]), (8, None)], "grp long, adapted array<double>")
+    got = {(r.key, r.grp): r.score for r in matching.match_score(probes, conditions, adapted).collect()}
+    assert got == {(1, 7): pytest.approx(0.5**0.5), (1, 8): 0.0, (2, 7): 0.0, (2, 8): 0.0}
+
+
 def test_profiles(spark):
     rows = spark.createDataFrame([(1, 1, [1.0, 3.0, -1.0]), (1, 2, [3.0, 1.0, 1.0])], "grp long, idx int, vec array<float>")
     assert profiles.centroids(rows).first().centroid == [2, 2, 0]
