@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 RATE, FFT, HOP, MELS = 16_000, 400, 160, 80
 
 
+@lru_cache(8)
 def mel_matrix(rate: int = RATE, fft: int = FFT, mels: int = MELS) -> np.ndarray:
     """Triangular filters on the 2595 * log10(1 + f / 700) scale, (fft / 2 + 1) x mels."""
     top = 2595 * np.log10(1 + rate / 2 / 700)
@@ -42,6 +44,13 @@ def difference(x: np.ndarray, longest: int) -> np.ndarray:
     return np.maximum(energy[n - lag] + energy[n] - energy[lag] - 2 * cross, 0)
 
 
+def normalised(d: np.ndarray) -> np.ndarray:
+    """The difference at each lag over its mean at the lags up to it; 1 at lag 0 and while the sum is 0."""
+    out, total = np.ones(len(d)), np.cumsum(d[1:])
+    out[1:] = np.where(total > 0, d[1:] * np.arange(1, len(d)) / np.maximum(total, 1e-300), 1.0)
+    return out
+
+
 def _dip(norm: np.ndarray, first: int, stop: int, threshold: float) -> int | None:
     """The first lag below the threshold, followed down to its local minimum."""
     below = np.flatnonzero(norm[first:stop] < threshold)
@@ -61,10 +70,7 @@ def pitch(x: np.ndarray, rate: int, low: float = 50, high: float = 500, threshol
     least, most = max(2, int(rate / high)), min(len(x) // 2, int(rate / low))
     if most <= least:
         return None
-    d = difference(x, most + 1)
-    total = np.cumsum(d[1:])
-    norm = np.ones(most + 1)
-    norm[1:] = np.where(total > 0, d[1:] * np.arange(1, most + 1) / np.maximum(total, 1e-300), 1.0)
+    norm = normalised(difference(x, most + 1))
     t, near = None, int(rate / hint) if hint and math.isfinite(hint) and hint > 0 else 0
     if least <= near <= most:
         first, stop = max(least, int(near * 0.7)), min(most, int(near * 1.4))
@@ -87,21 +93,51 @@ def pitch_track(audio: np.ndarray, rate: int = RATE, frame: int = 2048, hop: int
     return out
 
 
-def resample(audio: np.ndarray, to_rate: int, from_rate: int, half: int = 16) -> np.ndarray:
-    """Windowed-sinc resampling of a whole signal; equal rates copy, empty stays empty."""
+class Sinc:
+    """A windowed-sinc kernel between two rates. Output k stands at input k * from_rate / to_rate."""
+
+    def __init__(self, to_rate: int, from_rate: int, half: int = 16) -> None:
+        if min(to_rate, from_rate) <= 0:
+            raise ValueError("rates must be positive")
+        self.to_rate, self.from_rate = to_rate, from_rate
+        self.cut = min(1.0, to_rate / from_rate)
+        self.reach = math.ceil(half / self.cut)
+
+    def length(self, n: int) -> int:
+        """Outputs of a whole signal of n samples."""
+        return (n * self.to_rate + self.from_rate // 2) // self.from_rate
+
+    def known(self, n: int) -> int:
+        """Outputs that need none but the first n samples."""
+        return max(0, -(-(n - self.reach) * self.to_rate // self.from_rate)) if n > self.reach else 0
+
+    def reaches_back(self, k: int) -> int:
+        """The first sample that output k and later ones need."""
+        return max(0, k * self.from_rate // self.to_rate - self.reach + 1)
+
+    def __call__(self, x: np.ndarray, first: int, start: int, stop: int, at_once: int = 1 << 14) -> np.ndarray:
+        """Outputs start to stop of a signal of which x holds the samples from place ``first`` on; others count as 0."""
+        out = np.empty(stop - start)
+        for a in range(start, stop, at_once):
+            k = np.arange(a, min(a + at_once, stop))
+            whole, part = np.divmod(k * self.from_rate, self.to_rate)
+            index = whole[:, None] + np.arange(-self.reach + 1, self.reach + 1)
+            t = (whole - index.T).T + (part / self.to_rate)[:, None]
+            taps = np.sinc(self.cut * t) * np.where(np.abs(t) < self.reach, 0.5 + 0.5 * np.cos(np.pi * t / self.reach), 0)
+            taps /= taps.sum(1, keepdims=True)
+            here = index - first
+            held = np.where((here >= 0) & (here < len(x)), x[np.clip(here, 0, max(len(x) - 1, 0))], 0) if len(x) else np.zeros(here.shape)
+            out[a - start : a - start + len(k)] = (held * taps).sum(1)
+        return out
+
+
+def resample(audio: np.ndarray, to_rate: int, from_rate: int) -> np.ndarray:
+    """Windowed-sinc resampling of a whole signal, some thousand outputs at a time; equal rates copy, empty stays empty."""
     x = np.asarray(audio, np.float64)
     if to_rate == from_rate or not len(x):
         return x.copy()
-    n = (len(x) * to_rate + from_rate // 2) // from_rate
-    cut = min(1.0, to_rate / from_rate)
-    at = np.arange(n) * from_rate / to_rate
-    reach = int(np.ceil(half / cut))
-    index = np.floor(at).astype(int)[:, None] + np.arange(-reach + 1, reach + 1)
-    t = at[:, None] - index
-    window = np.where(np.abs(t) < reach, 0.5 + 0.5 * np.cos(np.pi * t / reach), 0)
-    taps = cut * np.sinc(cut * t) * window
-    taps /= taps.sum(1, keepdims=True)
-    return (np.where((index >= 0) & (index < len(x)), x[np.clip(index, 0, len(x) - 1)], 0) * taps).sum(1)
+    kernel = Sinc(to_rate, from_rate)
+    return kernel(x, 0, 0, kernel.length(len(x)))
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
@@ -120,3 +156,19 @@ def resample_udf(to_rate: int, from_rate: int):
         return samples.map(lambda x: resample(x, to_rate, from_rate).tolist() if x is not None else None)
 
     return run
+
+
+def difference_udf(longest: int):
+    @F.pandas_udf("array<double>")
+    def run(samples: pd.Series) -> pd.Series:
+        return samples.map(lambda x: difference(np.asarray(x, float), longest).tolist() if x is not None else None)
+
+    return run
+
+
+def normalised_udf(longest: int):
+    @F.pandas_udf("array<double>")
+    def run(samples: pd.Series) -> pd.Series:
+        return samples.map(lambda x: normalised(difference(np.asarray(x, float), longest)).tolist() if x is not None else None)
+
+    return run

@@ -63,3 +63,10 @@ def counter_deltas(rows: DataFrame, key: str, tick: str, counters: list[str]) ->
     """Adds d_<name>, the growth of each running total since the last tick; a total that went back counts as no growth."""
     w = Window.partitionBy(key).orderBy(tick)
     return rows.select("*", *(F.greatest(F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0)), F.lit(0)).alias(f"d_{c}") for c in counters))
+
+
+def applied(gain: Column, raw: Column, processed: Column, dry: Column) -> Column:
+    """Queued gains on processed samples with a share of the raw ones, all three by position; what one lacks is left out."""
+    least = F.least(F.size(gain), F.size(raw), F.size(processed))
+    zipped = F.arrays_zip(*(F.slice(x, F.lit(1), least).alias(n) for x, n in ((gain, "gain"), (raw, "raw"), (processed, "processed"))))
+    return F.transform(zipped, lambda s: s["gain"] * (s["processed"] * (1 - dry) + s["raw"] * dry))

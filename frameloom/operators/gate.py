@@ -25,12 +25,19 @@ class GateConfig:
     adaptive: bool = False
     alpha: float = 1.0
     dt_ms: float = FRAME_MS
+    as_norm: bool = False  # scores are normalised by a cohort
+    theta_as_norm: float = 2.25
+
+    @property
+    def fixed(self) -> float:
+        """The threshold on the scale of the scores, before any adaptation."""
+        return self.theta_as_norm if self.as_norm else self.theta
 
     def __post_init__(self) -> None:
         if not (math.isfinite(self.margin) and self.margin >= 0):
             raise ValueError("the margin must be finite and not negative")
-        if self.margin > 0 and self.adaptive:
-            raise ValueError("a margin needs a fixed threshold")
+        if self.margin > 0 and (self.adaptive or self.as_norm):
+            raise ValueError("a margin needs a fixed threshold on raw cosines")
 
 
 def hangover_gate(frames: DataFrame, key: str, order: list[str], config: GateConfig) -> DataFrame:
@@ -41,8 +48,8 @@ def hangover_gate(frames: DataFrame, key: str, order: list[str], config: GateCon
     w = Window.partitionBy(key).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     wins = F.col("score") - F.col("other") >= config.margin
-    ok = (F.col("score") >= config.theta) & wins
-    kill = ~ok & ((F.col("score") < config.theta * config.floor_frac) | ~wins)
+    ok = (F.col("score") >= config.fixed) & wins
+    kill = ~ok & ((F.col("score") < config.fixed * config.floor_frac) | ~wins)
     out = frames.withColumn("__rn", F.row_number().over(w))
     out = out.withColumn("__lp", F.max(F.when(ok, F.col("__rn"))).over(upto)).withColumn("__lk", F.max(F.when(kill, F.col("__rn"))).over(upto))
     on = F.col("__lp").isNotNull() & (F.col("__lk").isNull() | (F.col("__lp") > F.col("__lk"))) & ((F.col("__rn") - F.col("__lp")) * config.dt_ms < config.hangover_ms)
@@ -132,7 +139,7 @@ class Gate:
 
     def theta(self) -> float:
         c = self.config
-        return self.speech.threshold(c.theta) if c.adaptive else c.theta
+        return self.speech.threshold(c.fixed) if c.adaptive else c.fixed
 
     def step(self, score: float, other: float = 0.0, speech: bool = True) -> tuple[bool, float, float]:
         """(is_on, threshold, smoothed score) of the next frame."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.vectors import blend, cosine
@@ -25,6 +25,16 @@ def adapted(profiles: DataFrame, share: float = BLEND) -> DataFrame:
     return profiles.withColumn("adapted", F.when(F.col("evidence").isNotNull(), F.when(F.col("centroid").isNull(), F.col("evidence").cast("array<double>")).otherwise(both)))
 
 
+def evidence(rows: DataFrame, order: list[str], rate: float = EVIDENCE_RATE) -> DataFrame:
+    """grp, evidence: the exponential mean of each group's vectors (grp, vec) in order, the first of them as it is. In closed form
+    the k-th of n weighs rate * (1 - rate)^(n - k), the first without the rate; sums by (group, place) merge like a mean's."""
+    w = Window.partitionBy("grp")
+    k, n = F.row_number().over(w.orderBy(*order)), F.count("*").over(w)
+    weighed = rows.select("grp", "vec", *order).select("grp", "vec", (F.pow(F.lit(1 - rate), n - k) * F.when(k == 1, 1.0).otherwise(rate)).alias("w"))
+    at = weighed.select("grp", "w", F.posexplode("vec").alias("pos", "x")).groupBy("grp", "pos").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("x"))
+    return at.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("evidence"))
+
+
 def evidence_step(evidence: np.ndarray | None, vec: np.ndarray, rate: float = EVIDENCE_RATE) -> np.ndarray:
     """The first evidence as it is, then an exponential mean."""
     return np.array(vec, float) if evidence is None else (1 - rate) * evidence + rate * np.asarray(vec, float)
@@ -37,20 +47,27 @@ def _cos(a: np.ndarray, b: np.ndarray) -> float:
 
 def condition_means(anchors: np.ndarray) -> list[np.ndarray]:
     """Merge the two groups of closest means until clamp(n / 4, 1, 4) are left; with at most 4 left, stop once the closest
-    are less alike than MERGE_COS. Of equal pairs the first by place merges."""
-    groups = [[np.asarray(a, float)] for a in anchors]
-    means = [g[0] for g in groups]
-    budget = min(max(len(groups) // PER_GROUP, 1), MOST_GROUPS)
-    while len(groups) > budget:
-        unit = np.array([m / (np.linalg.norm(m) or 1.0) for m in means])
-        near = np.triu(unit @ unit.T, 1) + np.tril(np.full((len(means),) * 2, -np.inf))
-        i, j = divmod(int(near.argmax()), len(means))
-        if near[i, j] < MERGE_COS and len(groups) <= MOST_GROUPS:
+    are less alike than MERGE_COS. Of equal pairs the first by place merges. Cosines are kept in one upper triangle, of which a
+    merge changes one row and one column."""
+    means = np.array(anchors, float)
+    n, alive, size = len(means), np.ones(len(means), bool), np.ones(len(means))
+    left, budget = n, min(max(n // PER_GROUP, 1), MOST_GROUPS)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-300)
+
+    near = np.where(np.triu(np.ones((n, n), bool), 1), unit(means) @ unit(means).T, -np.inf)
+    while left > budget:
+        i, j = divmod(int(near.argmax()), n)
+        if near[i, j] < MERGE_COS and left <= MOST_GROUPS:
             break
-        groups[i] += groups.pop(j)
-        means.pop(j)
-        means[i] = np.mean(groups[i], axis=0)
-    return means
+        means[i] = (means[i] * size[i] + means[j] * size[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        alive[j], left = False, left - 1
+        near[j], near[:, j] = -np.inf, -np.inf
+        now = np.where(alive, unit(means) @ unit(means[i]), -np.inf)
+        near[i, i + 1 :], near[:i, i] = now[i + 1 :], now[:i]
+    return list(means[alive])
 
 
 def condition_groups(rows: DataFrame) -> DataFrame:

@@ -14,10 +14,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from frameloom.operators.gate import Gate, GateConfig, OtherSpeakers, TurnDetector
+from frameloom.operators.gate import Gate, GateConfig, Hysteresis, OtherSpeakers, TurnDetector, smoothed
 from frameloom.operators.profiles import BLEND, GUARD, condition_means, evidence_step
 
-SEED_SIGMA = 40.0
+SEED_SIGMA, TOP = 40.0, 20
 
 
 def _cos(a: np.ndarray, b: np.ndarray) -> float:
@@ -31,6 +31,16 @@ def pitch_match(f0: float, mean: float, sigma: float) -> float:
     return math.exp(-0.5 * ((f0 - mean) / sigma) ** 2)
 
 
+def as_norm(vec: np.ndarray, raw: float, cohort: np.ndarray, k: int = TOP) -> float:
+    """raw against the mean and deviation of the k largest dot products of the unit vector with the cohort's rows."""
+    size = float(np.linalg.norm(vec))
+    if not size or not len(cohort) or k < 1:
+        return raw
+    top = np.sort(cohort @ vec / size)[-k:]
+    apart, sigma = raw - float(top.mean()), float(top.std())
+    return apart / sigma if sigma >= 1e-12 else apart
+
+
 @dataclass
 class Pool:
     """A speaker's anchors, their condition means, and what was learned since."""
@@ -93,11 +103,14 @@ class SessionConfig:
     learn: bool = True
     bootstrap: bool = False
     theta_learn: float = 0.80
+    theta_learn_as_norm: float = 3.25
     theta_match: float = 0.7
     least_s: float = 1.0
     turns: bool = False
     turn_window: int = 15
     turn_update: int = 4
+    routing: bool = False  # between a solo and an overlap mode, by the overlap probability
+    bypass: bool = True  # in overlap speech and its hangover decide, not the score
 
     def __post_init__(self) -> None:
         if min(self.window, self.update, self.reopen, self.turn_window, self.turn_update) < 1 or min(self.pre_roll, self.latency, self.after_silence) < 0:
@@ -111,15 +124,16 @@ def mean_vector(window: list) -> np.ndarray:
 class Session:
     """State of one session; ``step`` takes a frame and returns what diagnostics hold of it."""
 
-    def __init__(self, config: SessionConfig, pool: Pool, encode: Callable[[list], np.ndarray] = mean_vector) -> None:
+    def __init__(self, config: SessionConfig, pool: Pool, encode: Callable[[list], np.ndarray] = mean_vector, cohort: Iterable = ()) -> None:
         self.config, self.pool, self.encode = config, pool, encode
+        self.cohort = np.array([np.asarray(v, float) for v in cohort])
         self.reset()
 
     def reset(self) -> None:
         """Forget the session and what is in flight; the pool stays."""
         c = self.config
         self.frame, self.gate, self.others = 0, Gate(GateConfig(**{**c.gate.__dict__, "alpha": 1.0})), OtherSpeakers()
-        self.turn = TurnDetector()
+        self.turn, self.mode, self.heard = TurnDetector(), Hysteresis(), 0.0
         self.window: deque = deque()
         self.ring: deque = deque(maxlen=c.pre_roll)
         self.spoke, self.speech_ms, self.silence_ms = False, 0.0, 0.0
@@ -137,8 +151,8 @@ class Session:
     def _apply(self, vec: np.ndarray, f0: float, trigger: int) -> str | None:
         c, g = self.config, self.gate.config
         self.cos, self.match, self.applied = self.pool.score(vec), pitch_match(f0, self.pool.f0_mean, self.pool.f0_sigma), trigger
-        alpha = c.gate.alpha
-        self.last = self.cos if not 0 <= alpha < 1 or self.last == 0.0 else alpha * self.cos + (1 - alpha) * self.last
+        new = as_norm(vec, self.cos, self.cohort) if g.as_norm else self.cos
+        self.last = smoothed(self.last, new, c.gate.alpha)
         if g.margin > 0:
             self.other = self.others.score(vec, self.cos, g.theta, g.margin)
             self.others.learn(vec, self.cos, g.theta, self.pool.score)
@@ -149,7 +163,7 @@ class Session:
                 self.pool.seed(vec, f0)
                 return "BootstrapSeed"
             return None
-        if self.last >= c.theta_learn and self.match >= c.theta_match and self.speech_ms >= c.least_s * 1000:
+        if self.last >= (c.theta_learn_as_norm if g.as_norm else c.theta_learn) and self.match >= c.theta_match and self.speech_ms >= c.least_s * 1000:
             return "Admit" if self.pool.adapt(vec) else "RejectAnchorDistance"
         return None
 
@@ -158,8 +172,23 @@ class Session:
         while len(self.window) > size:
             self.window.popleft()
 
-    def step(self, speech: float, vec: Iterable, f0: float | None = None) -> tuple[bool, float, float, float, str | None]:
-        """(is_on, score, cosine, pitch match, learning event) of the next frame; f0 is null where unvoiced."""
+    def flush(self) -> list[str]:
+        """The session is over: refreshes that are in flight or wait for one are applied now; their learning events."""
+        jobs = [job for job in (self.flying and self.flying[1:], self.pending) if job]
+        self.flying = self.pending = None
+        return [event for job in jobs if (event := self._apply(*job))]
+
+    def _overlapped(self, probability: float | None) -> bool:
+        """The mode after this frame; a probability counts once a cadence."""
+        self.heard += self.config.gate.dt_ms
+        if probability is not None and self.heard >= self.mode.cadence_ms:
+            self.heard = 0.0
+            self.mode.step(probability)
+        return self.mode.overlap
+
+    def step(self, speech: float, vec: Iterable, f0: float | None = None, overlap: float | None = None) -> tuple[bool, float, float, float, str | None]:
+        """(is_on, score, cosine, pitch match, learning event) of the next frame; f0 is null where unvoiced, overlap where no
+        probability is known."""
         c, now = self.config, speech > self.config.speech_above
         shrunk = c.turns and self.turn.state == "shrunk"
         size, cadence = (c.turn_window, c.turn_update) if shrunk else (c.window, c.update)
@@ -211,6 +240,10 @@ class Session:
         if self.awaiting is not None and self.applied is not None and self.applied >= self.awaiting:
             self.awaiting = None
         quiet = 0 < c.silence_off_ms <= self.silence_ms
-        on = scored and not quiet and self.awaiting is None and not (c.turns and self.turn.closed)
+        if c.routing and self._overlapped(overlap) and c.bypass:
+            on = (now or self.silence_ms < c.gate.hangover_ms) and not quiet
+        else:
+            on = scored and not quiet and not (c.turns and self.turn.closed)
+        on = on and self.awaiting is None
         self.frame += 1
         return on, self.last, self.cos, self.match, event

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import signal, vectors
 from frameloom.operators import capture, framing, gate, matching, profiles, runs, separation, session
-from frameloom.plans import relational
+from frameloom.plans import relational, samples
 from frameloom.sources import diagnostics
 
 ANCHORS = 12
@@ -71,18 +71,29 @@ def as_norm_top20(spark, sf):
 
 
 def profile_centroids(spark, sf):
-    anchors, _ = _vectors(spark, sf)
-    return profiles.centroids(anchors).select("grp", F.posexplode("centroid").alias("pos", "x")).select("grp", F.col("pos").cast("long").alias("pos"), _six("x"))
+    """Of all vectors of a label."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("label").cast("long").alias("grp"), F.col("embedding").alias("vec"))
+    return profiles.centroids(rows).select("grp", F.posexplode("centroid").alias("pos", "x")).select("grp", F.col("pos").cast("long").alias("pos"), _six("x"))
+
+
+def _adapted(anchors, probes):
+    """Profiles that were enrolled with the anchors and learned from all probes of their own, in order."""
+    learned = profiles.evidence(probes.withColumnRenamed("embedding", "vec"), ["vec_id"])
+    return profiles.adapted(profiles.centroids(anchors).join(learned, "grp"))
 
 
 def adapted_blend(spark, sf):
-    """Evidence is each profile's first probe."""
-    anchors, probes = _vectors(spark, sf)
-    first = probes.groupBy("grp").agg(F.min_by("embedding", "vec_id").alias("evidence"))
-    out = profiles.adapted(profiles.centroids(anchors).join(first, "grp"))
+    out = _adapted(*_vectors(spark, sf))
     return out.select("grp", F.posexplode("adapted").alias("pos", "x")).select("grp", F.col("pos").cast("long").alias("pos"), _six("x"))
 
 
+def match_scores(spark, sf):
+    """Every probe against every profile: one condition each, and what was learned."""
+    anchors, probes = _vectors(spark, sf)
+    found = matching.match_score(probes, profiles.centroids(anchors), _adapted(anchors, probes))
+    return found.select(F.col("key").alias("vec_id"), "grp", _six("score"))
+
+
 def enrollment_consistency(spark, sf):
     anchors, _ = _vectors(spark, sf)
     found = profiles.consistency(anchors, floor=0.0)
@@ -369,16 +380,19 @@ def _named(*functions) -> dict:
 
 
 QUERIES: dict = _named(
-    cosine_pairs, pool_match_score, best_profile_match, anchor_distance_guard, as_norm_top20, profile_centroids, adapted_blend, enrollment_consistency, condition_groups, pooled_f0_merge,
+    cosine_pairs, pool_match_score, best_profile_match, anchor_distance_guard, as_norm_top20, match_scores, profile_centroids, adapted_blend, enrollment_consistency, condition_groups, pooled_f0_merge,
     gate_hangover, gate_margin_floor, gate_runs, gate_duty_cycle, consecutive_runs, silence_force_off, preroll_lookback, rate_scale, score_asof_forward_fill, auto_learn_admission,
     soft_limit, db_gain, envelope_range_join, score_ema, adaptive_theta_gate, overlap_hysteresis, turn_detector, other_speaker_fold,
     capture_quality, overlap_summary, separator_pick, block_levels, enrolment_windows, evenly_spaced_blocks, lookahead_pairs, onset_lookback, identity_windows, counter_deltas, survival_ratio, f0_statistics, rolling_windows,
     session_fold, session_diagnostics,
-) | relational.QUERIES
+) | samples.QUERIES | relational.QUERIES
 
 _V = """WITH r AS (SELECT vec_id, CAST(label AS BIGINT) AS grp, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS idx FROM embeddings),
 a AS (SELECT * FROM r WHERE idx <= 12), p AS (SELECT * FROM r WHERE idx > 12)"""
 _SCORES = _V + ", s AS (SELECT p.vec_id, p.grp AS own, a.grp, max(list_cosine_similarity(p.v, a.v)) AS cos FROM p CROSS JOIN a GROUP BY 1, 2, 3)"
+_LEARNED = _V + """, c AS (SELECT grp, pos, avg(x) AS x FROM (SELECT grp, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a) GROUP BY 1, 2),
+k AS (SELECT grp, v, pow(7e-1, count(*) OVER (PARTITION BY grp) - idx + 12) * CASE WHEN idx = 13 THEN 1 ELSE 3e-1 END AS w FROM p),
+d AS (SELECT grp, pos, 1e-1 * any_value(c.x) + 9e-1 * sum(w * y) AS x FROM (SELECT grp, w, unnest(v) AS y, generate_subscripts(v, 1) AS pos FROM k) JOIN c USING (grp, pos) GROUP BY 1, 2)"""
 _E = "SELECT *, least(value / 100, 1e0) AS score, CASE WHEN event_type = 'error' THEN 4e-1 ELSE 0e0 END AS other, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 
 
@@ -406,10 +420,10 @@ ORACLES: dict = {
 d AS (SELECT p.vec_id, list_dot_product(p.v, a.v) / sqrt(list_dot_product(p.v, p.v)) AS d FROM p CROSS JOIN a WHERE p.grp <> a.grp),
 t AS (SELECT vec_id, avg(d) AS m, stddev_pop(d) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d DESC) AS rk FROM d) WHERE rk <= 20 GROUP BY 1)
 SELECT o.vec_id, round(raw, 6) AS raw, round((raw - m) / sd, 6) AS score FROM o JOIN t USING (vec_id)""",
-    "profile_centroids": _V + " SELECT grp, CAST(pos - 1 AS BIGINT) AS pos, round(avg(x), 6) AS x FROM (SELECT grp, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a) GROUP BY grp, pos",
-    "adapted_blend": _V + """, c AS (SELECT grp, pos, avg(x) AS x FROM (SELECT grp, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a) GROUP BY 1, 2),
-f AS (SELECT grp, unnest(v) AS y, generate_subscripts(v, 1) AS pos FROM (SELECT grp, arg_min(v, vec_id) AS v FROM p GROUP BY 1))
-SELECT grp, CAST(pos - 1 AS BIGINT) AS pos, round(1e-1 * x + 9e-1 * y, 6) AS x FROM c JOIN f USING (grp, pos)""",
+    "profile_centroids": "SELECT CAST(label AS BIGINT) AS grp, CAST(pos - 1 AS BIGINT) AS pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2",
+    "adapted_blend": _LEARNED + " SELECT grp, CAST(pos - 1 AS BIGINT) AS pos, round(x, 6) AS x FROM d",
+    "match_scores": _LEARNED + """, m AS (SELECT grp, list(x ORDER BY pos) AS v FROM c GROUP BY 1 UNION ALL SELECT grp, list(x ORDER BY pos) FROM d GROUP BY 1)
+SELECT p.vec_id, m.grp, round(greatest(max(list_cosine_similarity(p.v, m.v)), 0e0), 6) AS score FROM p CROSS JOIN m GROUP BY 1, 2""",
     "enrollment_consistency": _V + """, q AS (SELECT x.grp, list_sort(list(list_cosine_similarity(x.v, y.v))) AS l FROM a x JOIN a y ON x.grp = y.grp AND x.idx < y.idx GROUP BY 1)
 SELECT grp, n, round(coalesce(l[len(l) // 2 + 1], 0), 6) AS median_cos, n >= 6 AND coalesce(l[len(l) // 2 + 1], 0) >= 0 AS accepted FROM (SELECT grp, count(*) AS n FROM a GROUP BY 1) LEFT JOIN q USING (grp)""",
     "pooled_f0_merge": """SELECT user_id, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events WHERE event_type IN ('click', 'view')
@@ -493,4 +507,4 @@ UNION ALL SELECT user_id, event_id, rn, next, next = 'shrunk' AND state <> 'shru
           CASE WHEN NOT h.voiced THEN x.slow WHEN x.fast = 0 AND x.slow = 0 THEN h.score WHEN h.is_on THEN x.slow + 2e-2 * (h.score - x.slow) ELSE x.slow END AS slow
         FROM x JOIN h ON h.user_id = x.user_id AND h.rn = x.rn + 1)))))
 SELECT user_id, event_id, state, entered FROM x""",
-} | relational.ORACLES
+} | samples.ORACLES | relational.ORACLES

@@ -27,3 +27,10 @@ def parsed(rows: DataFrame, text: str = "value") -> DataFrame:
 def rendered(profiles: DataFrame) -> DataFrame:
     """Adds value: the version 2 document of anchors, evidence, f0_mu and f0_sigma."""
     return profiles.withColumn("value", F.to_json(F.struct(F.lit(2).alias("version"), "anchors", "evidence", F.struct("f0_mu", "f0_sigma").alias("metadata"))))
+
+
+def begun_empty(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """The profiles of ``after`` that may be written: those that have anchors now and had none before the session, so that what
+    a session learned never replaces an enrolment."""
+    enrolled = before.where(F.size("anchors") > 0).select(key)
+    return after.where(F.size("anchors") > 0).join(enrolled, key, "left_anti")

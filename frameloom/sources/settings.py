@@ -19,3 +19,9 @@ def gate_settings(text: Column, floor: float = 0.45) -> Column:
     fit[0] = F.when(second, fit[0]).otherwise(F.greatest(fit[0], F.lit(floor)))
     good = (F.size(numbers) == 3) & values[0].isNotNull() & values[1].isNotNull() & values[2].isNotNull()
     return F.when(good, F.struct(fit[0].alias("threshold"), fit[1].alias("hangover_ms"), fit[2].alias("release_ms")))
+
+
+def separator_threshold(text: Column, usual: float = 0.45) -> Column:
+    """A number from 0.05 to 0.95; anything else gives the usual one."""
+    value = F.trim(text).try_cast("double")
+    return F.when(value.between(0.05, 0.95), value).otherwise(usual)

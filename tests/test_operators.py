@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.functions import dsp, signal, vectors
-from frameloom.operators import capture, framing, gate, matching, profiles, runs, separation, session
+from frameloom.operators import capture, framing, gate, matching, models, profiles, runs, separation, session, stages
 from frameloom.sources import audio, diagnostics, settings
 from frameloom.sources import profiles as documents
 
@@ -427,3 +427,137 @@ def test_pitch_hint():
     noise = np.random.default_rng(0).normal(size=2048)
     assert dsp.pitch_track(np.concatenate([x, noise, x]))[0] == pytest.approx(220, rel=0.05) and dsp.pitch(noise, 16_000, hint=220.0) is None
     assert dsp.pitch_track(x[:100]) == []
+
+
+def test_stages_take_any_pieces():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=3000)
+    for to, from_ in ((48, 16), (16, 48), (441, 160), (5, 5)):
+        want = dsp.Sinc(to, from_)(x, 0, 0, dsp.Sinc(to, from_).length(len(x)))
+        for options in ({}, {"fixed_out": 512}, {"fixed_in": 1024}):
+            stage, out, at = stages.Resampler(to, from_, **options), [], 0
+            while at < len(x):
+                n = int(rng.integers(1, 400))
+                out += stage.push(x[at : at + n])
+                at += n
+            if "fixed_out" in options:
+                assert {len(o) for o in out} == {512}
+            out += stage.flush()
+            assert np.array_equal(np.concatenate(out), want)
+
+    def fails(block):
+        if block[0] == 3:
+            raise RuntimeError("a block")
+        return block
+
+    stage = stages.Blocks(3, fails)
+    assert not stage.push(np.arange(2.0))
+    with pytest.raises(RuntimeError):
+        stage.push(np.arange(2.0, 8.0))
+    assert [b.tolist() for b in stage.push(np.array([8.0]))] == [[6.0, 7.0, 8.0]]  # the block that failed is gone
+    stage.push(np.array([9.0]))
+    assert [b.tolist() for b in stage.flush()] == [[9.0]] and not stage.flush()
+    ring = stages.pitch_ring()
+    t = np.arange(4096) / 16_000
+    found = [ring.push(np.sin(2 * np.pi * 200 * t[i : i + 512]))[0] for i in range(0, 4096, 512)]
+    assert [len(f) for f in found] == [0, 0, 0, 1, 1, 1, 1, 1] and found[-1][0] == pytest.approx(200, rel=0.05)
+
+
+def test_stage_stream_equals_whole(spark, tmp_path):
+    from frameloom.streaming.stage_stream import staged
+
+    rng = np.random.default_rng(4)
+    signals = {k: rng.normal(size=120) for k in range(3)}
+    rows = [(k, i, x[i * 12 : (i + 1) * 12].tolist(), i == 9) for k, x in signals.items() for i in range(10)]
+    schema = "session long, seq long, samples array<double>, last boolean"
+    for n in range(2):
+        spark.createDataFrame([r for r in rows if r[1] // 5 == n], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = staged(source, lambda: stages.Resampler(3, 2, fixed_out=16)).writeStream.format("memory").queryName("resampled").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    for k, x in signals.items():
+        got = [v for r in spark.table("resampled").where(f"session = {k}").sort("block").collect() for v in r.samples]
+        assert got == pytest.approx(dsp.resample(x, 3, 2).tolist())
+
+
+def test_models_hold_their_contracts(tmp_path, monkeypatch):
+    seen = []
+    vad = models.VoiceActivity(lambda x, state: (seen.append(x) or 0.7, (state or 0) + 1))
+    assert vad(np.ones(512)) == 0.7 and vad(np.zeros(512)) == 0.7 and vad.state == 2
+    assert seen[0][:64].sum() == 0 and seen[1][:64].sum() == 64
+    with pytest.raises(ValueError):
+        vad(np.ones(511))
+    encoder = models.Encoder(lambda f: f, pool=lambda f: np.full(192, f.mean()))
+    assert encoder(np.ones((5, 80))).shape == (192,) and encoder.parts()[0] is encoder.model
+    for bad in (np.ones((5, 79)), np.ones((0, 80))):
+        with pytest.raises(ValueError):
+            encoder(bad)
+    with pytest.raises(ValueError):
+        models.Encoder(lambda f: f.mean(0))(np.ones((3, 80)))
+    with pytest.raises(ValueError):
+        models.Encoder(lambda f: np.ones(192)).parts()
+    calls = []
+    stage = models.extractor(lambda x, s: (calls.append(1) or x * 2, s), chunk=4, tensors=3)
+    assert [b.tolist() for b in stage.push(np.array([0.0, 0, 0, 0, 1, 1, 1, 1]))] == [[0] * 4, [2] * 4] and len(calls) == 1
+    with pytest.raises(ValueError):
+        models.extractor(lambda x, s: (x, s[1:]), chunk=2).push(np.ones(2))
+    assert models.denoiser(lambda x, s: (x, s), hop=2).push(np.ones(5))[1].tolist() == [1, 1]
+    apart = models.two_streams(lambda x: np.stack([x, -x]))
+    assert apart(np.ones(8000)).shape == (2, 8000)
+    with pytest.raises(ValueError):
+        models.two_streams(lambda x: np.stack([x, x * np.nan]))(np.ones(8000))
+    overlap = models.Overlap(lambda x: np.zeros((3, 7)), rate=8, cadence_ms=500)
+    assert [overlap.push(np.ones(2)) is not None for _ in range(8)] == [False, False, False, True, False, True, False, True]
+    assert models.conditioning([[1.0] * 192, [3.0] * 192])[0] == 2 and models.conditioning([[1.0] * 192], [2.0] * 192)[0] == pytest.approx(1.9)
+    assert len(models.calibrated([1], list(range(9)))) == 9
+    for call in (lambda: models.conditioning([]), lambda: models.calibrated([1], [1, 2, 3])):
+        with pytest.raises(ValueError):
+            call()
+    monkeypatch.delenv("SOME_MODEL", raising=False)
+    with pytest.raises(FileNotFoundError):
+        models.local_model("m.onnx", "SOME_MODEL", str(tmp_path))
+    (tmp_path / "m.onnx").write_bytes(b"x")
+    assert models.local_model("m.onnx", "SOME_MODEL", str(tmp_path)) == str(tmp_path / "m.onnx")
+
+
+def test_session_with_a_cohort_flush_and_routing():
+    assert session.as_norm(np.array([1.0, 0, 0]), 0.8, np.array([[d, 0, 0] for d in (0.4, 0.5, 0.6, 0.7, 0.0)]), 4) == pytest.approx(2.236068, abs=1e-5)
+    assert session.as_norm(np.array([1.0, 0]), 0.9, np.array([[1.0, 0]] * 4), 4) == pytest.approx(-0.1) and session.as_norm(np.zeros(2), 0.4, np.eye(2)) == 0.4
+    config = session.SessionConfig(gate=gate.GateConfig(as_norm=True), **QUICK)
+    s = session.Session(config, session.Pool([OWN]), cohort=[[0.1, 1, 0], [0.0, 0, 1], [0.2, 0, 0.9]])
+    assert [s.step(0.9, OWN)[0] for _ in range(2)] == [False, True] and s.last > 2.25
+    s.step(0.9, OTHER)
+    assert not s.step(0.9, OTHER)[0] or s.gate.is_on
+    with pytest.raises(ValueError):
+        gate.GateConfig(margin=0.1, as_norm=True)
+    late = session.Session(session.SessionConfig(gate=gate.GateConfig(theta=0.45), latency=5, least_s=0.032, theta_learn=0.3, **QUICK), session.Pool([OWN], 120.0, 20.0))
+    assert [late.step(0.9, OWN, 120.0)[4] for _ in range(4)] == [None] * 4 and late.last == 0.0
+    assert late.flush() == ["Admit", "Admit"] and late.last == 1.0 and not late.flush()
+    routed = session.Session(session.SessionConfig(gate=gate.GateConfig(theta=0.45, hangover_ms=64, dt_ms=250.0), routing=True, **QUICK), session.Pool([OWN]))
+    got = [routed.step(0.9, OTHER, None, p)[0] for p in (0.9, 0.9, 0.9, 0.0, 0.0, 0.0)]
+    assert got == [False, True, True, True, False, False]  # in overlap speech decides
+
+
+def test_empty_beginnings_may_be_written(spark):
+    schema = "k long, anchors array<array<double>>"
+    before = spark.createDataFrame([(1, [[1.0]]), (2, [])], schema)
+    after = spark.createDataFrame([(1, [[1.0], [2.0]]), (2, [[3.0]]), (3, [[4.0]]), (4, [])], schema)
+    assert sorted(r.k for r in documents.begun_empty(before, after, "k").collect()) == [2, 3]
+
+
+def test_wav_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", [0.0, 0.5]), ("b", None)], "name string, samples array<double>")
+    assert sorted((r.name, r.bytes) for r in audio.write(rows, "file://" + str(tmp_path / "w"), 16_000).collect()) == [("a", 48), ("b", 44)]
+    assert sorted(len(r.samples) for r in audio.read(spark, str(tmp_path / "w")).collect()) == [0, 2]
+
+
+def test_levels_equal_the_envelope(spark):
+    rng = np.random.default_rng(5)
+    on = [bool(v) for v in rng.random(60) > 0.5]
+    rows = spark.createDataFrame([(k, i, v) for k in (1, 2) for i, v in enumerate(on)], "k long, i long, is_on boolean")
+    starts = [(i * 32, v) for i, v in enumerate(on) if i == 0 or on[i - 1] != v]
+    for carried in (0.0, 0.7):
+        want = runs.envelope(starts, 60 * 32, start=carried)[31::32]
+        got = {(r.k, r.i): r.level for r in runs.levels(rows, "k", ["i"], 32, carried=carried).collect()}
+        assert [got[2, i] for i in range(60)] == pytest.approx(want.tolist()) and len(got) == 120
