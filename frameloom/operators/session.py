@@ -67,6 +67,18 @@ class Pool:
         self.anchors += [np.asarray(a, float) for a in anchors]
         self._derive()
 
+    def __len__(self) -> int:
+        return len(self.anchors) + (self.adapted is not None)
+
+    def __iter__(self):
+        """The anchors, then what was adapted from them."""
+        yield from self.anchors
+        if self.adapted is not None:
+            yield self.adapted
+
+    def set_f0(self, mean: float, sigma: float) -> None:
+        self.f0_mean, self.f0_sigma = mean, sigma
+
     def score(self, vec: np.ndarray) -> float:
         """The largest cosine with a condition mean or the adapted vector, floored at 0."""
         known = [*self.conditions, *([] if self.adapted is None else [self.adapted])]
@@ -81,7 +93,7 @@ class Pool:
         return True
 
     def seed(self, vec: np.ndarray, f0: float) -> None:
-        self.f0_mean, self.f0_sigma = f0, SEED_SIGMA
+        self.set_f0(f0, SEED_SIGMA)
         self.add([vec])
 
 

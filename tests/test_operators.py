@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.functions import dsp, signal, vectors
-from frameloom.operators import capture, framing, gate, matching, models, profiles, runs, separation, session, stages
+from frameloom.operators import capture, framing, gate, matching, models, offline, profiles, runs, separation, session, stages
 from frameloom.sources import audio, diagnostics, settings
 from frameloom.sources import profiles as documents
 
@@ -335,7 +335,7 @@ QUICK = dict(window=2, update=1, reopen=1, after_silence=1, pre_roll=0)
 
 
 def _play(config, frames, pool=None):
-    s = session.Session(config, pool or session.Pool([OWN]))
+    s = session.Session(config, session.Pool([OWN]) if pool is None else pool)
     return s, [s.step(*f) for f in frames]
 
 
@@ -561,3 +561,26 @@ def test_levels_equal_the_envelope(spark):
         want = runs.envelope(starts, 60 * 32, start=carried)[31::32]
         got = {(r.k, r.i): r.level for r in runs.levels(rows, "k", ["i"], 32, carried=carried).collect()}
         assert [got[2, i] for i in range(60)] == pytest.approx(want.tolist()) and len(got) == 120
+
+
+def test_recordings_are_enrolled_and_processed(spark):
+    t = np.arange(16_000 * 9) / 16_000
+    tone = 0.3 * np.sin(2 * np.pi * 150 * t) + 0.2 * np.sin(2 * np.pi * 300 * t)
+    rows = spark.createDataFrame([(1, 16_000, tone.tolist()), (2, 16_000, tone[:15_999].tolist()), (3, 16_000, tone[:20_000].tolist()), (1, 32_000, np.repeat(tone[:80_000], 2).tolist())], "k long, rate int, samples array<double>")
+    got = {r.k: r for r in offline.enrolled(rows, "k", lambda f: f.mean(0) + 100).collect()}
+    assert sorted(got) == [1, 3] and got[1].n == 5 + 2 and got[3].n == 1 and not got[3].accepted
+    assert got[1].accepted and len(got[1].anchors) == 7 and got[1].median_cos > 0.9 and got[1].f0_mu == pytest.approx(150, rel=0.02)
+    x = np.ones(5)
+    assert offline.decision_view(x, 16_000) is x and len(offline.decision_view(x, 8_000)) == 10
+    config = session.SessionConfig(gate=gate.GateConfig(theta=0.45, hangover_ms=64), **QUICK)
+    voice = [OTHER] * 4 + [OWN] * 6 + [OTHER] * 6
+    frames = spark.createDataFrame([(k, i, 0.9, v, 120.0) for k in (1, 2) for i, v in enumerate(voice)], "k long, i long, speech double, vec array<double>, f0 double")
+    decided, turned = offline.processed(frames, "k", ["i"], ["speech", "vec", "f0"], lambda: session.Session(config, session.Pool([OWN])), pre_roll_ms=32)
+    _, want = _play(config, [(0.9, v, 120.0) for v in voice])
+    rows = decided.where("k = 2").sort("i").collect()
+    assert [r.is_on for r in rows] == [w[0] for w in want] and rows[3].level == 0 and rows[9].level > 0.9
+    first = next(i for i, w in enumerate(want) if w[0])
+    starts = [(r.start, r.is_on) for r in turned.where("k = 1").sort("start").collect()]
+    assert starts[:2] == [(0, False), ((first * 512 - 512) * 3, True)]
+    pool = session.Pool([OWN, OTHER])
+    assert len(pool) == 2 and pool.adapt(np.array(OWN)) and [v.tolist() for v in pool][:2] == [OWN, OTHER] and len(pool) == 3
