@@ -411,6 +411,12 @@ runs AS (SELECT user_id, run_start, coalesce(lead(run_start) OVER (PARTITION BY
 _ISLANDS = """i AS (SELECT *, rn - coalesce(max(CASE WHEN NOT speech THEN rn END) OVER u, 0) AS sp, rn - coalesce(max(CASE WHEN speech THEN rn END) OVER u, 0) AS si
   FROM (SELECT *, score > {0} AS speech FROM {1}) WINDOW u AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING))"""
 
+def _cosine(a: str, b: str) -> str:
+    """In sums of products, as lists may be null."""
+    dot = "list_sum(list_transform(range(1, 65), lambda d: {}[d] * {}[d]))"
+    return f"({dot.format(a, b)} / sqrt({dot.format(a, a)} * {dot.format(b, b)}))"
+
+
 ORACLES: dict = {
     "cosine_pairs": _V + " SELECT x.grp, x.vec_id AS left_id, y.vec_id AS right_id, round(list_cosine_similarity(x.v, y.v), 6) AS cos FROM a x JOIN a y ON x.grp = y.grp AND x.idx < y.idx",
     "pool_match_score": _SCORES + " SELECT vec_id, grp, round(greatest(cos, 0e0), 6) AS score FROM s",
@@ -424,6 +430,39 @@ SELECT o.vec_id, round(raw, 6) AS raw, round((raw - m) / sd, 6) AS score FROM o
     "adapted_blend": _LEARNED + " SELECT grp, CAST(pos - 1 AS BIGINT) AS pos, round(x, 6) AS x FROM d",
     "match_scores": _LEARNED + """, m AS (SELECT grp, list(x ORDER BY pos) AS v FROM c GROUP BY 1 UNION ALL SELECT grp, list(x ORDER BY pos) FROM d GROUP BY 1)
 SELECT p.vec_id, m.grp, round(greatest(max(list_cosine_similarity(p.v, m.v)), 0e0), 6) AS score FROM p CROSS JOIN m GROUP BY 1, 2""",
+    "condition_groups": _V.replace("WITH", "WITH RECURSIVE", 1) + """, b AS (SELECT grp, list(v ORDER BY idx) AS m, list(1 ORDER BY idx) AS s FROM a GROUP BY 1), x AS (
+SELECT grp, m, s, 0 AS step, len(m) AS n, greatest(1, least(4, len(m) // 4)) AS budget, false AS done FROM b
+UNION ALL SELECT grp, CASE WHEN stop THEN m ELSE list_transform(list_filter(range(1, n + 1), lambda k: k <> p.j),
+    lambda k: CASE WHEN k = p.i THEN list_transform(range(1, len(m[p.i]) + 1), lambda d: (m[p.i][d] * s[p.i] + m[p.j][d] * s[p.j]) / (s[p.i] + s[p.j])) ELSE m[k] END) END,
+  CASE WHEN stop THEN s ELSE list_transform(list_filter(range(1, n + 1), lambda k: k <> p.j), lambda k: CASE WHEN k = p.i THEN s[p.i] + s[p.j] ELSE s[k] END) END,
+  step + 1, CASE WHEN stop THEN n ELSE n - 1 END, budget, stop FROM (
+  SELECT *, n <= budget OR (p.c < 7e-1 AND n <= 4) AS stop FROM (
+    SELECT *, list_filter(pairs, lambda q: q.c = list_max(list_transform(pairs, lambda r: r.c)))[1] AS p FROM (
+      SELECT *, flatten(list_transform(range(1, n), lambda i: list_transform(range(i + 1, n + 1), lambda j: {'i': i, 'j': j, 'c': list_cosine_similarity(m[i], m[j])}))) AS pairs FROM x WHERE NOT done)))),
+f AS (SELECT grp, m, n FROM x WHERE done), g AS (SELECT grp, m, unnest(range(n)) AS condition FROM f)
+SELECT grp, CAST(condition AS INT) AS condition, CAST(pos - 1 AS INT) AS pos, round(x, 6) AS x FROM (SELECT grp, condition, unnest(m[condition + 1]) AS x, generate_subscripts(m[condition + 1], 1) AS pos FROM g)""",
+    "other_speaker_fold": _V.replace("WITH", "WITH RECURSIVE", 1) + """, c AS (SELECT grp, list(x ORDER BY pos) AS c FROM (SELECT grp, pos, avg(x) AS x FROM (SELECT grp, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a) GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT p.grp, p.vec_id, p.v, c.c, p.idx - 12 AS k, list_cosine_similarity(p.v, c.c) AS own FROM p JOIN c USING (grp)), x AS (
+SELECT grp, vec_id, k, 0e0 AS rival, CAST([] AS DOUBLE[][]) AS ctr, CAST([] AS INT[]) AS wt, CASE WHEN own < 25e-2 THEN 1 ELSE 0 END AS rej, CAST(NULL AS DOUBLE[]) AS wait, 0 AS blamed, 0 AS blame FROM h WHERE k = 1
+UNION ALL SELECT grp, vec_id, k, rival,
+  CASE WHEN NOT good THEN ctr WHEN known THEN list_transform(range(1, len(ctr) + 1), lambda i: CASE WHEN i = row2 THEN cand ELSE ctr[i] END) ELSE list_append(CASE WHEN gone > 0 THEN list_transform(list_filter(range(1, len(ctr) + 1), lambda i: i <> gone), lambda i: ctr[i]) ELSE ctr END, cand) END,
+  CASE WHEN NOT good THEN wt WHEN known THEN list_transform(range(1, len(wt) + 1), lambda i: wt[i] + CASE WHEN i = row2 THEN 1 ELSE 0 END) ELSE list_append(CASE WHEN gone > 0 THEN list_transform(list_filter(range(1, len(wt) + 1), lambda i: i <> gone), lambda i: wt[i]) ELSE wt END, 2) END,
+  rej, CASE WHEN NOT reject THEN NULL WHEN known OR rej < 2 THEN wait WHEN paired THEN NULL ELSE v END, CASE WHEN good AND gone > 0 THEN 0 ELSE blamed END, CASE WHEN good AND gone > 0 THEN 0 ELSE blame END FROM (
+  SELECT *, coalesce(""" + _cosine("cand", "c") + """ < 25e-2 * 15e-1, false) AS good, CASE WHEN NOT known AND len(ctr) >= 6 THEN list_position(wt, list_min(wt)) ELSE 0 END AS gone FROM (
+    SELECT *, CASE WHEN NOT reject THEN NULL WHEN known THEN list_transform(range(1, len(v) + 1), lambda d: ctr[row2][d] + 2e-1 * (v[d] - ctr[row2][d])) WHEN paired THEN list_transform(range(1, len(v) + 1), lambda d: (wait[d] + v[d]) / 2) END AS cand FROM (
+      SELECT *, reject AND len(near2) > 0 AND coalesce(near2[row2] >= 3e-1, false) AS known, reject AND rej >= 2 AND NOT (len(near2) > 0 AND coalesce(near2[row2] >= 3e-1, false)) AND coalesce(""" + _cosine("wait", "v") + """ >= 1e-1, false) AS paired FROM (
+        SELECT * EXCLUDE (rej), own < 25e-2 AS reject, CASE WHEN own < 25e-2 THEN rej + 1 ELSE 0 END AS rej, greatest(0e0, coalesce(list_max(near2), 0e0)) AS rival, len(near2) + 1 - list_position(list_reverse(near2), list_max(near2)) AS row2 FROM (
+          SELECT * EXCLUDE (ctr, wt, blamed, blame), CASE WHEN dropped THEN list_transform(list_filter(range(1, n + 1), lambda i: i <> row1), lambda i: ctr[i]) ELSE ctr END AS ctr,
+            CASE WHEN dropped THEN list_transform(list_filter(range(1, n + 1), lambda i: i <> row1), lambda i: wt[i]) ELSE wt END AS wt,
+            CASE WHEN dropped THEN list_transform(list_filter(range(1, n + 1), lambda i: i <> row1), lambda i: near[i]) ELSE near END AS near2,
+            CASE WHEN dropped OR blame = 0 THEN 0 ELSE blamed END AS blamed, CASE WHEN dropped THEN 0 ELSE blame END AS blame FROM (
+            SELECT *, refuses AND blame >= 6 AS dropped FROM (
+              SELECT * EXCLUDE (blamed, blame), CASE WHEN refuses THEN row1 ELSE blamed END AS blamed, CASE WHEN n = 0 THEN 0 WHEN refuses THEN 2 + CASE WHEN blamed = row1 THEN blame ELSE 0 END ELSE greatest(0, blame - 1) END AS blame FROM (
+                SELECT *, n > 0 AND own >= 25e-2 AND coalesce(own < near[row1] + 8e-2, false) AS refuses FROM (
+                  SELECT *, len(near) + 1 - list_position(list_reverse(near), list_max(near)) AS row1 FROM (
+                    SELECT h.grp, h.vec_id, h.v, h.c, h.k, h.own, x.ctr, x.wt, x.rej, x.wait, x.blamed, x.blame, len(x.ctr) AS n, list_transform(x.ctr, lambda q: """ + _cosine("h.v", "q") + """) AS near
+                    FROM x JOIN h ON h.grp = x.grp AND h.k = x.k + 1)))))))))))
+SELECT grp, vec_id, round(rival, 6) AS rival, CAST(len(ctr) AS INT) AS clusters FROM x""",
     "enrollment_consistency": _V + """, q AS (SELECT x.grp, list_sort(list(list_cosine_similarity(x.v, y.v))) AS l FROM a x JOIN a y ON x.grp = y.grp AND x.idx < y.idx GROUP BY 1)
 SELECT grp, n, round(coalesce(l[len(l) // 2 + 1], 0), 6) AS median_cos, n >= 6 AND coalesce(l[len(l) // 2 + 1], 0) >= 0 AS accepted FROM (SELECT grp, count(*) AS n FROM a GROUP BY 1) LEFT JOIN q USING (grp)""",
     "pooled_f0_merge": """SELECT user_id, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events WHERE event_type IN ('click', 'view')
