@@ -194,6 +194,32 @@ def test_index_family_takes_batches(spark, docs, tmp_path, monkeypatch):
     assert op8.IndexFamily(spark, folder + "-none", spec).add(own.limit(0)).count() == 0
 
 
+def test_sorted_files_merge_in_pieces():
+    rng = random.Random(2)
+    for _ in range(60):
+        lists = [sorted({(rng.randint(-9, 9), rng.randint(0, 3)): rng.randint(1, 3) for _ in range(rng.randint(0, 25))}.items()) for _ in range(rng.randint(1, 4))]
+
+        def pieces(rows: list):
+            while rows:
+                n = rng.randint(1, 6)
+                part, rows = rows[:n], rows[n:]
+                yield {"ah": np.array([k[0] for k, _ in part]), "ph": np.array([k[1] for k, _ in part]), "n": np.array([n for _, n in part])}
+
+        got, count = [], Counter()
+        for rows, source in op8.merged([pieces(x) for x in lists]):
+            keys = list(zip(rows["ah"].tolist(), rows["ph"].tolist()))
+            assert not got or got[-1] < keys[0]  # equal keys are never in two pieces
+            got += keys
+            assert len(source) == len(keys)
+            for k, n in zip(keys, rows["n"].tolist()):
+                count[k] += n
+        want = Counter()
+        for x in lists:
+            for k, n in x:
+                want[k] += n
+        assert got == sorted(k for x in lists for k, _ in x) and count == want
+
+
 @pytest.mark.parametrize("kind", ["words", "bytes"])
 def test_places_of_long_texts(monkeypatch, kind):
     monkeypatch.setattr(repeats, "SEGMENT", 64)
@@ -637,8 +663,10 @@ def test_clashing_columns(spark, how, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in NAMES))
     bench = spark.createDataFrame([(1, "alpha gamma", "x")], "item_id long, text string, `a.b` string")
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    docs, plain = docs.coalesce(1), plain.coalesce(1)
     for f in (lambda d: op1.near_duplicates(spark, d), lambda d: op2.substring_dedup(spark, d), lambda d: op3.identified(spark, d), lambda d: op4.copies(spark, d), lambda d: op6.contamination(spark, d, bench), lambda d: op8.suffix_dedup(spark, d)):
-        assert Counter(map(repr, f(docs).collect())) == Counter(map(repr, f(plain).collect()))
+        got = Counter(map(repr, f(docs).collect()))
+        assert got.total() == len(rows) and (how == "empty" or got == Counter(map(repr, f(plain).collect())))
     rest, media = op7.stored(spark, docs, "file://" + str(tmp_path / "m"))
     assert op7.media_column(rest, media).count() == len(rows) and op7.features(media).count() == media.count()
     assert op10.documents_of(*op10.written(spark, docs, "file://" + str(tmp_path / "t"))).count() == len(rows)
@@ -733,12 +761,83 @@ def test_empty_tables(spark, empty, tmp_path):
     assert op10.documents_of(*op10.written(spark, empty, "file://" + str(tmp_path / "t"))).count() == 0
 
 
-def test_pipeline(spark):
+def simple_score(found: list[str], model) -> tuple[str, float]:
+    """Language and score of a text's words, letter by letter."""
+    logs = []
+    for prob in model.prob.tolist():
+        total = 0.0
+        for word in (p for w in found for p in op3.parts(w)):
+            text, ways = op3.MARK + word, [1.0] + [0.0] * (len(word) + 1)
+            for b in range(1, len(text) + 1):
+                for a in range(max(0, b - 40), b):
+                    piece = text[a:b]
+                    ways[b] += ways[a] * (prob[model.index[piece]] if piece in model.index else op3.UNKNOWN if b == a + 1 else 0.0)
+            total += np.log(max(ways[-1], 1e-300))
+        logs.append(total)
+    best = int(np.argmax(logs))
+    return model.names[best], float(1 / np.exp(np.maximum(np.array(logs) - logs[best], -700)).sum())
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every row of the pipeline from the tables alone; only the language model's numbers are the operator's."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    t = Counter(r.doc_id for r in docs.collect())
-    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == t
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = op3.learned(table)
+    docs = [r for r in table.collect() if (w := op3.words(r.text or "")) and simple_score(w, model)[1] >= 0.5]
+    assert {r.doc_id for r in docs} == {r.doc_id for r in op3.accepted(spark, table, model).collect()}
+    sets = []
+    for r in docs:
+        w = (r.text or "").encode().lower().split()
+        sets.append({tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))})
+    low, changed = [r.doc_id for r in docs], True
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in near:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    docs = [r for r, least in zip(docs, low) if r.doc_id == least]
+
+    def normal(text: str | None) -> list[bytes]:
+        return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+
+    items = [normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(i[a : a + min(13, len(i))]) for i in items if i for a in range(max(1, len(i) - 12))}
+    clean = []
+    for r in docs:
+        w, hit = normal(r.text), set()
+        for n in {len(x) for x in windows}:
+            for a in range(len(w) - n + 1):
+                if tuple(w[a : a + n]) in windows:
+                    hit |= set(range(a, a + n))
+        if not hit or 20 * len(hit) < len(w):
+            clean.append(r)
+    size = {r.doc_id: len((r.text or "").encode().split()) for r in clean}
+    total = Counter()
+    for r in clean:
+        total[r.source] += size[r.doc_id]
+    names = sorted(s for s in total if s is not None) + [None] * (None in total)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    capped = set()
+    while True:
+        level = (sum(total.values()) - sum(3 * total[s] for s in capped)) / max(1, sum(weight[s] for s in names if s not in capped))
+        over = {s for s in names if s not in capped and level * weight[s] > 3 * total[s]}
+        if not over:
+            break
+        capped |= over
+    mixed = []
+    for s in names:
+        target = 3.0 * total[s] if s in capped else min(level * weight[s], 3.0 * total[s])
+        each = int(target / total[s] * 2**32) if total[s] else 0
+        offset = int(hashlib.md5(("mix" + ("-" if s is None else "+" + s)).encode()).hexdigest()[:8], 16)
+        for n, r in enumerate(sorted((r for r in clean if r.source == s), key=lambda r: (size[r.doc_id], r.doc_id))):
+            mixed += [r] * (((n + 1) * each + offset >> 32) - (n * each + offset >> 32))
+    t, at, want = Tokenizer.from_file(op10.default_vocabulary()), 0, []
+    for r in sorted(mixed, key=lambda r: r.doc_id):
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
