@@ -140,9 +140,9 @@ def resample(audio: np.ndarray, to_rate: int, from_rate: int) -> np.ndarray:
     return kernel(x, 0, 0, kernel.length(len(x)))
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def log_mel_udf(samples: pd.Series) -> pd.Series:
-    return samples.map(lambda x: log_mel(x).astype(np.float32).tolist() if x is not None else None)
+    return samples.map(lambda x: log_mel(x).tolist() if x is not None else None)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

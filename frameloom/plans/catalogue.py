@@ -264,7 +264,7 @@ def capture_quality(spark, sf):
     i = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER)) - 1
     samples = _frames(spark, sf).select("user_id", i.alias("i"), (F.col("score") - 0.2).alias("x"))
     found = capture.quality(samples, "user_id", frame=4)
-    return found.select("user_id", "n", _six("rms_dbfs"), _six("peak"), _six("dc"), _six("clipped_ratio"), _six("active_ratio"), "verdict")
+    return found.select("user_id", "n", _six("rms_dbfs"), _six("peak"), F.round("dc", 10).alias("dc"), _six("clipped_ratio"), _six("active_ratio"), "verdict")
 
 
 def overlap_summary(spark, sf):
@@ -490,7 +490,7 @@ FROM g JOIN q ON g.user_id = q.user_id AND g.rn - 1 >= q.run_start AND g.rn - 1
     "capture_quality": f"""WITH e AS ({_E}), f AS (SELECT user_id, (rn - 1) // 4 AS f, count(*) AS n, sum(score - 2e-1) AS s, sum((score - 2e-1) * (score - 2e-1)) AS q, max(abs(score - 2e-1)) AS p, count(*) FILTER (WHERE abs(score - 2e-1) >= 995e-3) AS c FROM e GROUP BY 1, 2),
 t AS (SELECT user_id, sum(n) AS n, sum(s) AS s, sum(q) AS q, max(p) AS peak, sum(c) AS c, count(*) FILTER (WHERE n >= 2) AS frames, count(*) FILTER (WHERE n >= 2 AND sqrt(q / n) >= 6e-3) AS active FROM f GROUP BY 1),
 r AS (SELECT user_id, CAST(n AS BIGINT) AS n, 20 * log10(greatest(sqrt(q / n), 1e-9)) AS db, peak, abs(s / n) AS dc, c / n AS cr, active / greatest(frames, 1) AS ar FROM t)
-SELECT user_id, n, round(db, 6) AS rms_dbfs, round(peak, 6) AS peak, round(dc, 6) AS dc, round(cr, 6) AS clipped_ratio, round(ar, 6) AS active_ratio,
+SELECT user_id, n, round(db, 6) AS rms_dbfs, round(peak, 6) AS peak, round(dc, 10) AS dc, round(cr, 6) AS clipped_ratio, round(ar, 6) AS active_ratio,
   CASE WHEN db < -42 OR peak < 25e-3 THEN 'quiet' WHEN cr > 3e-3 THEN 'clipped' WHEN dc > 5e-2 THEN 'offset' WHEN ar < 45e-2 THEN 'inactive' ELSE 'ok' END AS verdict FROM r""",
     "overlap_summary": """WITH f AS (SELECT CAST(label AS BIGINT) AS grp, list_transform(embedding[1:7]::DOUBLE[], lambda x: x * 8) AS l FROM embeddings),
 p AS (SELECT grp, 1 / (1 + exp(-l[5])) + 1 / (1 + exp(-l[6])) + 1 / (1 + exp(-l[7])) AS p, list_position(l, list_max(l)) >= 5 AS o FROM f)

@@ -106,9 +106,9 @@ def fused_scores(spark, sf):
 
 
 def settings_text(spark, sf):
-    """Values as settings of both versions and of neither."""
-    text = F.concat_ws(" ", F.element_at(F.array(F.lit("v2"), F.lit(None).cast("string"), F.lit("v3")), (F.col("event_id") % 3 + 1).cast("int")), F.round(F.col("value") / 100, 3).cast("string"), F.lit("300"), F.lit("5000"))
-    found = _events(spark, sf).select("event_id", settings.gate_settings(text).alias("s"), settings.separator_threshold(F.round(F.col("value") / 100, 3).cast("string")).alias("separator"))
+    """Whole values as settings of both versions and of neither."""
+    text = F.concat_ws(" ", F.element_at(F.array(F.lit("v2"), F.lit(None).cast("string"), F.lit("v3")), (F.col("event_id") % 3 + 1).cast("int")), (F.floor("value") / 100).cast("string"), F.lit("300"), F.lit("5000"))
+    found = _events(spark, sf).select("event_id", settings.gate_settings(text).alias("s"), settings.separator_threshold((F.floor("value") / 100).cast("string")).alias("separator"))
     return found.select("event_id", "s.threshold", "s.hangover_ms", "s.release_ms", "separator")
 
 
@@ -171,7 +171,7 @@ SELECT vec_id, m AS pos, round(greatest(db, max(db) OVER (PARTITION BY vec_id) -
     "crossfaded_gains": "SELECT event_id, round(2e0 + (5e-1 - 2e0) * least(1e0, greatest(0e0, value * 100 / 7 / 9600e0)), 6) AS gain FROM events",
     "fused_scores": "SELECT event_id, round(least(value / 100, 1e0) + 2e-1 * (exp(-5e-1 * ((value - 90) / 40) * ((value - 90) / 40)) - 5e-1), 6) AS score FROM events",
     "settings_text": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN least(95e-2, greatest(5e-2, t)) WHEN 1 THEN least(95e-2, greatest(45e-2, t)) END AS threshold,
-  CASE WHEN event_id % 3 < 2 THEN 3e2 END AS hangover_ms, CASE WHEN event_id % 3 < 2 THEN 2e3 END AS release_ms, CASE WHEN t BETWEEN 5e-2 AND 95e-2 THEN t ELSE 45e-2 END AS separator FROM (SELECT event_id, round(value / 100, 3) AS t FROM events)""",
+  CASE WHEN event_id % 3 < 2 THEN 3e2 END AS hangover_ms, CASE WHEN event_id % 3 < 2 THEN 2e3 END AS release_ms, CASE WHEN t BETWEEN 5e-2 AND 95e-2 THEN t ELSE 45e-2 END AS separator FROM (SELECT event_id, floor(value) / 100 AS t FROM events)""",
     "resampled_sessions": f"WITH e AS ({_E}), sig AS (SELECT user_id, rn - 1 AS i, score AS x FROM e), outs AS (SELECT user_id, unnest(range((count(*) * 3 + 1) // 2)) AS k FROM e GROUP BY 1), " + _SINC.format("user_id"),
     "separator_blocks": f"WITH e AS ({_E}) SELECT user_id, rn - 1 AS pos, round(score / greatest(sqrt(sum(score * score) OVER (PARTITION BY user_id, (rn - 1) // 10) / 10), 1e-9), 6) AS x FROM e",
     "ring_levels": f"""WITH e AS ({_E}), w AS (SELECT *, sqrt(avg(score * score) OVER (PARTITION BY user_id ORDER BY rn ROWS 19 PRECEDING)) AS level, count(*) OVER (PARTITION BY user_id) AS n FROM e)
