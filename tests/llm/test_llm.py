@@ -588,13 +588,14 @@ def test_host_arrays_against_brute_force(spark):
         words = stream(page)
         for a in range(len(words) - window + 1):
             homes.setdefault((op9.host_of(url), *words[a : a + window]), set()).add(page)
-    want = []
+    want, cuts = [], 0
     for i, url, page in rows:
         words = stream(page)
         cut = [False] * len(words)
         for a in range(len(words) - window + 1):
             if len(homes[(op9.host_of(url), *words[a : a + window])]) > 1:
                 cut[a : a + window] = [True] * window
+        cuts += sum(cut)
         parts, at = [], 0
         for kind, text in found[page]:
             if kind == "text":
@@ -612,7 +613,7 @@ def test_host_arrays_against_brute_force(spark):
     for limit in (4096, 1):
         got = [(r.page_id, r.text) for r in op9.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), group_limit=limit).collect()]
         assert sorted(got) == sorted(want)
-    assert sum(any(len(x) > 1 for k, x in homes.items() if k[1:] == tuple(stream(p)[a : a + window])) for _, _, p in rows for a in range(2)) > 10
+    assert cuts > 50  # there is something to cut
 
 
 def test_html_tables(spark):
