@@ -5,19 +5,21 @@ and equal windows lie under equal anchors. The reference is every distinct passa
 block is the passages under one anchor, indexed by a suffix array (``suffixes``). Each passage is factored greedily
 against its block, the only one that can share a window with it: a factor is the longest match with another passage, or
 all the rest of a passage that stands elsewhere as it is, or one word. Factors of ``window`` words or more are duplicate
-spans. At factor boundaries every window that crosses from one factor into the next is looked up in the index, so a
-boundary hides no repeat. A document's spans are the union over its passages.
+spans. At a factor boundary, the windows that cross it and whose rest the next factor covers are looked up in the index; others
+cannot repeat, so a boundary hides nothing. A document's spans are the union over its passages.
 
 Two shortcuts change no result: an anchor with one distinct passage needs no parse, as copies of it are one factor each;
 and blocks of over ``group_limit`` passages are not parsed but have their windows counted, spread over tasks.
 
 Defined results: null and empty texts have no words. Repeated rows are documents of their own, so their texts repeat.
-Texts under ``window`` words are never touched. Extra columns of the input are ignored.
+Texts under ``window`` words are never touched; very long texts are read in overlapping parts of 2^20 words. Ties in doc_id are
+told apart by their texts. Extra columns of any name are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,14 @@ def joined(repeats: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
 
 
+def _marked(spark: SparkSession, docs: DataFrame, window: int, gram: int, group_limit: int) -> tuple[Spec, DataFrame]:
+    spec, own = Spec(window, gram, "words", group_limit=group_limit, parse=True), keyed(docs)
+    return spec, with_marks(own, marks(spark, own, spec, work_dir(spark, "substring")))
+
+
 def parsed(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_limit: int = 4096) -> DataFrame:
     """Every row of docs (doc_id, text) as doc_id, text, n_words, spans (array of start, length in words)."""
-    spec = Spec(window, gram, "words", group_limit=group_limit, parse=True)
-    own = keyed(docs)
-    marked = with_marks(own, marks(spark, own, spec, work_dir(spark, "substring")))
+    spec, marked = _marked(spark, docs, window, gram, group_limit)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -55,24 +60,22 @@ def parsed(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int
     return marked.select("doc_id", "text", "runs").mapInArrow(parse, "doc_id long, text string, n_words long, spans array<struct<start: long, length: long>>")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        removed, texts = [], []
-        for text, spans in zip(batch["text"], batch["spans"].to_pylist(), strict=True):
+def _cut(spec: Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 64):
+        counts, removed, texts = [], [], []
+        for text, runs in zip(batch["text"], batch["runs"].to_pylist(), strict=True):
             words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-            keep, at = [], 0
-            for x in spans:
-                keep += words[at : x["start"]]
-                at = x["start"] + x["length"]
-            keep += words[at:]
+            keep = [w for w, x in zip(words, covered(len(words), runs, spec).tolist(), strict=True) if not x] if runs else words
+            counts.append(len(words))
             removed.append(len(words) - len(keep))
             texts.append(b" ".join(keep))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_words"], pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_limit: int = 4096) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text."""
-    return parsed(spark, docs, window, gram, group_limit).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    """doc_id, n_words, n_removed, kept_text: every row of docs without the words of its duplicate spans."""
+    spec, marked = _marked(spark, docs, window, gram, group_limit)
+    return marked.select("doc_id", "text", "runs").mapInArrow(partial(_cut, spec), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,13 @@ def test_substring_dedup(spark, docs, window, gram, limit):
     assert sorted(str(tuple(r)) for r in op2.substring_dedup(spark, docs, window, gram, limit).collect()) == want
 
 
+def test_spans_of_substring_dedup(spark, docs):
+    rows = [(str(r.doc_id), r.text, r.n_words, [(x.start, x.length) for x in r.spans]) for r in op2.parsed(spark, docs, 8, 3).collect()]
+    units = [(t or "").encode().split() for _, t, _, _ in rows]
+    for (_, _, n, spans), u, hit in zip(rows, units, brute_cover(units, 8)):
+        assert n == len(u) and spans == op2.joined(np.array(hit, bool)) and sum(k for _, k in spans) == sum(hit)
+
+
 def longest(u: list, v: list) -> list[int]:
     """For every place of u, its longest match anywhere in v."""
     out = []
