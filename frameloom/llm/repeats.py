@@ -332,10 +332,11 @@ def marks(spark: SparkSession, docs: DataFrame, spec: Spec, work: str, found: Da
     if repeated is None:
         repeated = staged(repeated_anchors(found, spec), f"{work}/anchors")
         release(spark)
-    passages = staged(
-        found.join(repeated.hint("merge"), "ah").groupBy("ah", "ph").agg(F.count("*").alias("n"), F.min(_doc()).alias("lo"), F.max(_doc()).alias("hi"), F.min(F.struct("doc_id", "th", "pack")).alias("rep")),
-        f"{work}/passages",
-    )
+    # grouped by a struct, which the join's partitions by anchor do not serve: rows are counted where they were joined, and
+    # a hot anchor's passages then go to many tasks
+    key = F.struct("ah", "ph").alias("key")
+    grouped = found.join(repeated.hint("merge"), "ah").groupBy(key).agg(F.count("*").alias("n"), F.min(_doc()).alias("lo"), F.max(_doc()).alias("hi"), F.min(F.struct("doc_id", "th", "pack")).alias("rep"))
+    passages = staged(grouped.select("key.*", "n", "lo", "hi", "rep"), f"{work}/passages")
     release(spark)
     contested = staged(passages.groupBy("ah").agg(F.count("*").alias("nph")).where("nph > 1"), f"{work}/contested")
     sure = passages.join(contested.hint("merge"), "ah", "left_anti").where("lo < hi" if spec.distinct else "n > 1")
