@@ -235,33 +235,39 @@ def spans_of(family: IndexFamily, docs: DataFrame, work: str) -> DataFrame:
     return marked.select("doc_id", "text", "runs").mapInArrow(partial(_spans, family.spec), "doc_id long, text string, spans array<struct<start: long, length: long>>")
 
 
-def spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, group_limit: int = 4096) -> DataFrame:
-    """``spans_of`` docs, which are added to a new family in ``batches`` batches."""
+def _family(spark: SparkSession, docs: DataFrame, window: int, gram: int, batches: int, group_limit: int) -> tuple[DataFrame, IndexFamily, str]:
+    """docs in ``batches`` batches in a new family."""
     own, work = keyed(docs), work_dir(spark, "suffixes")
     family = IndexFamily(spark, f"{work}/family", Spec(window, gram, "bytes", group_limit=group_limit))
     for b in range(batches):
         family.add(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
+    return own, family, work
+
+
+def spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, group_limit: int = 4096) -> DataFrame:
+    """``spans_of`` docs, which are added to a new family in ``batches`` batches."""
+    _, family, work = _family(spark, docs, window, gram, batches, group_limit)
     return spans_of(family, docs, work)
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        size, kept = [], []
-        for text, found in zip(batch["text"], batch["spans"].to_pylist(), strict=True):
+def _kept(spec: Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 64):
+        size, found, kept = [], [], []
+        for text, runs in zip(batch["text"], batch["runs"].to_pylist(), strict=True):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            parts, at = [], 0
-            for x in found:
-                parts.append(data[at : x["start"]])
-                at = x["start"] + x["length"]
+            hit = covered(len(data), runs, spec) if runs else np.zeros(len(data), bool)
             size.append(len(data))
-            kept.append(b"".join([*parts, data[at:]]))
-        n = [len(x) for x in batch["spans"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(size, pa.int64()), pa.array([a - len(b) for a, b in zip(size, kept, strict=True)], pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            found.append(int(np.count_nonzero(hit[1:] & ~hit[:-1])) + bool(len(hit) and hit[0]))
+            kept.append(np.frombuffer(data, np.uint8)[~hit].tobytes() if runs else data)
+        removed = [a - len(b) for a, b in zip(size, kept, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, pa.int64()) for x in (size, removed, found)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, group_limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
-    return spans(spark, docs, window, gram, batches, group_limit).mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    own, family, work = _family(spark, docs, window, gram, batches, group_limit)
+    marked = with_marks(own, family.marks(own, work))
+    return marked.select("doc_id", "text", "runs").mapInArrow(partial(_kept, family.spec), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
