@@ -320,14 +320,23 @@ def _cos(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b) / size if size else 0.0
 
 
+def dealt(frames: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """frames with each session whole in one task, in order.
+
+    The exchange is by a hash of the key: one by the key itself falls away behind a join on the key, and a join that turns into a
+    broadcast at run time then reads its side by file, which spreads a session over tasks.
+    """
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frames.repartition(n, F.xxhash64(key)).sortWithinPartitions(key, *order)
+
+
 def sequential(frames: DataFrame, key: str, order: list[str], columns: list[str], made: str, start: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """Fold each session in order: ``start()`` gives a new session's step, called with the columns' values of each row.
 
     Rows of a session stream through one task in sorted order, so memory holds one state, not a session. made: name and type of
     each value that the step returns; the rows are key, the order columns and these.
     """
-    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = frames.repartition(n, key).sortWithinPartitions(key, *order).select(key, *order, *columns)
+    rows_in_order = dealt(frames, key, order).select(key, *order, *columns)
     head = [key, *order]
     names, types = zip(*(part.split() for part in made.split(",")), strict=True)
     known = {"boolean": (pa.bool_(), T.BooleanType()), "double": (pa.float64(), T.DoubleType()), "int": (pa.int32(), T.IntegerType()), "string": (pa.string(), T.StringType())}
@@ -345,4 +354,4 @@ def sequential(frames: DataFrame, key: str, order: list[str], columns: list[str]
             out = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in head), *out], [*head, *names])
 
-    return dealt.mapInArrow(fold, schema)
+    return rows_in_order.mapInArrow(fold, schema)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from frameloom.functions import dsp
+from frameloom.operators.gate import dealt
 
 
 class Blocks:
@@ -114,8 +115,7 @@ def pitch_ring(rate: int = 16_000, size: int = 2048) -> Ring:
 def through(frames: DataFrame, key: str, order: list[str], value: str, start: Callable[[], object], piece: int = 1024) -> DataFrame:
     """key, block, samples: every session's values, in order and in pieces of ``piece``, through a new stage of ``start()``, and what
     its flush gives. Sessions stream through tasks in sorted order; memory holds a piece and a stage."""
-    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = frames.repartition(n, key).sortWithinPartitions(key, *order).select(key, value)
+    rows_in_order = dealt(frames, key, order).select(key, value)
     schema = T.StructType([frames.schema[key], T.StructField("block", T.LongType()), T.StructField("samples", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,4 +140,4 @@ def through(frames: DataFrame, key: str, order: list[str], value: str, start: Ca
         if stage is not None:
             yield out([*(stage.push(np.array(held, float)) if held else ()), *stage.flush()], kind)
 
-    return dealt.mapInArrow(run, schema)
+    return rows_in_order.mapInArrow(run, schema)

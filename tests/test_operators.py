@@ -139,6 +139,34 @@ def test_closed_form_equals_fold(spark):
     assert {(r.session, r.i): r.is_on for r in folded} == closed and len(closed) == 2400
 
 
+def test_sessions_stay_whole_behind_a_join(spark):
+    """A join on the session that turns into a broadcast while it runs reads the frames by file."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        frames = spark.range(0, 4000, numPartitions=8).select((F.col("id") % 5).alias("session"), F.col("id").alias("i"), F.lit(1.0).alias("x"))
+        frames = frames.join(spark.range(5).select(F.col("id").alias("session")), "session")
+
+        def start():
+            seen = 0
+
+            def step(x):
+                nonlocal seen
+                seen += 1
+                return (seen,)
+
+            return step
+
+        folded = gate.sequential(frames, "session", ["i"], ["x"], "n int", start).collect()
+        assert sorted((r.session, r.i, r.n) for r in folded) == sorted((i % 5, i, i // 5 + 1) for i in range(4000))
+        blocks = stages.through(frames, "session", ["i"], "x", lambda: stages.Blocks(100, lambda b: b)).collect()
+        assert sorted((r.session, r.block, len(r.samples)) for r in blocks) == [(s, b, 100) for s in range(5) for b in range(8)]
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
 def test_admission_and_pitch_match(spark):
     def admit(s, m, r):
         return one(spark, gate.admitted(F.lit(s), F.lit(m), F.lit(r)))
