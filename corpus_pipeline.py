@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, similarity 0.8 or more) stays, that of the smallest
-    doc_id."""
+    """One document of each component of near copies stays, that of the smallest doc_id. Copies are linked by op1's fingerprints
+    (SimHash, covering tables, 2 bits) and by five-word shingles of similarity 0.8 or more."""
     return near_copies.deduplicated(spark, docs)
 
 

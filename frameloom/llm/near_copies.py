@@ -1,4 +1,7 @@
-"""Near copies by word shingles: pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies: pairs whose SimHash fingerprints are linked as in ``op1_simhash``, and pairs whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more, which fingerprints of 64 bits within 2 cannot find.
+
+Fingerprints go through op1's covering tables, buckets and components. Shingle sets go through min-hash bands:
 
 1. Equal shingle sets collapse. Every distinct set gets 128 min-hashes, in 32 bands of four: a pair at similarity 0.8 shares
    no band in 5 of 10**8 cases.
@@ -7,6 +10,8 @@
 3. Components of likely pairs go to one task each with their whole shingle sets, which are compared exactly. A set leaves the
    comparison once it is reached, so that the links are a spanning forest again and groups of close copies take linear time.
 
+Components of sets that hold fingerprints of one component are one: neither kind of link is lost where the other begins.
+
 Defined results: words are split at ASCII white space and lowered as in ``op1_simhash``. A text under five words is one shingle.
 Null, empty and white-space texts are copies of each other. Hashes of 64 bits stand for shingles.
 """
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.common import NAME, keyed, named, one_each, release, slices, staged, work_dir
 from frameloom.llm.components import components
+from frameloom.llm.op1_simhash import rooted, simhash
 from frameloom.llm.repeats import mix, symbols, window_hashes
 
 SHINGLE, BANDS, ROWS, LIKELY = 5, 32, 4, 77
@@ -53,15 +59,17 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 def _prints(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1024):
-        sets, keys, bytes_ = [], [], []
+        sets, keys, bytes_, fps = [], [], [], []
         for t in batch["text"]:
-            found = shingles(t.as_buffer().to_pybytes() if t.is_valid else None, n)
+            text = t.as_buffer().to_pybytes() if t.is_valid else None
+            fps.append(simhash(text))
+            found = shingles(text, n)
             least = min_hashes(found)
             sets.append(xxhash.xxh3_64_intdigest(found.tobytes()))
             keys.append(bands(least).view(np.int64))
             bytes_.append(least.astype(np.uint8).tobytes())
-        arrays = [batch["doc_id"], batch["th"], pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "sh", "keys", "sig"])
+        arrays = [batch["doc_id"], batch["th"], pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary()), pa.array(fps, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "sh", "keys", "sig", "fp"])
 
 
 def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -129,9 +137,20 @@ def _exact(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield found()
 
 
+def _joined(spark: SparkSession, prints: DataFrame, own: DataFrame, work: str) -> DataFrame:
+    """sh, root from own (sh, root), where roots whose sets hold fingerprints of one component of op1's links are one."""
+    near = rooted(spark, prints, f"{work}/simhash").select("fp", F.col("root").alias("near"))
+    met = prints.select("sh", "fp").distinct().join(own.hint("merge"), "sh").join(near.hint("merge"), "fp").select("near", "root").distinct()
+    met = staged(met, f"{work}/met")
+    least = staged(met.groupBy("near").agg(F.min("root").alias("least")), f"{work}/least")
+    edges = met.join(least.hint("merge"), "near").select(F.col("root").alias("a"), F.col("least").alias("b"))
+    last = components(spark, edges, f"{work}/joined").select(F.col("node").alias("root"), F.col("root").alias("last"))
+    return own.join(last.hint("merge"), "root", "left").select("sh", F.coalesce("last", "root").alias("root"))
+
+
 def copies(spark: SparkSession, docs: DataFrame, work: str, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, th (text hash), root of every row; rows of one root are linked by near copies."""
-    prints = staged(keyed(docs).mapInArrow(partial(_prints, shingle), "doc_id long, th long, sh long, keys array<long>, sig binary"), f"{work}/prints")
+    prints = staged(keyed(docs).mapInArrow(partial(_prints, shingle), "doc_id long, th long, sh long, keys array<long>, sig binary, fp long"), f"{work}/prints")
     least = F.min_by(F.struct("doc_id", "th", "keys", "sig"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("x")
     sets = staged(prints.groupBy("sh").agg(least).select("sh", "x.*"), f"{work}/sets")
     dealt = sets.select("sh", F.explode("keys").alias("key"))
@@ -146,7 +165,10 @@ def copies(spark: SparkSession, docs: DataFrame, work: str, shingle: int = SHING
     release(spark)
     exact = texts.repartition("root").sortWithinPartitions("root").mapInArrow(partial(_exact, shingle), "a long, b long")
     root = components(spark, exact, f"{work}/exact").withColumnRenamed("node", "sh")
-    found = staged(prints.select("doc_id", "th", "sh").join(root.hint("merge"), "sh", "left").select("doc_id", "th", F.coalesce("root", "sh").alias("root")), f"{work}/rooted")
+    own = staged(sets.select("sh").join(root.hint("merge"), "sh", "left").select("sh", F.coalesce("root", "sh").alias("root")), f"{work}/own")
+    release(spark)
+    root = _joined(spark, prints, own, work)
+    found = staged(prints.select("doc_id", "th", "sh").join(root.hint("merge"), "sh").select("doc_id", "th", "root"), f"{work}/rooted")
     release(spark)
     return found
 

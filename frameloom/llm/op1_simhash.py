@@ -123,7 +123,7 @@ def links(fps: DataFrame, work: str, radius: int = RADIUS, bucket_limit: int = B
         large, step = met.where(~small).select("t", "fp"), step + 1
 
 
-def _rooted(spark: SparkSession, prints: DataFrame, work: str, radius: int, bucket_limit: int) -> DataFrame:
+def rooted(spark: SparkSession, prints: DataFrame, work: str, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """fp, lo (smallest doc_id under it), root (least fingerprint that links reach)."""
     fps = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("lo")), f"{work}/distinct")
     root = components(spark, links(fps, work, radius, bucket_limit), work)
@@ -135,9 +135,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     """doc_id, fp, component_id (smallest doc_id that links reach), one row a row of docs."""
     work = work_dir(spark, "simhash")
     prints = staged(fingerprints(docs, shingle), f"{work}/fingerprints")
-    rooted = _rooted(spark, prints, work, radius, bucket_limit)
-    least = staged(rooted.groupBy("root").agg(F.min("lo").alias("component_id")), f"{work}/least")
-    named = staged(rooted.join(least.hint("merge"), "root").select("fp", "component_id"), f"{work}/named")
+    roots = rooted(spark, prints, work, radius, bucket_limit)
+    least = staged(roots.groupBy("root").agg(F.min("lo").alias("component_id")), f"{work}/least")
+    named = staged(roots.join(least.hint("merge"), "root").select("fp", "component_id"), f"{work}/named")
     return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -145,8 +145,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, r
     """One row of docs for each component; columns as in docs."""
     work = work_dir(spark, "simhash")
     prints = staged(fingerprints(docs, shingle), f"{work}/fingerprints")
-    rooted = _rooted(spark, prints, work, radius, BUCKET_LIMIT)
-    return one_each(docs, prints.join(rooted.select("fp", "root").hint("merge"), "fp"), work)
+    roots = rooted(spark, prints, work, radius)
+    return one_each(docs, prints.join(roots.select("fp", "root").hint("merge"), "fp"), work)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

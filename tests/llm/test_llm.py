@@ -318,6 +318,35 @@ def test_near_copies_go(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(low))
 
 
+def test_near_dedup_links_fingerprints_and_shingles(spark):
+    """Components of both kinds of links, and of chains that change kind."""
+    import corpus_pipeline
+
+    def words(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    texts = [words("plain", 50)]
+    for c in "abc":  # the second has the first's fingerprint, the third the second's shingles
+        line = words(f"{c}line", 31) + " "
+        texts += [line * 200 + words(f"{c}one", 40), line * 200 + words(f"{c}two", 40), line * 2 + words(f"{c}two", 40)]
+    texts += [words("one", 60), words("one", 60) + " more", "two words", None, " ", "other words"]
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))})
+    fps = [brute_simhash(t) for t in texts]
+    n = len(texts)
+    bits = {(a, b) for a in range(n) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2}
+    alike = {(a, b) for a in range(n) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert {(2, 1), (5, 4), (8, 7)} <= bits - alike and {(3, 2), (6, 5), (9, 8)} <= alike - bits
+    low = list(range(n))
+    for _ in range(n):
+        for a, b in bits | alike:
+            low[a] = low[b] = min(low[a], low[b])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, SF).collect()) == sorted(set(low))
+
+
 @pytest.mark.parametrize("limit", [512, 1])
 def test_near_fingerprints_link(spark, tmp_path, limit):
     rng = np.random.default_rng(5)
